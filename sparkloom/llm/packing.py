@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .byte_tokens import ByteTokens
 from .common import bounded, table
 
-WINDOW, BLOCK, REFILL = 2048, 16384, 0.98
+WINDOW, BLOCK, BLOCK_BYTES, REFILL = 2048, 8192, 48 << 20, 0.98
 
 
 class RoomTree:
@@ -75,15 +75,19 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
     return window, offset, fill
 
 
-def _blocks(batches, tokens: ByteTokens, end: bytes, block: int):
+def _blocks(batches, tokens: ByteTokens, end_id: int, block: int):
     held: list = []
+    size = 0
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for at in range(0, len(texts), 500):
-            held += zip(ids[at : at + 500], [x + end for x in tokens.encode(texts[at : at + 500])], strict=True)
-            if len(held) >= block or sum(len(x) for _, x in held) > 128 << 20:
+            ids, starts = tokens.encode(texts[at : at + 500], end_id)
+            data = ids.astype("<u4").tobytes()
+            held += zip(docs[at : at + 500], [data[4 * a : 4 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], strict=True)
+            size += len(data)
+            if len(held) >= block or size > BLOCK_BYTES:
                 yield held
-                held = []
+                held, size = [], 0
     if held:
         yield held
 
@@ -99,7 +103,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
 
     def run(batches):
         tokens = ByteTokens.load(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 33
         used, loose = 0, []  # windows so far; pieces (document, start, bytes, ids of the document) of windows left open
         poured, at = [], 0  # pieces of the one window that takes the loose ones, and its fill
@@ -112,7 +115,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
                 column = lambda k: pa.array([p[k] for p in part], pa.int64())
                 yield pa.RecordBatch.from_arrays([column(0), column(1), pa.array(size, pa.int64()), ids, column(3), column(4), column(5)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for held in _blocks(batches, tokens, end, block):
+        for held in _blocks(batches, tokens, end_id, block):
             placed, rests = [], []
             for doc, data in held:
                 total = len(data) // 4

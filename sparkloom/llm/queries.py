@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import chat, quality
+from .bpe import op7_bpe
+from .chat import op5_chat
+from .classifier import op6_classifier
 from .packing import op10_packing
+from .pii import op4_pii
+from .quality import op2_quality
 from .simhash import op1_simhash
+from .spotsigs import op9_spotsigs
 from .substring import op8_substring
 from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_token_files, op8_substring, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_token_files, op4_pii, op5_chat, op6_classifier, op7_bpe, op8_substring, op9_spotsigs, op10_packing)}
+ORACLES: dict[str, str] = {"op2_quality": quality.ORACLE, "op5_chat": chat.ORACLE}

@@ -3,7 +3,7 @@
 Words are cut out of every text as they are. A suffix enters the trees only where its first ``prefix`` words have the
 least hash among the prefixes of some window of ``window`` words (a local minimum): equal windows choose an equal
 prefix at an equal place, so nothing that repeats is missed, and a stretch of windows that chose one prefix travels
-once, as a segment of about ``window + window / 5`` words, in place of one copy of the text for every window.
+once, as a segment of about ``window + window / 3`` words, in place of one copy of the text for every window.
 
 1. Over a batch of documents numpy hashes words and prefixes and cuts the segments. Copies of a segment within the
    batch are settled there: only the least document sends it on, the others know of a smaller one. A group of copies
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded, table
 
-WINDOW, PREFIX = 13, 4
+WINDOW, PREFIX = 13, 3
 #: Bytes of segments that one range of prefixes is meant to hold, and leaves of one subtree.
-RANGE_BYTES, LEAVES = 24 << 20, 4096
+RANGE_BYTES, LEAVES = 14 << 20, 4096
 #: Bytes of text that are cut at once.
-PIECE = 8 << 20
+PIECE = 4 << 20
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -112,7 +112,7 @@ def _segments(texts: list[bytes], window: int, prefix: int):
 
 
 def _pack(columns: dict) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(columns, protocol=5))
+    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(columns, protocol=5))
 
 
 def _unpack(data: bytes) -> dict:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_tokens import ByteTokens
-from .common import bounded, scratch, table
+from .common import bounded, scratch, table, written
 
 #: Bytes of text meant for one file, and the ORC layout.
 FILE_BYTES = 64 << 20
@@ -29,14 +29,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 
     def run(batches):
         tokens = ByteTokens.load(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 500):
-                data = [x + end for x in tokens.encode(texts[at : at + 500])]
-                stops = np.cumsum([0] + [len(x) // 4 for x in data]).astype(np.int32)
-                ids = pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.ListArray.from_arrays(pa.array(stops), ids)], names=["doc_id", "ids"])
+                ids, starts = tokens.encode(texts[at : at + 500], end_id)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.view(np.int32)))], names=["doc_id", "ids"])
 
     bounded(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -75,7 +72,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(stops).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
 
     rows = read_token_files(spark, path).select("doc_id", "ids", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long")
-    rows = rows.withColumn("file", F.substring_index("file", "-", 2))  # part-00007
+    rows = written(rows.withColumn("file", F.substring_index("file", "-", 2)), "token-digests")  # part-00007; read once, used twice
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
