@@ -169,7 +169,10 @@ def _cutter(ranges: int, window: int, prefix: int):
                 rows.append((int(order[part[0]]), _pack({"doc": doc[part], "at": _narrow(at[part]), "n": _narrow(n[part]), "p": _narrow((p0 - b0)[part]), "q": _narrow((p1 - b0)[part]), "text": b"\n".join([text[i] for i in part.tolist()])})))
             done = np.flatnonzero(~send)
             if len(done):
-                rows.append((int(order[done[0]]), _pack({"settled": doc[done], "at": _narrow(at[done]), "n": _narrow(n[done])})))
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(doc[done])) + 1, [len(done)]])
+                pairs = np.stack([at[done], n[done]], axis=1).astype(np.int32)
+                hits = [pairs[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                rows.append((int(ids[0] % ranges), _pack({"settled": doc[done][edge[:-1]].tolist(), "hits": hits})))  # any range will do
             yield pd.DataFrame(rows, columns=["range", "payload"])
 
     return run
@@ -210,11 +213,11 @@ def _grower(window: int):
         found: dict[int, list] = defaultdict(list)  # document → first window, windows, first window, windows, ...
         segments: dict[bytes, list] = {}  # text → its least document, its windows, and where that document holds it
         groups: dict[bytes, list] = defaultdict(list)
+        done: list[tuple[int, bytes]] = []
         for payload in pdf["payload"]:
             x = _unpack(payload)
             if "settled" in x:
-                for d, at, n in zip(x["settled"].tolist(), x["at"].tolist(), x["n"].tolist(), strict=True):
-                    found[d] += (at, n)
+                done += zip(x["settled"], x["hits"], strict=True)
                 continue
             for t, d, at, n, p, q in zip(x["text"].split(b"\n"), x["doc"].tolist(), x["at"].tolist(), x["n"].tolist(), x["p"].tolist(), x["q"].tolist(), strict=True):
                 one = segments.get(t)
@@ -245,7 +248,8 @@ def _grower(window: int):
                         if d > owner:
                             for at in places:
                                 found[d] += (at + i, 1)
-        return pd.DataFrame({"doc_id": list(found), "hits": [np.array(v, np.int32).tobytes() for v in found.values()]})
+        done += [(d, np.array(v, np.int32).tobytes()) for d, v in found.items()]
+        return pd.DataFrame(done, columns=["doc_id", "hits"])
 
     return run
 
