@@ -74,7 +74,7 @@ SELECT conv_id * 1000 + turn AS query_id, conv_id, turn, concat('src', CAST(conv
     CASE WHEN (conv_id + turn) % 20 > 14 OR conv_id % 3 = 0 THEN concat(' ', substr(text, 1, 30)) ELSE '' END) AS question
 FROM conversations WHERE role = 'user'""",
     "hits": """
-SELECT l_orderkey AS query_id, l_linenumber AS variant_no, concat('c', CAST(l_partkey % 40 AS VARCHAR(9))) AS chunk_id, concat('p', CAST(l_partkey % 13 AS VARCHAR(9))) AS parent_id,
+SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS variant_no, concat('c', CAST(l_partkey % 40 AS VARCHAR(9))) AS chunk_id, concat('p', CAST(l_partkey % 13 AS VARCHAR(9))) AS parent_id,
   CASE WHEN l_partkey % 4 = 0 THEN 'faq' WHEN l_partkey % 7 = 0 THEN 'table_row' ELSE 'doc' END AS source_type,
   concat('src', CAST(l_suppkey % 5 AS VARCHAR(9))) AS source, CAST(l_quantity AS DOUBLE) / 50 AS score, CAST(l_partkey % 9 * 400 + 100 AS BIGINT) AS n_chars, l_orderkey % 3 = 0 AS prefer_table
 FROM lineitem""",
