@@ -42,7 +42,7 @@ def select_bad_cases(rows: DataFrame, reasons: Column, limit: int) -> DataFrame:
 
 def feedback_bad_cases(feedback: DataFrame) -> DataFrame:
     """feedback(id, rating, question, sources array<string>, answer) that is not useful → cases."""
-    first = F.get(F.filter(F.transform("sources", F.trim), lambda x: x.isNotNull() & (x != "")), 0)
+    first = F.get(F.filter(F.transform("sources", lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), 0)
     return feedback.where("rating = 'not_useful'").select(F.concat(F.lit("feedback-"), F.col("id").cast("string")).alias("case_id"), F.col("question").alias("query"), first.alias("observed_source"), F.substring("answer", 1, 500).alias("answer_preview"), F.array(F.lit("negative_feedback")).alias("reasons"))
 
 
@@ -66,7 +66,7 @@ def policy_checks(cases: DataFrame) -> DataFrame:
 
 def judge_dataset(rows: DataFrame, max_contexts: int = 3) -> tuple[DataFrame, DataFrame]:
     """rows(case_id, question, answer, contexts, reference, error) → (rows to judge, rows left out with a reason)."""
-    contexts = F.slice(F.filter(F.transform("contexts", F.trim), lambda x: x != ""), 1, max_contexts)
+    contexts = F.slice(F.filter(F.transform("contexts", lambda x: F.trim(x)), lambda x: x != ""), 1, max_contexts)
     rows = rows.withColumn("contexts", contexts)
     why = F.when(F.coalesce("error", F.lit("")) != "", "error").when(F.trim("answer") == "", "no_answer").when(F.size("contexts") == 0, "no_context")
     rows = rows.withColumn("reason", why)
