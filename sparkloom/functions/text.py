@@ -18,7 +18,7 @@ def _c(x: C) -> Column:
 
 def blank_null(x: C) -> Column:
     """Trimmed text, null where nothing is left."""
-    return F.nullif(F.trim(_c(x)), F.lit(""))
+    return F.nullif(F.regexp_replace(_c(x), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def first_filled(*xs: C) -> Column:

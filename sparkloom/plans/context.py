@@ -157,3 +157,12 @@ def query(sql: str | None = None):
         return f
 
     return register
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that executors share, as spark.checkpoint.dir names it, or in a temporary one."""
+    import tempfile
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
