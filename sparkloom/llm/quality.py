@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, table, words
+from .common import SPACE, let, table, unused, words
 
 MAX_DOCS, MIN_LEFT, MIN_WORDS, MAX_REPEAT_PERCENT = 50, 0.3, 10, 20
 #: Words in a repeated window.
@@ -98,13 +98,15 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = M
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """documents → those kept, without their boilerplate lines, with all columns; n_chars follows the text."""
+    """documents → those kept, without their boilerplate lines, with all columns; n_chars follows the text. Rows with a
+    null id are not kept, for no verdict can be joined to them."""
     kept = base_measures(docs).where("NOT base_failed").groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
     gone = removed_lines(docs).select("doc_id", "n_words_removed", "lines")
-    verdict = kept.join(gone, "doc_id", "left").where((F.col("n_words") - F.coalesce("n_words_removed", F.lit(0))) >= MIN_LEFT * F.col("n_words")).select("doc_id", F.col("lines").alias("__lines"))
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(F.split("text", "\n"), lambda x: ~(F.array_contains("__lines", line_hash(x)))), "\n"))
-    out = docs.join(verdict, "doc_id").withColumn("text", text).drop("__lines")
+    mark = unused(docs, "__lines")
+    left = F.col("n_words") - F.coalesce("n_words_removed", F.lit(0)) >= MIN_LEFT * F.col("n_words")
+    verdict = kept.join(gone, "doc_id", "left").where(left).select("doc_id", F.col("lines").alias(mark))
+    text = F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(mark, line_hash(x))), "\n"))
+    out = docs.join(verdict, "doc_id").withColumn("text", text).drop(mark)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
 
 

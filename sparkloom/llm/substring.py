@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, table
+from .common import bounded, table, unused
 
 WINDOW, PREFIX = 13, 3
 #: Bytes of segments that one range of prefixes is meant to hold, and leaves of one subtree.
@@ -257,7 +257,7 @@ def _grower(window: int):
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs → (doc_id, hits): for each document with repeats, packed int32 pairs (first window, windows) in word
     positions, of windows whose words also start in a document with a smaller id."""
-    spark = bounded(docs.sparkSession)
+    bounded(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(max(24, -(-size * 4 // RANGE_BYTES)))
@@ -283,21 +283,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null id is kept whole and takes no part; rows that repeat an id are one document each with the repeats of all of
     them; an empty table gives an empty result. Columns n_words, n_removed and kept_text of the input are replaced.
     """
-    spark = bounded(docs.sparkSession)
+    bounded(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    hits = repeated_windows(docs, id_col, text_col, window).groupBy("doc_id").agg(F.collect_list("hits").alias("__hits"))
-    rows = docs.join(hits.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    key, mark = unused(docs, "__id"), unused(docs, "__hits")
+    hits = repeated_windows(docs, id_col, text_col, window).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("hits").alias(mark))
+    rows = docs.join(hits, F.col(id_col) == F.col(key), "left").drop(key)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
     def run(batches):
         for batch in batches:
             made = []
-            for text, hit in zip(batch.column(text_col).to_pylist(), batch.column("__hits").to_pylist(), strict=True):
+            for text, hit in zip(batch.column(text_col).to_pylist(), batch.column(mark).to_pylist(), strict=True):
                 w = (text or "").encode("utf-8", "surrogatepass").split()
                 gone = covered(len(w), hit, window).tolist() if hit else [False] * len(w)
                 made.append((len(w), sum(gone), b" ".join([x for x, g in zip(w, gone, strict=True) if not g])))
             columns = list(zip(*made, strict=True)) or [(), (), ()]
-            rest = [n for n in batch.schema.names if n != "__hits"]
+            rest = [n for n in batch.schema.names if n != mark]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in rest] + [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()).cast(pa.string())],
                 names=[*rest, "n_words", "n_removed", "kept_text"],
