@@ -11,13 +11,14 @@ def chunk_quality_issues(chunks: DataFrame, parent_size: int = 1000) -> DataFram
     t = F.coalesce("text", F.lit(""))
     n = F.length(t)
     unique = F.size(F.array_distinct(F.split(t, ""))) / n
-    count = F.count("*").over(Window.partitionBy(F.sha2(F.trim(t), 256)))
-    rows = chunks.withColumn("__n", count)
+    keyed = chunks.withColumn("__h", F.sha2(F.trim(t), 256))
+    twice = keyed.groupBy("__h").agg(F.count("*").alias("__n")).where("__n > 1")  # combines before the shuffle, however large a group
+    rows = keyed.join(twice, "__h", "left")
     empty = F.trim(t) == ""
     free = ~empty & ~F.col("is_table")
     issues = F.array(
         F.when(empty, "empty"), F.when(free & (n < 30), "too_short"), F.when(~empty & (n > max(2 * parent_size, 2000)), "too_long"),
-        F.when(free & (n >= 50) & (unique < 0.08), "low_unique_ratio"), F.when(~empty & (F.col("__n") > 1), "duplicate_content"),
+        F.when(free & (n >= 50) & (unique < 0.08), "low_unique_ratio"), F.when(~empty & F.col("__n").isNotNull(), "duplicate_content"),
     )
     return rows.select("chunk_id", F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("issue"))
 

@@ -167,3 +167,10 @@ def build_knowledge_graph(s):
 
     chunks = s.documents.select("doc_id", F.lit(0).alias("pos"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("parent_id"), F.col("text").alias("parent_content"), (F.length("text") / 4).cast("int").alias("tokens"))
     return B.build_knowledge_graph(chunks, extract, ["word"])[2]
+
+
+@query()
+def file_fingerprint(s):
+    path = scratch(s.spark, "prints")
+    s.documents.select("lang", "text").write.partitionBy("lang").text(path)
+    return S.file_inventory(s.spark, path).select("path", "fingerprint")

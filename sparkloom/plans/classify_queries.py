@@ -143,3 +143,9 @@ def score_text_classifier(s):
     rows = s.documents.join(s.labels, "doc_id").select("text", F.col("quality").cast("double").alias("label"))
     model = C.train_text_classifier(rows)
     return C.score_text_classifier(model, s.documents.select("doc_id", "text")).select("doc_id", "prediction", "probability", F.get("scores", 1).alias("score"))
+
+
+@query(f"WITH {_R} SELECT query_id, source, len(regexp_extract_all(question, pattern)) AS matches FROM questions q JOIN r ON q.scenario_id = r.scenario_id WHERE regexp_matches(question, pattern)")
+def rule_join(s):
+    rows = _q(s).join(F.broadcast(rules(s)), "scenario_id")  # rules: a few rows of configuration
+    return rows.select("query_id", "source", F.expr("regexp_count(query, pattern)").alias("matches")).where("matches > 0")

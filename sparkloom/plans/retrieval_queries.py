@@ -91,10 +91,15 @@ def hybrid_search(s):
     return S.hybrid_search(queries, docs, 5)
 
 
-@query()
+def _half(name: str, a: int, b: int) -> str:
+    return _dense_sql(f"(embedding::DOUBLE[])[{a}:{b}]", k=100).replace("n AS", f"n{name} AS").replace("FROM n)", f"FROM n{name})").replace("u AS", f"u{name} AS").replace("FROM u a JOIN u b", f"FROM u{name} a JOIN u{name} b").replace("dd AS", f"dd{name} AS").replace("FROM dd)", f"FROM dd{name})").replace("dr AS", f"dr{name} AS").replace(" d AS (SELECT * FROM dr ", f" d{name} AS (SELECT * FROM dr{name} ")
+
+
+@query(f"""WITH {_half('1', 1, 32)}, {_half('2', 33, 64)}, a AS (SELECT query_id, key, 0.35::DOUBLE * (1 + score) / 2 AS score FROM d1 UNION ALL SELECT query_id, key, 0.65::DOUBLE * (1 + score) / 2 FROM d2), f AS (SELECT query_id, key, round(sum(score), 6) AS score FROM a GROUP BY 1, 2)
+SELECT query_id, key, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM f) WHERE rank <= 5""")
 def multi_vector_search(s):
     halves = lambda d, k: d.select(k, F.slice("vec", 1, 32).alias("title"), F.slice("vec", 33, 32).alias("content"))
-    return S.multi_vector_search(halves(_vq(s), "query_id"), halves(_vectors(s), "key"), {"title": 0.35, "content": 0.65}, 5)
+    return S.multi_vector_search(halves(_vq(s), "query_id"), halves(_vectors(s), "key"), {"title": 0.35, "content": 0.65}, 5).withColumn("score", F.round("score", 5))
 
 
 @query(f"WITH {_dense_sql(where='AND b.label = 3', k=5)} SELECT query_id, key, score, rank FROM d")
@@ -109,13 +114,28 @@ def search_many(s):
     return S.search_many(hits, s.hits.select("query_id", "variant_no").distinct(), 5, per_variant=2)
 
 
-@query()
+_SPLIT = r"list_distinct(list_filter(regexp_split_to_array(lower({t}), '\s+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH {_bm25_sql(k=20)}, o AS (SELECT query_id, key, {_SPLIT.format(t='q.text')} AS a, {_SPLIT.format(t='d.text')} AS t FROM b JOIN benchmark q ON item_id = query_id JOIN documents d ON doc_id = key),
+v AS (SELECT query_id, key, round(len(list_intersect(a, t)) / greatest(1, len(a))::DOUBLE, 6) AS score FROM o), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM v) SELECT query_id, key, score, rank FROM w WHERE rank <= 5""")
 def rerank(s):
     top = S.bm25_search(_asked(s), S.build_bm25_index(_docs(s)), 20)
     return S.rerank(top.join(_docs(s), "key").join(_asked(s).withColumnRenamed("text", "query"), "query_id"))
 
 
-@query()
+def _variants_sql() -> str:
+    made = []
+    for any_of, all_of, fold, pairs in S.R.VARIANT_RULES:
+        q = "lower(question)" if fold else "question"
+        when = " AND ".join([*([f"regexp_matches({q}, '{'|'.join(any_of)}')"] if any_of else []), *[f"contains({q}, '{x}')" for x in all_of]])
+        for old, new in pairs:
+            made.append(f"CASE WHEN {when} THEN trim(regexp_replace(question, '{'(?i)' if fold else ''}{old}', '{new}', 'g')) END")
+    return f"list_filter([question, {', '.join(made)}], lambda x: x IS NOT NULL AND x <> '')"
+
+
+@query(f"""WITH a AS (SELECT query_id, question, {_variants_sql()} AS l, length(question) <= 24 AND regexp_matches(question, '{'|'.join(S.R.SHORT_STRUCTURED)}') AS short FROM questions),
+b AS (SELECT query_id, CASE WHEN short THEN [question] ELSE (list_filter(l, lambda x, i: list_position(l, x) = i))[1:3] END AS v FROM a) SELECT query_id, unnest(range(0, len(v))) AS variant_no, unnest(v) AS variant FROM b""")
 def query_variants(s):
     return s.questions.select("query_id", F.posexplode(S.query_variants(F.col("question"))).alias("variant_no", "variant"))
 
@@ -176,7 +196,7 @@ def route_query(s):
     return s.traces.select("trace_id", S.route_query(F.when(i % 13 == 0, "x"), i % 11 == 0, i % 7 == 0, i % 5, i % 2 == 0).alias("route"))
 
 
-@query()
+@query("SELECT doc_id AS id, length(coalesce(text, ''))::DOUBLE AS chars, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')))::DOUBLE AS spaces FROM documents")
 def dedup_embedding_inputs(s):
     def embed(texts):
         return [[float(len(t or "")), float((t or "").count(" "))] for t in texts]
