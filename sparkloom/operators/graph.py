@@ -83,22 +83,21 @@ def alias_similarity(a: Column, b: Column, ranked: tuple[str, ...] = (), colours
     )
 
 
-def alias_candidate_pairs(entities: DataFrame, least: float = 0.65, most: int = 2000, **lists) -> DataFrame:
+def alias_candidate_pairs(entities: DataFrame, least: float = 0.65, **lists) -> DataFrame:
     """entities(name, type) → pairs (a, b, similarity) of one type at ``least`` or more.
 
-    Every rule that allows a merge makes the names share all but one of their characters or more than half of them,
-    so pairs are sought among names that share a pair of distinct characters. Names of a block that is too large are
-    told apart by a third character.
+    Names that a rule may merge share two distinct characters, and pairs are sought among those. Where they share only
+    one, both have at most two distinct ones, or the shorter repeats one character that the longer ends with twice:
+    such names are looked up by that character as well.
     """
-    names = entities.select("name", "type").distinct().withColumn("c", F.array_sort(F.array_distinct(F.split("name", ""))))
+    names = entities.select("name", "type").where("name <> ''").distinct().withColumn("c", F.array_sort(F.array_distinct(F.split("name", ""))))
     two = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.concat(x, y))))
-    one = F.when(F.size("c") < 2, F.col("c")).otherwise(two)
-    keyed = names.select("name", "type", F.col("c"), F.explode(one).alias("k"))
-    big = keyed.groupBy("type", "k").agg(F.count("*").alias("n")).where(F.col("n") > most).select("type", "k")
-    small = keyed.join(big, ["type", "k"], "left_anti").select("name", "type", "k")
-    finer = keyed.join(big, ["type", "k"], "left_semi").select("name", "type", F.explode(F.transform(F.col("c"), lambda z: F.concat("k", F.lit("+"), z))).alias("k"))
-    blocks = small.unionByName(finer)
-    a, b = blocks.select("type", "k", F.col("name").alias("a")), blocks.select("type", "k", F.col("name").alias("b"))
+    last = F.substring("name", -1, 1)
+    twice = (F.length("name") > 1) & (last == F.substring("name", -2, 1))
+    none = F.array().cast("array<string>")
+    one = F.concat(F.when(F.size("c") <= 2, F.col("c")).otherwise(none), F.when(twice, F.array(last)).otherwise(none))
+    keyed = names.select("name", "type", F.explode(F.array_distinct(F.concat(two, one))).alias("k"))
+    a, b = keyed.select("type", "k", F.col("name").alias("a")), keyed.select("type", "k", F.col("name").alias("b"))
     pairs = a.join(b, ["type", "k"]).where("a < b").select("a", "b").distinct()
     return pairs.withColumn("similarity", alias_similarity(F.col("a"), F.col("b"), **lists)).where(F.col("similarity") >= least)
 

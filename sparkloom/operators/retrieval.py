@@ -94,7 +94,7 @@ def fit_cells(vectors: DataFrame, cells: int, sample: int = 5000, rounds: int =
     return centers
 
 
-def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 16, probe: int = 6) -> DataFrame:
+def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 16, probe: int = 11) -> DataFrame:
     """Approximate top k: every vector lies in its nearest cell, a query asks its ``probe`` nearest, and what they hold
     is scored exactly. All vectors are indexed; only the centres come from a sample."""
     centers = fit_cells(vectors, cells)
