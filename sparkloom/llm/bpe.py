@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import bounded, sha, table
 
 #: Chunks and neighbour verdicts that a worker keeps.
-KEPT_CHUNKS, KEPT_PAIRS = 500_000, 1_500_000
+KEPT_CHUNKS, KEPT_PAIRS = 1_000_000, 1_500_000
 #: Fixed value: the pattern of words in the vocabulary's file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
@@ -60,7 +60,6 @@ class TrieBPE:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, list[int]] = {}
 
     def symbols(self, token: int) -> list[str]:
         text = self.tokens[token]
