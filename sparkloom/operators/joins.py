@@ -39,23 +39,18 @@ def related_threshold(n: Column) -> Column:
 def faq_document_relate(faq: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
     """faq(faq_id, source, question, answer) × chunks(chunk_id, source, text, is_table) → related pairs by shared keywords.
 
-    A pair that shares t of n keywords shares one of the n - t + 1 rarest, so only those are looked up in the chunks'
-    token index, and candidates are then counted in full: common words bring no pairs of their own. A FAQ of unknown
-    source is matched with every source. Table rows need two shared keywords or one of three characters.
+    Keywords of a FAQ are looked up in the chunks' token index by token and source, so pairs without a common token
+    never form; only a FAQ of unknown source is looked up by token alone. Counts combine before they are shuffled.
+    Table rows need two shared keywords or one of three characters.
     """
+    f = faq.withColumn("kw", T.keyword_tokens(F.concat_ws(" ", "question", "answer"))).select("faq_id", "source", F.size("kw").alias("n"), F.explode("kw").alias("token"))
     words = T.let(F.lower("text"), lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
-    c = chunks.select("chunk_id", F.col("source").alias("c_source"), "is_table", words.alias("words"))
-    index = c.select("chunk_id", "c_source", F.explode("words").alias("token"))
-    f = faq.withColumn("kw", T.keyword_tokens(F.concat_ws(" ", "question", "answer"))).select("faq_id", "source", "kw")
-    often = index.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("faq_id").orderBy("df", "token"))
-    n = F.size("kw")
-    # keywords that no chunk has count as the rarest, and need no lookup
-    rare = f.select("faq_id", "source", "kw", F.explode("kw").alias("token")).join(often, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("k", place)
-    rare = rare.where((F.col("k") <= n - related_threshold(n) + 1) & (F.col("df") > 0)).select("faq_id", "source", "token")
-    met = rare.join(index, "token").where((F.col("source") == "") | (F.col("source") == F.col("c_source"))).select("faq_id", "chunk_id").distinct()
-    pairs = met.join(f.select("faq_id", "kw"), "faq_id").join(c.select("chunk_id", "words", "is_table"), "chunk_id").withColumn("both", F.array_intersect("kw", "words"))
-    pairs = pairs.select("faq_id", "chunk_id", "is_table", n.alias("n"), F.size("both").cast("long").alias("shared"), F.array_max(F.transform("both", lambda x: F.length(x))).alias("longest"))
+    index = chunks.select("chunk_id", "source", "is_table", F.explode(words).alias("token"))
+    known = f.where("source <> ''").join(index, ["token", "source"])
+    unknown = f.where("source = ''").drop("source").join(index, "token")
+    cols = ["faq_id", "chunk_id", "token", "n", "is_table"]
+    met = known.select(cols).unionByName(unknown.select(cols))
+    pairs = met.groupBy("faq_id", "chunk_id").agg(F.count("*").alias("shared"), F.max(F.length("token")).alias("longest"), F.max("n").alias("n"), F.max("is_table").alias("is_table"))
     kept = pairs.where((F.col("shared") >= related_threshold(F.col("n"))) & (~F.col("is_table") | (F.col("shared") >= 2) | (F.col("longest") >= 3)))
     w = Window.partitionBy("faq_id").orderBy(F.desc("shared"), "chunk_id")
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("faq_id", "chunk_id", "shared", "rank")

@@ -27,19 +27,26 @@ def build_bm25_index(docs: DataFrame) -> DataFrame:
     return rows.select("key", *rest, "dl", F.explode("t").alias("term")).groupBy("term", "key", "dl", *rest).agg(F.count("*").alias("tf"))
 
 
+def corpus_stats(docs: DataFrame) -> DataFrame:
+    """docs(key, text) → one row (n, avgdl) over documents with a term."""
+    return docs.select(F.size(terms(F.col("text"))).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
 def bm25_search(queries: DataFrame, index: DataFrame, k: int, stats: DataFrame | None = None, digits: int = 6) -> DataFrame:
     """queries(query_id, text) → (query_id, key, score, rank): distinct query terms meet the postings by term.
 
-    ``stats`` is one row (n, avgdl), by default of the index. Scores are rounded before they are ranked, so that the
-    order of summing does not show. Postings of frequent terms are on the side of the join that can be split.
+    ``stats`` is one row (n, avgdl) of corpus_stats, by default taken from the index. Only postings of asked terms are
+    counted and joined; those of frequent terms are on the side of the join that can be split. Scores are rounded
+    before they are ranked, so that the order of summing does not show.
     """
-    docs = index.groupBy("key").agg(F.first("dl").alias("dl"))
-    stats = stats if stats is not None else docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    stats = stats if stats is not None else index.groupBy("key").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    held = index.select("term", "key", "tf", "dl").join(asked.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(index.select("term", "key", "tf", "dl"), "term").groupBy("query_id", "key").agg(F.round(F.sum(part), digits).alias("score"))
+    asked = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avgdl")  # one row
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = asked.join(held, "term").groupBy("query_id", "key").agg(F.round(F.sum(part), digits).alias("score"))
     return topk_per_group(scored, ["query_id"], [F.desc("score"), F.col("key")], k)
 
 
@@ -136,7 +143,7 @@ def cosine_unit(hits: DataFrame) -> DataFrame:
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, dense_weight: float = 0.55, depth: int = 50) -> DataFrame:
     """queries(query_id, text, vec) over docs(key, text, vec) that scope filters have passed → fused top k."""
-    lexical = lexical_unit(bm25_search(queries, build_bm25_index(docs.select("key", "text")), depth))
+    lexical = lexical_unit(bm25_search(queries, build_bm25_index(docs.select("key", "text")), depth, corpus_stats(docs)))
     dense = cosine_unit(dense_search(queries, docs, depth))
     fused = weighted_fusion([(dense, dense_weight), (lexical, 1 - dense_weight)])
     return topk_per_group(fused, ["query_id"], [F.desc("score"), F.col("key")], k)

@@ -69,7 +69,7 @@ def canonical_names(s):
     return G.canonical_names(G.alias_components(s.sql(_PAIRS)), "Supplier")
 
 
-_CANON = "SELECT concat('s', CAST(id AS VARCHAR(9))) AS name, concat('s', CAST(id - id % 4 AS VARCHAR(9))) AS canonical FROM (SELECT DISTINCT l_suppkey % 40 AS id FROM lineitem) t"
+_CANON = "SELECT concat('s', CAST(id AS VARCHAR(9))) AS name, concat('s', CAST(id - id % 4 AS VARCHAR(9))) AS canonical FROM (SELECT DISTINCT l_partkey % 40 AS id FROM lineitem) t"
 
 
 @query(f"""WITH r AS ({_REL}), c AS ({_CANON}), n AS (SELECT a.canonical AS source, b.canonical AS target, pos FROM r JOIN c a ON a.name = source JOIN c b ON b.name = target WHERE a.canonical <> b.canonical) SELECT least(source, target) AS a, greatest(source, target) AS b, min(pos) AS pos FROM n GROUP BY 1, 2""")

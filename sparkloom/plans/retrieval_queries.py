@@ -20,7 +20,7 @@ _T = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
 
 def _bm25_sql(docs: str = "documents", k: int = 5) -> str:
-    return f"""dt AS (SELECT doc_id AS key, unnest({_T}) AS term, len({_T}) AS dl FROM {docs}), p AS (SELECT term, key, dl, count(*) AS tf FROM dt GROUP BY ALL),
+    return f"""dt AS MATERIALIZED (SELECT doc_id AS key, unnest({_T}) AS term, len({_T}) AS dl FROM {docs}), p AS MATERIALIZED (SELECT term, key, dl, count(*) AS tf FROM dt GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT key, dl FROM p)), dfq AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 qt AS (SELECT item_id AS query_id, unnest(list_distinct({_T})) AS term FROM benchmark),
 bs AS (SELECT query_id, key, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM qt JOIN dfq USING (term) JOIN p USING (term), st GROUP BY 1, 2),
@@ -32,7 +32,7 @@ h AS (SELECT item_id, doc, (SELECT min(rank) FROM b JOIN documents dd ON dd.doc_
 SELECT count(*) AS cases, count(doc) AS annotated, round(avg(CASE WHEN doc IS NOT NULL THEN (r IS NOT NULL)::INT END), 6) AS recall_at_5, round(avg(CASE WHEN doc IS NOT NULL THEN coalesce(1.0::DOUBLE / r, 0) END), 6) AS mrr FROM h""")
 def eval_summary(s):
     """Benchmark passages as queries over all documents by BM25; a hit is a document that holds the passage."""
-    top = S.bm25_search(_asked(s), S.build_bm25_index(_docs(s)), 5)
+    top = S.bm25_search(_asked(s), S.build_bm25_index(_docs(s)), 5, S.corpus_stats(_docs(s)))
     good = F.contains("text", F.col("passage"))
     passages = s.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     ranks = top.join(_docs(s), "key").join(passages, "query_id").where(good).groupBy("query_id").agg(F.min("rank").alias("r"))
@@ -50,7 +50,7 @@ def build_bm25_index(s):
 
 @query(f"WITH {_bm25_sql(k=10)} SELECT query_id, key, score, rank FROM b")
 def bm25_search(s):
-    return S.bm25_search(_asked(s), S.build_bm25_index(_docs(s)), 10)
+    return S.bm25_search(_asked(s), S.build_bm25_index(_docs(s)), 10, S.corpus_stats(_docs(s)))
 
 
 def _vectors(s):
@@ -120,7 +120,7 @@ _SPLIT = r"list_distinct(list_filter(regexp_split_to_array(lower({t}), '\s+'), l
 @query(f"""WITH {_bm25_sql(k=20)}, o AS (SELECT query_id, key, {_SPLIT.format(t='q.text')} AS a, {_SPLIT.format(t='d.text')} AS t FROM b JOIN benchmark q ON item_id = query_id JOIN documents d ON doc_id = key),
 v AS (SELECT query_id, key, round(len(list_intersect(a, t)) / greatest(1, len(a))::DOUBLE, 6) AS score FROM o), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM v) SELECT query_id, key, score, rank FROM w WHERE rank <= 5""")
 def rerank(s):
-    top = S.bm25_search(_asked(s), S.build_bm25_index(_docs(s)), 20)
+    top = S.bm25_search(_asked(s), S.build_bm25_index(_docs(s)), 20, S.corpus_stats(_docs(s)))
     return S.rerank(top.join(_docs(s), "key").join(_asked(s).withColumnRenamed("text", "query"), "query_id"))
 
 
