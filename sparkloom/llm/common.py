@@ -24,7 +24,9 @@ def bounded(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; where it has fewer splits than there are cores, as one small file has, its rows are dealt out."""
+    rows, cores = bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
