@@ -124,8 +124,9 @@ def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, cells: int
     return topk_per_group(asked.join(held, "cell").select("query_id", "key", F.round(dot, 6).alias("score")), ["query_id"], [F.desc("score"), F.col("key")], k)
 
 
-def weighted_fusion(channels: list[tuple[DataFrame, float]], digits: int = 6) -> DataFrame:
-    """(query_id, key, score) of several channels → the weighted sum; a channel without the key adds nothing."""
+def weighted_fusion(channels: list[tuple[DataFrame, float]], digits: int = 9) -> DataFrame:
+    """(query_id, key, score) of several channels → the weighted sum; a channel without the key adds nothing. Scores of
+    six places under weights of two have at most nine, so rounding to nine hides the order of summing and meets no tie."""
     rows = None
     for hits, weight in channels:
         part = hits.select("query_id", "key", (F.col("score") * weight).alias("score"))

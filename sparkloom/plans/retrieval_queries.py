@@ -77,11 +77,10 @@ def dense_search_ann(s):
     return S.dense_search_ann(_vq(s), _vectors(s), 10)
 
 
-@query(f"WITH {_dense_sql(k=50)}, a AS (SELECT query_id, key, 0.55::DOUBLE * (1 + score) / 2 AS score FROM d WHERE rank <= 10 UNION ALL SELECT query_id, key, 0.45::DOUBLE * score FROM d WHERE rank > 5) SELECT query_id, key, round(sum(score), 5) AS score FROM a GROUP BY 1, 2")
+@query(f"WITH {_dense_sql(k=50)}, a AS (SELECT query_id, key, 0.55::DOUBLE * (1 + score) / 2 AS score FROM d WHERE rank <= 10 UNION ALL SELECT query_id, key, 0.45::DOUBLE * score FROM d WHERE rank > 5) SELECT query_id, key, round(sum(score), 9) AS score FROM a GROUP BY 1, 2")
 def weighted_fusion(s):
     top = S.dense_search(_vq(s), _vectors(s), 50)
-    fused = S.weighted_fusion([(S.cosine_unit(top.where("rank <= 10")), 0.55), (top.where("rank > 5"), 0.45)], 9)
-    return fused.withColumn("score", F.round("score", 5))
+    return S.weighted_fusion([(S.cosine_unit(top.where("rank <= 10")), 0.55), (top.where("rank > 5"), 0.45)])
 
 
 @query()
@@ -95,11 +94,11 @@ def _half(name: str, a: int, b: int) -> str:
     return _dense_sql(f"(embedding::DOUBLE[])[{a}:{b}]", k=100).replace("n AS", f"n{name} AS").replace("FROM n)", f"FROM n{name})").replace("u AS", f"u{name} AS").replace("FROM u a JOIN u b", f"FROM u{name} a JOIN u{name} b").replace("dd AS", f"dd{name} AS").replace("FROM dd)", f"FROM dd{name})").replace("dr AS", f"dr{name} AS").replace(" d AS (SELECT * FROM dr ", f" d{name} AS (SELECT * FROM dr{name} ")
 
 
-@query(f"""WITH {_half('1', 1, 32)}, {_half('2', 33, 64)}, a AS (SELECT query_id, key, 0.35::DOUBLE * (1 + score) / 2 AS score FROM d1 UNION ALL SELECT query_id, key, 0.65::DOUBLE * (1 + score) / 2 FROM d2), f AS (SELECT query_id, key, round(sum(score), 6) AS score FROM a GROUP BY 1, 2)
-SELECT query_id, key, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM f) WHERE rank <= 5""")
+@query(f"""WITH {_half('1', 1, 32)}, {_half('2', 33, 64)}, a AS (SELECT query_id, key, 0.35::DOUBLE * (1 + score) / 2 AS score FROM d1 UNION ALL SELECT query_id, key, 0.65::DOUBLE * (1 + score) / 2 FROM d2), f AS (SELECT query_id, key, round(sum(score), 9) AS score FROM a GROUP BY 1, 2)
+SELECT query_id, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM f) WHERE rank <= 5""")
 def multi_vector_search(s):
     halves = lambda d, k: d.select(k, F.slice("vec", 1, 32).alias("title"), F.slice("vec", 33, 32).alias("content"))
-    return S.multi_vector_search(halves(_vq(s), "query_id"), halves(_vectors(s), "key"), {"title": 0.35, "content": 0.65}, 5).withColumn("score", F.round("score", 5))
+    return S.multi_vector_search(halves(_vq(s), "query_id"), halves(_vectors(s), "key"), {"title": 0.35, "content": 0.65}, 5)
 
 
 @query(f"WITH {_dense_sql(where='AND b.label = 3', k=5)} SELECT query_id, key, score, rank FROM d")
