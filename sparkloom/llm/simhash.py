@@ -11,6 +11,9 @@ differ in at most two bits if and only if they meet at a point within one bit of
 can meet at a point, so each point becomes a small star.
 
 Equal fingerprints are one node throughout; copies are never expanded into pairs.
+
+``alike_links`` is for stages that ask for a Jaccard of shingle sets. Texts at 0.8 differ in about ten of 64 bits, which
+no ball reaches, so links within two bits are joined by those of min-hash bands, and every link is verified in full.
 """
 
 from __future__ import annotations
@@ -24,19 +27,29 @@ from .common import bounded, table, written
 from .components import connected_components
 
 SEED = 42
+#: Min-hash bands: two sets at a Jaccard of 0.8 share none of them with a chance of 0.68 ** 20, one in 2800.
+BANDS, ROWS = 20, 5
 
 
-def fingerprint_of(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint of one text as an unsigned number; zero if it has no words."""
+def shingles_of(text: str | None, shingle: int = 3) -> np.ndarray:
+    """XXH64 of the word shingles of one text in order, repeats too; none if it has no words."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() and split() know ASCII alone
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     runs = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else [b" ".join(w)]
-    total = max(1, len(w) - shingle + 1)
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    h = np.fromiter((digest(s, SEED) for s in runs), np.uint64, total)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, SEED) for s in runs), np.uint64, max(1, len(w) - shingle + 1))
+
+
+def fingerprint_of(text: str | None, shingle: int = 3) -> int:
+    """The fingerprint of one text as an unsigned number; zero if it has no words."""
+    return _voted(shingles_of(text, shingle))
+
+
+def _voted(h: np.ndarray) -> int:
+    total, counts = len(h), np.zeros(64, np.int64)
     for at in range(0, total, 1 << 15):
         bits = np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.uint32)
@@ -112,5 +125,85 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
+def _bands_of(s: np.ndarray, mix: np.ndarray) -> list[int]:
+    """A set of shingle hashes → one key for each band; the band is part of the key."""
+    import xxhash
+
+    least = np.full(len(mix), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(s), 1 << 12):
+        least = np.minimum(least, (mix[:, None] * s[None, at : at + (1 << 12)]).min(axis=1))
+    return [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """documents → (doc_id, fp, same, bands): SimHash, a hash of the whole shingle set and its band keys."""
+
+    def run(batches):
+        import xxhash
+
+        mix = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+        for pdf in batches:
+            fp, same, bands = [], [], []
+            for t in pdf["text"]:
+                h = shingles_of(t, shingle)
+                s = np.unique(h)
+                fp.append(_voted(h))
+                same.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                bands.append(np.array(_bands_of(s, mix), np.uint64).view(np.int64))
+            long = lambda x: np.array(x, np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": long(fp), "same": long(same), "bands": bands})
+
+    bounded(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long, same long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """documents → (doc_id, s): the distinct shingle hashes of each text."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [np.unique(shingles_of(t, shingle)).view(np.int64) for t in pdf["text"]]})
+
+    bounded(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, s array<long>")
+
+
+def alike_links(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float, hot: int = 16) -> DataFrame:
+    """documents and nodes (id, fp, bands) of distinct sets → links (a, b) at a Jaccard of ``threshold`` or more.
+
+    All pairs that share a band are compared where up to ``hot`` sets share it; in a larger one each is compared with
+    the least id, so that the pairs of a large group grow in line with it. Links of fingerprints come on top."""
+    each = nodes.select("id", F.explode("bands").alias("at"))
+    held = each.groupBy("at").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1")
+    held = written(each.join(held, "at"), "alike-bands")
+    few = held.where(F.col("n") <= hot).select("at", "id")
+    pairs = few.join(few.withColumnRenamed("id", "b"), "at").where("id < b").select(F.col("id").alias("a"), "b")
+    stars = held.where((F.col("n") > hot) & (F.col("id") > F.col("a"))).select("a", F.col("id").alias("b"))
+
+    fps = nodes.groupBy("fp").agg(F.min("id").alias("a"))
+    equal = nodes.join(fps, "fp").where("id > a").select("a", F.col("id").alias("b"))
+    end = lambda c: fps.select(F.col("fp").alias(c), F.col("a").alias(f"{c}_id"))
+    near = near_links(fps.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    ask = pairs.unionByName(stars).unionByName(equal).unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    ask = written(ask.where("a < b").distinct(), "alike-pairs")
+
+    asked = ask.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = written(shingle_sets(docs.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "alike-sets")
+    full = ask.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return full.where(both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+
+
+def keep_one_alike(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """documents → the document with the least doc_id of every group chained by a Jaccard of word shingles at
+    ``threshold`` or more, with all its columns. Rows with a null id are not kept."""
+    rows = sketches(docs, shingle).where("doc_id IS NOT NULL")
+    nodes = written(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "alike")
+    links = written(alike_links(docs, nodes, shingle, threshold), "alike-links")
+    found = connected_components(links)
+    kept = nodes.select("id").join(found, nodes["id"] == found["node"], "left").where("component IS NULL OR component = id").select(F.col("id").alias("doc_id"))
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).drop("n_links")

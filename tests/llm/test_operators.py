@@ -86,6 +86,37 @@ def test_simhash(docs, empty, plain, hot):
     assert sorted(r.doc_id for r in kept) == sorted({find(i) for i in fp})
 
 
+def test_simhash_stage_takes_jaccard(spark):
+    """Near copies many bits apart go, and texts under the threshold stay."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    texts = []
+    for n in [150, 200, 300, 400, 600, 800] * 3:
+        w = [f"w{r.randint(0, 5000)}" for _ in range(n)]
+        for rate in (0, 0.005, 0.01, 0.015, 0.02, 0.04):
+            texts.append(" ".join(f"v{r.randint(0, 5000)}" if r.random() < rate else x for x in w))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root, far = list(range(len(texts))), 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                far += bin(simhash.fingerprint_of(texts[a]) ^ simhash.fingerprint_of(texts[b])).count("1") > 2
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert far > 50
+    given = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.simhash_near_dedup(spark, given, None)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({find(i) for i in range(len(texts))})
+
+
 def test_fingerprint_bits():
     import xxhash
 
