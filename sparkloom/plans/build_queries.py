@@ -156,17 +156,19 @@ def rebuild_version(s):
     return B.rebuild_version(B.ingestion_report(s.documents, s.faq), {"empty_documents": ("<=", 5.0)}, "v2", 2)
 
 
+def capitalised(texts):
+    """Records of all capitalised words of each text and of each pair of neighbours among them, once a text."""
+    out = []
+    for t in texts:
+        w = [x for x in (t or "").split() if x[:1].isupper() and x.isalpha()]
+        out.append("##".join([f'("entity"<|>{x}<|>word<|>{x}' + ")" for x in dict.fromkeys(w)] + [f'("relationship"<|>{a}<|>{b}<|>next<|>{a} then {b}<|>1)' for a, b in dict.fromkeys(zip(w, w[1:], strict=False))]))
+    return out
+
+
 @query()
 def build_knowledge_graph(s):
-    def extract(texts):
-        out = []
-        for t in texts:
-            w = [x for x in t.split() if x[:1].isupper() and x.isalpha()][:4]
-            out.append("##".join([f'("entity"<|>{x}<|>word<|>{x}' + ")" for x in w] + [f'("relationship"<|>{a}<|>{b}<|>next<|>{a} then {b}<|>1)' for a, b in zip(w, w[1:], strict=False)]))
-        return out
-
     chunks = s.documents.select("doc_id", F.lit(0).alias("pos"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("parent_id"), F.col("text").alias("parent_content"), (F.length("text") / 4).cast("int").alias("tokens"))
-    return B.build_knowledge_graph(chunks, extract, ["word"])[2]
+    return B.build_knowledge_graph(chunks, capitalised, ["word"])[2]
 
 
 @query()
