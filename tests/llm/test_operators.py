@@ -401,3 +401,12 @@ def test_queries_are_registered(spark, sf):
     from sparkloom.llm.queries import ORACLES, QUERIES
 
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+
+
+def test_spotsigs_without_anchors_read_whole_texts(spark):
+    table = [f"t{i}" for i in range(56)]
+    texts = [" | ".join(table), " | ".join(table[:2] + [f"u{i}" for i in range(54)]), "the of and " * 8, "and der la " * 8, " ".join(table[:40]) + " the a1 a2 of b1 b2 and c1 c2 in d1 d2 " + " ".join(table * 3)]
+    sigs = [set(r.s) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(spotsigs.signatures(F.col("text")).alias("s")).collect()]
+    assert len(sigs[0]) > 50 and len(sigs[0] & sigs[1]) < 5
+    assert len(sigs[2]) > 2 and len(sigs[2] & sigs[3]) <= 1
+    assert len(sigs[4]) > 50
