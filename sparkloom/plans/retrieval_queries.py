@@ -205,7 +205,7 @@ def dedup_embedding_inputs(s):
 
 @query("SELECT doc_id, CASE WHEN text = '' OR text IS NULL THEN 0 ELSE 1 END AS norm FROM documents")
 def text_hash_vectors(s):
-    v = S.text_hash_vectors(F.substring("text", 1, 2000))
+    v = S.text_hash_vectors(F.col("text"))
     return s.documents.select("doc_id", F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 6).cast("int").alias("norm"))
 
 
