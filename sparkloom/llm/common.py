@@ -30,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a local one only where that is unset."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Where that is unset a session on one machine
+    gets a temporary folder, and a cluster an error, for its executors could not read each other's."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -67,6 +70,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def text_key(text: Column) -> Column:
+    """A hash that tells rows of one id apart by their text; null and empty texts are the same."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores put in front until no column of the table has it."""
     taken = {c.lower() for c in df.columns}

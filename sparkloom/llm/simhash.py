@@ -5,12 +5,13 @@ left one with at most one, or the right one with none; so a fingerprint probes t
 its left segment and of radius 0 around its right segment, and full distances are verified on what the table returns.
 A single differing left bit is 0 on one side, so flipping zero bits alone meets every such pair once.
 
-Segment values that more than ``hot`` distinct fingerprints share are not probed, for their pairs would grow with the
-square of the group. Fingerprints that such a value touches are linked exactly in another way: two fingerprints
-differ in at most two bits if and only if they meet at a point within one bit of both, and at most 65 fingerprints
-can meet at a point, so each point becomes a small star.
+Segment values that more than ``hot`` distinct fingerprints share would give pairs by the square of the group. They are
+indexed again in the same way: the bits outside the value are cut into two segments, with balls of radius 1 and 0, and
+a probe holds the crowded value and one of them. That happens twice at most, for then 56 bits of a key are fixed and no
+more than 256 distinct fingerprints can share it. All pairs within two bits are found, whatever ``hot`` is.
 
-Equal fingerprints are one node throughout; copies are never expanded into pairs.
+Equal fingerprints are one node throughout; copies are never expanded into pairs. Rows are told apart by their id and a
+hash of their text, so a repeated id neither merges texts nor loses one.
 
 ``alike_links`` is for stages that ask for a Jaccard of shingle sets. Texts at 0.8 differ in about ten of 64 bits, which
 no ball reaches, so links within two bits are joined by those of min-hash bands, and every link is verified in full.
@@ -20,10 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, table, written
+from .common import bounded, table, text_key, unused, written
 from .components import connected_components
 
 SEED = 42
@@ -71,42 +72,79 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
-def _segment(fp: Column, left: bool) -> Column:
-    return F.shiftrightunsigned(fp, 32) if left else fp.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 32)
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def near_links(fps: DataFrame, hot: int = 64) -> DataFrame:
-    """Distinct fingerprints (fp) → links (a, b) that join all pairs within two bits.
+def _bits(mask: int) -> list[int]:
+    return [1 << i for i in range(64) if mask >> i & 1]
 
-    Pairs within shared segment values of up to ``hot`` fingerprints are all listed; those of larger ones are joined
-    through stars, which keep every connection with a linear number of links.
-    """
-    fp = F.col("fp")
-    left, right = _segment(fp, True), _segment(fp, False)
-    flips = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.expr("shiftrightunsigned(fp, 32)").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) == 0),
-        lambda i: left.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)),
-    )
-    rows = fps.select("fp", F.explode(F.array(left, right)).alias("at"))
-    probes = fps.select("fp", F.explode(F.concat(F.array(left, right), flips)).alias("at"))
-    crowded = rows.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("at")
 
-    met = probes.alias("p").join(rows.join(crowded, "at", "left_anti").alias("t"), "at")
-    exact = (F.col("at") == _segment(F.col("p.fp"), True)) | (F.col("at") == _segment(F.col("p.fp"), False))
-    pairs = met.where(F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= 2).where(~exact | (F.col("p.fp") < F.col("t.fp"))).select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b"))
+def _halves(mask: int) -> tuple[int, int]:
+    """The bits outside a mask as two masks of equal size, the upper ones first."""
+    rest = _bits(~mask & (1 << 64) - 1)
+    return sum(rest[len(rest) // 2 :]), sum(rest[: len(rest) // 2])
 
-    dense = probes.join(crowded, "at", "left_semi").select("fp").distinct()
-    points = dense.select("fp", F.explode(F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("z"))
-    stars = points.groupBy("z").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("l")).where(F.size("l") > 1).select("a", F.explode("l").alias("b")).where("a <> b")
-    return pairs.unionByName(stars).distinct()
+
+def _lit(mask: int) -> Column:
+    return F.lit(_signed(mask)).cast("long")
+
+
+def near_links(fps: DataFrame, hot: int = 64) -> DataFrame:
+    """Distinct fingerprints (fp) → all links (a, b), a < b, of two or fewer differing bits, each once.
+
+    A fingerprint has at most 2080 neighbours within two bits, so links grow in line with fingerprints. Rows of the
+    table and of the probes carry the fixed bits of a key (mask, value); values shared by more than ``hot``
+    fingerprints are keyed again by a segment more."""
+    fp = F.col("fp")
+    far = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2
+
+    def keyed(rows: DataFrame, mask: int, part: int, flips: Column | None) -> DataFrame:
+        """Rows (fp, val) of values on ``mask`` → rows on mask and part, with the values that ``flips`` lists too."""
+        own = F.col("val").bitwiseOR(fp.bitwiseAND(_lit(part)))
+        values = F.array(own) if flips is None else F.concat(F.array(own), F.transform(flips, own.bitwiseXOR))
+        return rows.select("fp", F.explode(values).alias("val"), _lit(mask | part).alias("mask"))
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
+
+    start = fps.select("fp", F.lit(0).cast("long").alias("val"))
+    upper, lower = _halves(0)
+    zeros = F.filter(F.array(*[_lit(b) for b in _bits(upper)]), lambda b: fp.bitwiseAND(b) == 0)
+    table = union([keyed(start, 0, m, None) for m in (upper, lower)])
+    probes = union([keyed(start, 0, upper, zeros), keyed(start, 0, lower, None)])
+    masks, found = [upper, lower], []
+    for level in range(3):
+        if level < 2:
+            crowded = table.groupBy("mask", "val").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("mask", "val")
+            crowded = written(crowded, "simhash-crowded")
+            light, more = table.join(crowded, ["mask", "val"], "left_anti"), table.join(crowded, ["mask", "val"], "left_semi")
+            asked = probes.join(crowded, ["mask", "val"], "left_semi")
+        else:
+            light, more = table, None
+        met = probes.alias("p").join(light.alias("t"), ["mask", "val"]).where((F.col("p.fp") != F.col("t.fp")) & far(F.col("p.fp"), F.col("t.fp")))
+        found.append(met.select(F.least("p.fp", "t.fp").alias("a"), F.greatest("p.fp", "t.fp").alias("b")))
+        if more is None or crowded.isEmpty():
+            break
+        halves = {m: _halves(m) for m in masks}
+        on = lambda rows, m: rows.where(F.col("mask") == _lit(m)).select("fp", "val")
+        table = written(union([keyed(on(more, m), m, part, None) for m, both in halves.items() for part in both]), "simhash-table")
+        probes = written(union([keyed(on(asked, m), m, a, F.array(*[_lit(x) for x in _bits(a)])) for m, (a, _) in halves.items()] + [keyed(on(asked, m), m, b, None) for m, (_, b) in halves.items()]), "simhash-probes")
+        masks = [m | part for m, both in halves.items() for part in both]
+    return union(found).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, hot: int = 64) -> DataFrame:
     """docs → (doc_id, fingerprint, component_id, n_links): one row per input row.
 
     component_id is the least doc_id that links of two or fewer differing bits reach, the row itself included, and
-    n_links the links of its fingerprint that were listed. An empty table gives an empty result; a row with a null id
-    keeps its null id and takes part with its text; other columns are not read, whatever their names.
+    n_links the number of other fingerprints within two bits of the row's. An empty table gives an empty result; a row
+    with a null id keeps its null id and takes part with its text, and a group of such rows alone has a null
+    component_id; rows that repeat an id are rows of their own, each with its own text; a very long text is one row;
+    other columns are not read, whatever their names.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
@@ -119,10 +157,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """documents → the document with the least doc_id of every near-duplicate group, with all its columns."""
-    groups = near_groups(docs).select("doc_id", "component_id").where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """documents and keys (id, key) → the rows with these keys; of rows with one key that with the least other columns."""
+    own, mark = unused(docs, "__id"), unused(docs, "__key")
+    keyed = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(mark, text_key(F.col("text")))
+    kept = kept.select(F.col("id").alias("__kept_id"), F.col("key").alias("__kept_key"))
+    rows = keyed.join(kept, F.col(own).eqNullSafe(F.col("__kept_id")) & (F.col(mark) == F.col("__kept_key")), "left_semi")
+    order = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
+    best = rows.groupBy(own, mark).agg(F.min_by(F.struct(*docs.columns), F.struct(order.alias("o"), F.col("text").alias("t"))).alias("row"))
+    return best.select("row.*")
+
+
+def _least(name: str) -> Column:
+    """The least row of a group: by id, null ids last, then by the hash of the text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias(name)
 
 
 def _bands_of(s: np.ndarray, mix: np.ndarray) -> list[int]:
@@ -136,11 +184,10 @@ def _bands_of(s: np.ndarray, mix: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """documents → (doc_id, fp, same, bands): SimHash, a hash of the whole shingle set and its band keys."""
+    """documents → (doc_id, key, fp, same, bands): SimHash, a hash of the whole shingle set and its band keys; ``key``
+    is a hash of the text."""
 
     def run(batches):
-        import xxhash
-
         mix = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         for pdf in batches:
             fp, same, bands = [], [], []
@@ -148,61 +195,93 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 h = shingles_of(t, shingle)
                 s = np.unique(h)
                 fp.append(_voted(h))
-                same.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                same.append(_set_hash(s))
                 bands.append(np.array(_bands_of(s, mix), np.uint64).view(np.int64))
             long = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": long(fp), "same": long(same), "bands": bands})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "fp": long(fp), "same": long(same), "bands": bands})
 
     bounded(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long, same long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").mapInPandas(run, "doc_id long, key long, fp long, same long, bands array<long>")
+
+
+def _set_hash(s: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(s.tobytes(), SEED)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """documents → (doc_id, s): the distinct shingle hashes of each text."""
+    """documents → (same, s): the distinct shingle hashes of each text, and the hash of their set."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [np.unique(shingles_of(t, shingle)).view(np.int64) for t in pdf["text"]]})
+            sets = [np.unique(shingles_of(t, shingle)) for t in pdf["text"]]
+            yield pd.DataFrame({"same": np.array([_set_hash(s) for s in sets], np.uint64).view(np.int64), "s": [s.view(np.int64) for s in sets]})
 
     bounded(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, s array<long>")
+    return docs.select("text").mapInPandas(run, "same long, s array<long>")
 
 
 def alike_links(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float, hot: int = 16) -> DataFrame:
-    """documents and nodes (id, fp, bands) of distinct sets → links (a, b) at a Jaccard of ``threshold`` or more.
-
-    All pairs that share a band are compared where up to ``hot`` sets share it; in a larger one each is compared with
-    the least id, so that the pairs of a large group grow in line with it. Links of fingerprints come on top."""
-    each = nodes.select("id", F.explode("bands").alias("at"))
-    held = each.groupBy("at").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1")
-    held = written(each.join(held, "at"), "alike-bands")
-    few = held.where(F.col("n") <= hot).select("at", "id")
-    pairs = few.join(few.withColumnRenamed("id", "b"), "at").where("id < b").select(F.col("id").alias("a"), "b")
-    stars = held.where((F.col("n") > hot) & (F.col("id") > F.col("a"))).select("a", F.col("id").alias("b"))
-
-    fps = nodes.groupBy("fp").agg(F.min("id").alias("a"))
-    equal = nodes.join(fps, "fp").where("id > a").select("a", F.col("id").alias("b"))
+    """documents and nodes (same, least, fp, bands) of distinct sets → links (a, b) of sets at a Jaccard of
+    ``threshold`` or more.
+
+    All pairs that share a band are compared where up to ``hot`` sets share it. In a larger group all pairs would grow
+    with its square; there each set is compared with the group's first one, and with its neighbours when the group is
+    sorted by each of the next two bands' keys, so sets that share more bands meet each other and links chain through
+    them. Links of fingerprints come on top."""
+    each = nodes.select("same", "bands", F.posexplode("bands").alias("i", "at"))
+    each = each.select("same", "at", *[F.element_at("bands", (F.col("i") + k) % BANDS + 1).alias(f"by{k}") for k in (1, 2)])
+    count = each.groupBy("at").agg(F.count("*").alias("n"), F.min("same").alias("a")).where("n > 1")
+    held = written(each.join(count, "at"), "alike-bands")
+    few = held.where(F.col("n") <= hot).select("at", "same")
+    pairs = few.join(few.withColumnRenamed("same", "b"), "at").where("same < b").select(F.col("same").alias("a"), "b")
+    many = held.where(F.col("n") > hot)
+    stars = many.select("a", F.col("same").alias("b"))
+    chains = [many.select(F.lag("same").over(Window.partitionBy("at").orderBy(f"by{k}", "same")).alias("a"), F.col("same").alias("b")).where("a IS NOT NULL") for k in (1, 2)]
+
+    fps = nodes.groupBy("fp").agg(F.min("same").alias("a"))
+    equal = nodes.join(fps, "fp").select("a", F.col("same").alias("b"))
     end = lambda c: fps.select(F.col("fp").alias(c), F.col("a").alias(f"{c}_id"))
     near = near_links(fps.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    ask = pairs.unionByName(stars).unionByName(equal).unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    ask = written(ask.where("a < b").distinct(), "alike-pairs")
+    ask = pairs.unionByName(stars).unionByName(chains[0]).unionByName(chains[1]).unionByName(equal).unionByName(near)
+    ask = written(ask.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "alike-pairs")
 
-    asked = ask.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "alike-sets")
-    full = ask.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+    asked = nodes.join(ask.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "same", "left_semi").select("least.*")
+    sets = written(shingle_sets(_one_of_each(docs.select("doc_id", "text"), asked), shingle), "alike-sets")
+    full = ask.join(sets.select(F.col("same").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("same").alias("a"), F.col("s").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     return full.where(both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
 
+def _kept(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """documents and rows (doc_id, key, group) → the least row of every group."""
+    return _one_of_each(docs, groups.groupBy("group").agg(_least("least")).select("least.*"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """documents → one document of every group chained by two or fewer differing bits, with all its columns: that with
+    the least doc_id, of one id that with the least hash of its text, of equal rows that with the least other columns.
+
+    Rows with null ids come last: one stays only where its group has no row with an id. Null and empty texts are one
+    group. An empty table gives an empty result."""
+    rows = written(sketches(docs, shingle).select("doc_id", "key", "fp"), "keep-one")
+    links = written(near_links(rows.select("fp").distinct()), "keep-one-links")
+    found = connected_components(links)
+    groups = rows.join(found, rows["fp"] == found["node"], "left").select("doc_id", "key", F.coalesce("component", "fp").alias("group"))
+    return _kept(docs, groups)
+
+
 def keep_one_alike(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """documents → the document with the least doc_id of every group chained by a Jaccard of word shingles at
-    ``threshold`` or more, with all its columns. Rows with a null id are not kept."""
-    rows = sketches(docs, shingle).where("doc_id IS NOT NULL")
-    nodes = written(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "alike")
+    """documents → one document of every group chained by a Jaccard of word shingles at ``threshold`` or more, with all
+    its columns; which of them stays is as in ``keep_one``."""
+    rows = sketches(docs, shingle)
+    nodes = rows.groupBy("same").agg(_least("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = written(nodes, "alike")  # equal sets have equal fingerprints up to repeats, and equal bands
     links = written(alike_links(docs, nodes, shingle, threshold), "alike-links")
     found = connected_components(links)
-    kept = nodes.select("id").join(found, nodes["id"] == found["node"], "left").where("component IS NULL OR component = id").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    groups = nodes.join(found, nodes["same"] == found["node"], "left").select(F.col("least.id").alias("doc_id"), F.col("least.key").alias("key"), F.coalesce("component", "same").alias("group"))
+    return _kept(docs, groups)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
