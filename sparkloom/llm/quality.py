@@ -1,12 +1,15 @@
 """Operator 2: quality rules with cross-document line frequency, in DataFrame functions alone.
 
 Base rules look at one text. The method looks across documents: lines are normalised (lower case, single spaces) and
-hashed, the documents that hold a line are counted for each host, and a line that more than ``max_docs`` documents of
-a host hold is boilerplate there. It is removed from every document of that host but the first (least id), which keeps
-one copy in the corpus; a document left with less than ``min_left`` of its words is rejected.
-
-Only hashes and counts are shuffled, never texts. Counting is pre-aggregated before the shuffle, so a hot host or
-line sends one row a task; the join that brings removals back is on (host, line) and can be split where it is skewed.
+hashed, the distinct documents that hold a line are counted for each host, and a line that more than ``max_docs``
+documents of a host hold is boilerplate there. It is removed from every document of that host, and a document left with
+less than ``min_left`` of its words is rejected. With ``keep_first`` the first document of the host that passes the base
+rules keeps the line and is not rejected for what it loses, so that one copy of every line stays in the corpus.
+
+Texts are read once: measures and hashed lines are written as a narrow table, which the counts and verdicts read. Texts
+are never shuffled. Documents that hold a line are counted in two steps, by (host, line, document) and by (host, line),
+which combine before they shuffle, so a hot host or line sends one row a task; the join that brings removals back is
+on (host, line) and can be split where it is skewed.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, table, unused, words
+from .common import SPACE, let, table, text_key, unused, words, written
 
 MAX_DOCS, MIN_LEFT, MIN_WORDS, MAX_REPEAT_PERCENT = 50, 0.3, 10, 20
 #: Words in a repeated window.
@@ -54,59 +57,90 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < REPEAT + 1, zero).otherwise(count)
 
 
-def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs → (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed); null: no words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def _measures(text: Column, w: Column) -> dict[str, Column]:
     long = lambda c: c.cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("w", words(F.col("text"))).select(
-        "doc_id",
-        long(F.size("w")).alias("n_words"),
-        long(F.length(F.array_join("w", ""))).alias("word_chars"),
-        long(F.regexp_count(text, F.lit(SYMBOLS))).alias("n_symbols"),
-        long(let(_lines(F.col("text")), lambda x: F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
-        repeated_words(F.col("w")).alias("n_repeat_words"),
-    )
-    return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-
-
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs → (host, line, first_id, n_docs) of lines that more than max_docs documents of a host hold."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), line_hash))).alias("line"))
-    return rows.groupBy("host", "line").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
-
-
-def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs → (doc_id, n_lines_removed, n_words_removed, lines): hashes of the lines to remove from each document."""
-    each = F.explode(F.transform(_lines(F.col(text_col)), lambda x: F.struct(line_hash(x).alias("line"), F.size(words(x)).alias("n"))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), each.alias("x")).select("doc_id", "host", "x.line", "x.n")
-    gone = rows.join(frequent_lines(docs, max_docs, id_col, text_col, host_col), ["host", "line"]).where("doc_id <> first_id")
-    return gone.groupBy("doc_id").agg(F.count("*").alias("n_lines_removed"), F.sum("n").alias("n_words_removed"), F.collect_set("line").alias("lines"))
-
-
-def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    return {
+        "n_words": long(F.size(w)),
+        "word_chars": long(F.length(F.array_join(w, ""))),
+        "n_symbols": long(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SYMBOLS))),
+        "n_dup_lines": long(let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x)))),
+        "n_repeat_words": repeated_words(w),
+    }
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """docs → a written table (doc_id, host, key, base measures, base_failed, lines): one row per input row.
+
+    ``key`` is a hash of the text, which tells rows of one id apart; ``lines`` are (hash, words) of the lines that have
+    a word, in order. Null texts have no words; null hosts are one host, the empty one."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("w", words(F.col("text")))
+    lines = F.transform(_lines(F.col("text")), lambda x: F.struct(line_hash(x).alias("line"), F.size(words(x)).alias("n")))
+    made = rows.select("doc_id", "host", text_key(F.col("text")).alias("key"), *[c.alias(n) for n, c in _measures(F.col("text"), F.col("w")).items()], lines.alias("lines"))
+    return written(made.withColumn("base_failed", base_failed()), "quality")
+
+
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """Measured rows → (host, line, first_id, n_docs) of lines that more than max_docs distinct documents of a host
+    hold; first_id is the least document of them that passes the base rules. Rows that repeat an id are one document,
+    and rows with null ids are one as well."""
+    each = rows.select("host", "doc_id", "base_failed", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    docs = each.groupBy("host", "line", "doc_id").agg(F.bool_and("base_failed").alias("failed"))
+    counted = docs.groupBy("host", "line").agg(F.min(F.when(~F.col("failed"), F.col("doc_id"))).alias("first_id"), F.count("*").alias("n_docs"))
+    return counted.where(F.col("n_docs") > max_docs)
+
+
+def removed_lines(rows: DataFrame, max_docs: int = MAX_DOCS, keep_first: bool = False) -> DataFrame:
+    """Measured rows → (doc_id, host, key, n_lines_removed, n_words_removed, lines, holds): of every row with frequent
+    lines how many go and their hashes, and whether it keeps one as its host's first document. Equal rows are one."""
+    each = rows.select("doc_id", "host", "key", F.posexplode("lines").alias("at", "x")).select("doc_id", "host", "key", "at", "x.line", "x.n")
+    met = each.join(frequent_lines(rows, max_docs), ["host", "line"])
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("doc_id").isNotNull() if keep_first else F.lit(False)
+    met = met.withColumn("stays", stays)
+    gone = F.collect_set(F.when(~F.col("stays"), F.struct("at", "n", "line")))
+    one = met.groupBy("doc_id", "host", "key").agg(gone.alias("x"), F.bool_or("stays").alias("holds"))
+    return one.select(
+        "doc_id", "host", "key", F.size("x").cast("long").alias("n_lines_removed"),
+        F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_words_removed"), F.array_distinct(F.transform("x", lambda x: x["line"])).alias("lines"), "holds",
+    )
+
+
+def _with_verdicts(rows: DataFrame, max_docs: int, min_left: float, keep_first: bool) -> DataFrame:
+    gone = removed_lines(rows, max_docs, keep_first).select(F.col("doc_id").alias("__d"), F.col("host").alias("__h"), F.col("key").alias("__k"), "n_lines_removed", "n_words_removed", F.col("lines").alias("gone"), "holds")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("host") == F.col("__h")) & (F.col("key") == F.col("__k"))
+    out = rows.drop("lines").join(gone, same, "left").drop("__d", "__h", "__k").fillna(0, ["n_lines_removed", "n_words_removed"]).fillna(False, ["holds"])
+    left = (F.col("n_words") - F.col("n_words_removed") >= min_left * F.col("n_words")) | F.col("holds")
+    return out.withColumn("kept", ~F.col("base_failed") & left)
+
+
+def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """docs → base measures, n_lines_removed, n_words_removed and kept: one row per input row.
 
-    Null and empty texts have no words and fail the base rules; null hosts are one host; a null id is measured and
-    loses no lines; rows that repeat an id count as documents each, and lose the lines of all of them; an empty
-    table gives an empty result; other columns are not read.
+    Null and empty texts have no words and fail the base rules; null hosts are one host; rows with null ids count as
+    one document, and lines go from them too; rows that repeat an id count as one document, and each is judged by its
+    own text; a very long text is one row of the written table; an empty table gives an empty result; other columns are
+    not read, whatever their names.
     """
-    gone = removed_lines(docs, max_docs, id_col, text_col, host_col).drop("lines")
-    rows = base_measures(docs, id_col, text_col).join(gone, "doc_id", "left").fillna(0, ["n_lines_removed", "n_words_removed"])
-    left = F.col("n_words") - F.col("n_words_removed") >= min_left * F.col("n_words")
-    return rows.withColumn("kept", ~F.col("base_failed") & left)
-
-
-def keep_good(docs: DataFrame) -> DataFrame:
-    """documents → those kept, without their boilerplate lines, with all columns; n_chars follows the text. Rows with a
-    null id are not kept, for no verdict can be joined to them."""
-    kept = base_measures(docs).where("NOT base_failed").groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
-    gone = removed_lines(docs).select("doc_id", "n_words_removed", "lines")
-    mark = unused(docs, "__lines")
-    left = F.col("n_words") - F.coalesce("n_words_removed", F.lit(0)) >= MIN_LEFT * F.col("n_words")
-    verdict = kept.join(gone, "doc_id", "left").where(left).select("doc_id", F.col("lines").alias(mark))
-    text = F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(mark, line_hash(x))), "\n"))
-    out = docs.join(verdict, "doc_id").withColumn("text", text).drop(mark)
+    rows = measured(docs, id_col, text_col, host_col)
+    return _with_verdicts(rows, max_docs, min_left, keep_first).drop("host", "key", "gone", "holds")
+
+
+def keep_good(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, keep_first: bool = True) -> DataFrame:
+    """documents → those kept, without their boilerplate lines, with all columns; n_chars follows the text.
+
+    Rows are judged as by ``quality_rules``, each by its own id, host and text, and all rows that are kept stay, those
+    that repeat an id or have none too."""
+    verdicts = _with_verdicts(measured(docs), max_docs, min_left, keep_first).where("kept").groupBy("doc_id", "host", "key").agg(F.first("gone").alias("gone"))
+    names = {n: unused(docs, f"__{n}") for n in ("id", "host", "key", "gone")}
+    verdicts = verdicts.select(*[F.col(c).alias(names[n]) for c, n in (("doc_id", "id"), ("host", "host"), ("key", "key"), ("gone", "gone"))])
+    same = docs["doc_id"].eqNullSafe(F.col(names["id"])) & (F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col(names["host"])) & (text_key(docs["text"]) == F.col(names["key"]))
+    gone = F.col(names["gone"])
+    text = F.when(F.coalesce(F.size(gone), F.lit(0)) <= 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, line_hash(x))), "\n"))
+    out = docs.join(verdicts, same).withColumn("text", text)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
 
 
@@ -122,9 +156,9 @@ n AS (SELECT doc_id, host, raw, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+
   len(list_filter(regexp_split_to_array(raw, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
   FROM l WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM n GROUP BY doc_id),
-f AS (SELECT host, line, min(doc_id) AS first_id FROM n GROUP BY host, line HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
+f AS (SELECT host, line FROM n GROUP BY host, line HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
 gone AS (SELECT doc_id, count(*) AS n_lines_removed, sum(words) AS n_words_removed
-  FROM n JOIN f USING (host, line) WHERE doc_id <> first_id GROUP BY doc_id),
+  FROM n JOIN f USING (host, line) GROUP BY doc_id),
 g AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS g
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
