@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_tokens import ByteTokens
@@ -42,8 +42,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes (doc_id, ids) as ORC in ascending doc_id order: by file name, and by row within a file.
 
-    Rows of equal ids keep together in one file; null ids come first; an empty table gives files without rows. Other
-    columns are not read.
+    Rows of equal ids keep together in one file, each with its own ids; null ids come first; a null or empty text is
+    ``end_id`` alone; a text of any length is one row, so a very long one makes its stripe larger; an empty table gives
+    files without rows. Other columns are not read, whatever their names.
     """
     if files is None:
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -57,11 +58,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return bounded(spark).read.schema("doc_id long, ids array<int>").orc(path)
 
 
+def file_number(name: Column) -> Column:
+    """The number in a file's name, part-00007-… or part-100000-…."""
+    return F.regexp_extract(name, r"^part-(\d+)", 1).cast("long")
+
+
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of a token store, from its files alone.
 
     start counts the ids of all documents before it: sums of the files before, of which there are few rows, and a
-    running sum over the narrow rows of its own file. Documents with equal ids follow each other in no fixed order.
+    running sum over the narrow rows of its own file. Files are in the order of the numbers in their names, however
+    many digits these have. Documents with equal ids follow each other in the order of their ids' checksums.
     """
 
     def run(batches):
@@ -72,10 +79,10 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(stops).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
 
     rows = read_token_files(spark, path).select("doc_id", "ids", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long")
-    rows = written(rows.withColumn("file", F.substring_index("file", "-", 2)), "token-digests")  # part-00007; read once, used twice
+    rows = written(rows.withColumn("file", file_number(F.col("file"))), "token-digests")  # read once, used twice
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("part", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(base, "file")
         .select("doc_id", (F.col("base") + F.col("part")).alias("start"), "n_tokens", "ids_crc32")
