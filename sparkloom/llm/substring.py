@@ -8,20 +8,29 @@ once, as a segment of about ``window + window / 3`` words, in place of one copy
 1. Over a batch of documents numpy hashes words and prefixes and cuts the segments. Copies of a segment within the
    batch are settled there: only the least document sends it on, the others know of a smaller one. A group of copies
    thus sends one segment for each batch, not one for each document.
-2. Segments are dealt out by ranges of the prefix hash. The number of ranges follows the total text, so a range fits
-   in memory at any size. Within a range, segments are split by their whole prefix and, where a prefix is frequent, by
-   longer prefixes, until a group is small; each group's suffixes are sorted, which lists the leaves of its suffix tree
-   from left to right, and the inner nodes at depth ``window`` or below are the runs of leaves that agree in as many
-   words. The least document below such a node owns the windows; they are repeats in the others.
-3. The repeated windows return to their documents, packed, and the covered words are removed.
-
-Comparisons from step 1 on are of the words themselves; hashes only choose places and ranges.
+2. A first pass adds up the bytes that each bucket of prefix hashes would get. Prefixes in buckets over the limit are
+   frequent and are made longer, up to the whole window: see 4. The others keep ``prefix`` words.
+3. Segments of the other prefixes are dealt out by ranges of the prefix hash. The number of ranges follows the total
+   text, and a range has BUCKETS buckets none of which is over the limit, so it fits in memory at any size and for any
+   text. Within a range, segments are split by their whole prefix and, where a prefix has many leaves, by longer
+   prefixes, until a group is small; each group's suffixes are sorted, which lists the leaves of its suffix tree from
+   left to right, and the inner nodes at depth ``window`` or below are the runs of leaves that agree in as many words.
+   The least document below such a node owns the windows; they are repeats in the others.
+4. A suffix of a frequent prefix has the whole window as its prefix, at which depth a tree has no branches left to
+   find: its node is the group of equal windows. The least document of each is a grouped minimum that combines before
+   it shuffles, and a join on the window brings it back, so neither a prefix of a million continuations nor a window
+   in a third of all rows meets in one task.
+5. The repeated windows return to their documents, and the covered words are removed.
+
+Comparisons from step 1 on are of the words themselves; hashes only choose places, ranges and buckets.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,11 +39,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, table, unused
+from .common import WORD, bounded, table, text_key, unused, written
 
 WINDOW, PREFIX = 13, 3
 #: Bytes of segments that one range of prefixes is meant to hold, and leaves of one subtree.
 RANGE_BYTES, LEAVES = 14 << 20, 4096
+#: Buckets of a range, the bytes from which on a bucket's prefixes are frequent, and the most buckets that can be so:
+#: the limit follows the total where that many would not be enough, so their list is bounded.
+BUCKETS, FREQUENT_BYTES, MOST_FREQUENT = 8, 7 << 20, 1 << 22
 #: Bytes of text that are cut at once.
 PIECE = 4 << 20
 _SPACES = np.zeros(256, bool)
@@ -124,23 +136,23 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 
 def _pieces(batches, window: int):
-    """Lists of (id, first word, text) of some PIECE bytes; a longer text is several pieces that overlap by a window
-    less one word, so that each window lies in one of them."""
+    """Lists of (id, key, first word, text) of some PIECE bytes; a longer text is several pieces that overlap by a
+    window less one word, so that each window lies in one of them."""
     held, size = [], 0
     for pdf in batches:
-        for d, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+        for d, key, text in zip(pdf["doc_id"].tolist(), pdf["key"].tolist(), pdf["text"].tolist(), strict=True):
             if d is None or d != d or not text:
                 continue
             data = text.encode("utf-8", "surrogatepass")
             if len(data) > PIECE:
                 w = data.split()
                 step = max(window, len(w) * (PIECE // 2) // len(data))
-                parts = [(int(d), at, b" ".join(w[at : at + step + window - 1])) for at in range(0, max(1, len(w) - window + 1), step)]
+                parts = [(int(d), key, at, b" ".join(w[at : at + step + window - 1])) for at in range(0, max(1, len(w) - window + 1), step)]
             else:
-                parts = [(int(d), 0, data)]
+                parts = [(int(d), key, 0, data)]
             for part in parts:
                 held.append(part)
-                size += len(part[2])
+                size += len(part[3])
                 if size >= PIECE:
                     yield held
                     held, size = [], 0
@@ -148,36 +160,101 @@ def _pieces(batches, window: int):
         yield held
 
 
-def _cutter(ranges: int, window: int, prefix: int):
+@dataclass
+class _Cut:
+    """The segments of one batch: document, text key, first word, windows, prefix (begin, end) and its hash, text; and
+    which of them the batch has not settled."""
+
+    doc: np.ndarray
+    key: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    text: list[bytes]
+    send: np.ndarray
+
+    def bucket(self, buckets: int) -> np.ndarray:
+        return (self.hash % np.uint64(buckets)).astype(np.int64)
+
+
+def _cuts(batches, window: int, prefix: int):
+    for held in _pieces(batches, window):
+        held.sort(key=lambda x: x[:3])
+        ids, keys, base = (np.array([x[i] for x in held], np.int64) for i in range(3))
+        clean, (owner, begin, n, b0, b1, p0, p1, h), first = _segments([x[3] for x in held], window, prefix)
+        if not len(owner):
+            continue
+        data, doc = clean.tobytes(), ids[owner]
+        text = [data[a:b] for a, b in zip(b0.tolist(), b1.tolist(), strict=True)]
+        known: dict[bytes, int] = {}  # the first that has a segment is its least document
+        send = np.fromiter((known.setdefault(t, d) == d for t, d in zip(text, doc.tolist(), strict=True)), bool, len(text))
+        yield _Cut(doc, keys[owner], begin - first[owner] + base[owner], n, p0 - b0, p1 - b0, h, text, send)
+
+
+def _weigher(buckets: int, window: int, prefix: int):
+    """Step 2 as a function for mapInPandas: rows (bucket, bytes)."""
+
+    def run(batches):
+        for cut in _cuts(batches, window, prefix):
+            size = np.fromiter(map(len, cut.text), np.int64, len(cut.text))
+            bucket, at = np.unique(cut.bucket(buckets)[cut.send], return_inverse=True)
+            yield pd.DataFrame({"bucket": bucket, "bytes": np.bincount(at, size[cut.send], len(bucket)).astype(np.int64)})
+
+    return run
+
+
+def _runs(*columns: np.ndarray) -> list[slice]:
+    """Stretches of rows that agree in all columns."""
+    n = len(columns[0])
+    edge = np.zeros(max(0, n - 1), bool)
+    for c in columns:
+        edge |= np.diff(c) != 0
+    stops = [0, *(np.flatnonzero(edge) + 1).tolist(), n]
+    return [slice(a, b) for a, b in zip(stops[:-1], stops[1:], strict=True)]
+
+
+def _cutter(ranges: int, buckets: int, frequent: np.ndarray, window: int, prefix: int):
     """Step 1 as a function for mapInPandas: rows (range, payload) of segments, and of what is settled already."""
 
     def run(batches):
-        for held in _pieces(batches, window):
-            held.sort(key=lambda x: x[:2])
-            ids, base = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-            clean, (owner, begin, n, b0, b1, p0, p1, h), first = _segments([x[2] for x in held], window, prefix)
-            if not len(owner):
-                continue
-            data, doc, at = clean.tobytes(), ids[owner], begin - first[owner] + base[owner]
-            known: dict[bytes, int] = {}
-            text = [data[a:b] for a, b in zip(b0.tolist(), b1.tolist(), strict=True)]
-            send = np.fromiter((known.setdefault(t, d) == d for t, d in zip(text, doc.tolist(), strict=True)), bool, len(text))
-            order = (h % np.uint64(ranges)).astype(np.int64)
-            rows, chosen = [], np.flatnonzero(send)
+        for cut in _cuts(batches, window, prefix):
+            rows, order = [], (cut.hash % np.uint64(ranges)).astype(np.int64)
+            chosen = np.flatnonzero(cut.send & ~np.isin(cut.bucket(buckets), frequent))
             chosen = chosen[np.argsort(order[chosen], kind="stable")]
-            for part in np.split(chosen, np.flatnonzero(np.diff(order[chosen])) + 1):
-                rows.append((int(order[part[0]]), _pack({"doc": doc[part], "at": _narrow(at[part]), "n": _narrow(n[part]), "p": _narrow((p0 - b0)[part]), "q": _narrow((p1 - b0)[part]), "text": b"\n".join([text[i] for i in part.tolist()])})))
-            done = np.flatnonzero(~send)
+            for run_ in _runs(order[chosen]) if len(chosen) else ():
+                part = chosen[run_]
+                rows.append((int(order[part[0]]), _pack({"doc": cut.doc[part], "key": cut.key[part], "at": _narrow(cut.at[part]), "n": _narrow(cut.n[part]), "p": _narrow(cut.begin[part]), "q": _narrow(cut.end[part]), "text": b"\n".join([cut.text[i] for i in part.tolist()])})))
+            done = np.flatnonzero(~cut.send)
             if len(done):
-                edge = np.concatenate([[0], np.flatnonzero(np.diff(doc[done])) + 1, [len(done)]])
-                pairs = np.stack([at[done], n[done]], axis=1).astype(np.int32)
-                hits = [pairs[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-                rows.append((int(ids[0] % ranges), _pack({"settled": doc[done][edge[:-1]].tolist(), "hits": hits})))  # any range will do
+                pairs = np.stack([cut.at[done], cut.n[done]], axis=1).astype(np.int32)
+                own = _runs(cut.doc[done], cut.key[done])
+                settled = [(int(cut.doc[done[x.start]]), int(cut.key[done[x.start]])) for x in own]
+                rows.append((int(cut.doc[0] % ranges), _pack({"settled": settled, "hits": [pairs[x].tobytes() for x in own]})))  # any range will do
             yield pd.DataFrame(rows, columns=["range", "payload"])
 
     return run
 
 
+def _window_cutter(buckets: int, frequent: np.ndarray, window: int, prefix: int):
+    """Step 4 as a function for mapInPandas: rows (win, doc_id, key, at) of the windows of frequent prefixes; win is
+    null where a smaller document of the batch has the window too."""
+
+    def run(batches):
+        for cut in _cuts(batches, window, prefix):
+            known: dict[bytes, int] = {}
+            rows = []
+            for i in np.flatnonzero(cut.send & np.isin(cut.bucket(buckets), frequent)).tolist():
+                w, doc, key, at = cut.text[i].split(b" "), int(cut.doc[i]), int(cut.key[i]), int(cut.at[i])
+                for k in range(int(cut.n[i])):
+                    win = b" ".join(w[k : k + window])
+                    rows.append((win if known.setdefault(win, doc) == doc else None, doc, key, at + k))
+            yield pd.DataFrame(rows, columns=["win", "doc_id", "key", "at"])
+
+    return run
+
+
 def _split(group: list, depth: int, window: int):
     """Groups of suffixes of at most LEAVES, by ever longer prefixes; what agrees in a whole window stays together."""
     if len(group) <= LEAVES or depth >= window:
@@ -207,31 +284,31 @@ def _tree(leaves: list, window: int):
 
 
 def _grower(window: int):
-    """Step 2: the payloads of one range → repeated windows of documents."""
+    """Step 3: the payloads of one range → repeated windows of documents."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: dict[int, list] = defaultdict(list)  # document → first window, windows, first window, windows, ...
+        found: dict[tuple, list] = defaultdict(list)  # (document, key) → first window, windows, first window, ...
         segments: dict[bytes, list] = {}  # text → its least document, its windows, and where that document holds it
         groups: dict[bytes, list] = defaultdict(list)
-        done: list[tuple[int, bytes]] = []
+        done: list[tuple[int, int, np.ndarray]] = []
         for payload in pdf["payload"]:
             x = _unpack(payload)
             if "settled" in x:
-                done += zip(x["settled"], x["hits"], strict=True)
+                done += [(d, key, np.frombuffer(hits, np.int32)) for (d, key), hits in zip(x["settled"], x["hits"], strict=True)]
                 continue
-            for t, d, at, n, p, q in zip(x["text"].split(b"\n"), x["doc"].tolist(), x["at"].tolist(), x["n"].tolist(), x["p"].tolist(), x["q"].tolist(), strict=True):
+            for t, d, key, at, n, p, q in zip(x["text"].split(b"\n"), *[x[c].tolist() for c in ("doc", "key", "at", "n", "p", "q")], strict=True):
                 one = segments.get(t)
                 if one is None:
-                    segments[t] = [d, n, [at]]
+                    segments[t] = [d, n, [(key, at)]]
                     groups[t[p:q]].append(t)
                 elif d == one[0]:
-                    one[2].append(at)
+                    one[2].append((key, at))
                 elif d > one[0]:  # equal segments: all windows are the least document's
-                    found[d] += (at, n)
+                    found[d, key] += (at, n)
                 else:
-                    for was in one[2]:
-                        found[one[0]] += (was, n)
-                    one[0], one[2] = d, [at]
+                    for was, where in one[2]:
+                        found[one[0], was] += (where, n)
+                    one[0], one[2] = d, [(key, at)]
         for members in groups.values():
             if len(members) < 2:
                 continue
@@ -246,58 +323,86 @@ def _grower(window: int):
                     owner = min(leaf[1][0] for leaf in node)
                     for _, (d, _, places), i in node:
                         if d > owner:
-                            for at in places:
-                                found[d] += (at + i, 1)
-        done += [(d, np.array(v, np.int32).tobytes()) for d, v in found.items()]
-        return pd.DataFrame(done, columns=["doc_id", "hits"])
+                            for key, at in places:
+                                found[d, key] += (at + i, 1)
+        done += [(d, key, np.array(v, np.int32)) for (d, key), v in found.items()]
+        return pd.DataFrame(done, columns=["doc_id", "key", "hits"])
 
     return run
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs → (doc_id, hits): for each document with repeats, packed int32 pairs (first window, windows) in word
-    positions, of windows whose words also start in a document with a smaller id."""
+    """docs → (doc_id, key, hits): for each row with repeats, pairs (first window, windows) in word positions, one after
+    the other, of windows whose words also start in a document with a smaller id; ``key`` is a hash of the text."""
     bounded(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = int(max(24, -(-size * 4 // RANGE_BYTES)))
-    cut = own.mapInPandas(_cutter(ranges, window, min(PREFIX, window)), "range int, payload binary")
-    return cut.repartition(ranges, "range").groupBy("range").applyInPandas(_grower(window), "doc_id long, hits binary")
-
-
-def covered(n_words: int, hits: list[bytes], window: int = WINDOW) -> np.ndarray:
+    ranges, prefix = int(max(24, -(-size * 4 // RANGE_BYTES))), min(PREFIX, window)
+    buckets, limit = ranges * BUCKETS, max(FREQUENT_BYTES, size * 4 // MOST_FREQUENT)
+    loads = own.mapInPandas(_weigher(buckets, window, prefix), "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    frequent = np.array(sorted(r.bucket for r in loads.where(F.col("bytes") > limit).select("bucket").collect()), np.int64)  # MOST_FREQUENT at most
+    cut = own.mapInPandas(_cutter(ranges, buckets, frequent, window, prefix), "range int, payload binary")
+    hits = cut.repartition(ranges, "range").groupBy("range").applyInPandas(_grower(window), "doc_id long, key long, hits array<int>")
+    if len(frequent):
+        wins = written(own.mapInPandas(_window_cutter(buckets, frequent, window, prefix), "win binary, doc_id long, key long, at int"), "substring-windows")
+        open_ = wins.where("win IS NOT NULL")
+        least = open_.groupBy("win").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("win", "least")
+        more = open_.join(least, "win").where("doc_id > least").select("doc_id", "key", "at").unionByName(wins.where("win IS NULL").select("doc_id", "key", "at"))
+        hits = hits.unionByName(more.select("doc_id", "key", F.array("at", F.lit(1)).alias("hits")))
+    return hits
+
+
+def covered(n_words: int, hits: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which words the repeated windows cover."""
-    edge = np.zeros(n_words + 1, np.int64)
-    for h in hits:
-        pair = np.frombuffer(h, np.int32).reshape(-1, 2)
-        np.add.at(edge, np.minimum(pair[:, 0], n_words), 1)
-        np.add.at(edge, np.minimum(pair[:, 0] + pair[:, 1] + window - 1, n_words), -1)
+    edge, pair = np.zeros(n_words + 1, np.int64), np.asarray(hits, np.int64).reshape(-1, 2)
+    np.add.at(edge, np.minimum(pair[:, 0], n_words), 1)
+    np.add.at(edge, np.minimum(pair[:, 0] + pair[:, 1] + window - 1, n_words), -1)
     return np.cumsum(edge)[:-1] > 0
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs → all columns, with n_words, n_removed and kept_text added.
+_WORDS = re.compile(WORD)
+
+
+def without_words(text: str, gone: np.ndarray) -> str:
+    """The text without the marked words: each stretch of them goes from its first character to its last, and all that
+    lies around, line breaks and spaces too, stays."""
+    spans = [m.span() for m in _WORDS.finditer(text)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    out, at = [], 0
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        out.append(text[at : spans[a][0]])
+        at = spans[b - 1][1]
+    return "".join([*out, text[at:]])
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, layout: bool = False) -> DataFrame:
+    """docs → all columns, with n_words, n_removed and kept_text added: one row per input row.
 
     Every word that lies in a window of ``window`` words that also starts in a document with a smaller id is removed;
-    windows are judged on the input. kept_text joins the other words by one space. Null texts are empty; a row with a
-    null id is kept whole and takes no part; rows that repeat an id are one document each with the repeats of all of
-    them; an empty table gives an empty result. Columns n_words, n_removed and kept_text of the input are replaced.
+    windows are judged on the input. kept_text joins the other words by one space or, with ``layout``, is the text with
+    the removed stretches cut out and all white space around them as it was. Null texts are empty, and null with
+    ``layout``; a row with a null id is kept whole and takes no part; rows that repeat an id are documents of that id
+    each, judged by their own text, and do not repeat each other; a text over PIECE bytes is cut in overlapping pieces;
+    an empty table gives an empty result. Columns n_words, n_removed and kept_text of the input are replaced.
     """
     bounded(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    key, mark = unused(docs, "__id"), unused(docs, "__hits")
-    hits = repeated_windows(docs, id_col, text_col, window).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("hits").alias(mark))
-    rows = docs.join(hits, F.col(id_col) == F.col(key), "left").drop(key)
+    own, key, mark = unused(docs, "__id"), unused(docs, "__key"), unused(docs, "__hits")
+    hits = repeated_windows(docs, id_col, text_col, window).groupBy(F.col("doc_id").alias(own), F.col("key").alias(key)).agg(F.flatten(F.collect_list("hits")).alias(mark))
+    rows = docs.join(hits, (F.col(id_col).cast("long") == F.col(own)) & (text_key(F.col(text_col)) == F.col(key)), "left").drop(own, key)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
+    def one(text: str | None, hits) -> tuple:
+        w = (text or "").encode("utf-8", "surrogatepass").split()
+        if hits.is_valid:
+            gone = covered(len(w), hits.values.to_numpy(), window)
+            left = without_words(text, gone).encode("utf-8", "surrogatepass") if layout else b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g])
+            return len(w), int(gone.sum()), left
+        return len(w), 0, (None if text is None else text.encode("utf-8", "surrogatepass")) if layout else b" ".join(w)
+
     def run(batches):
         for batch in batches:
-            made = []
-            for text, hit in zip(batch.column(text_col).to_pylist(), batch.column(mark).to_pylist(), strict=True):
-                w = (text or "").encode("utf-8", "surrogatepass").split()
-                gone = covered(len(w), hit, window).tolist() if hit else [False] * len(w)
-                made.append((len(w), sum(gone), b" ".join([x for x, g in zip(w, gone, strict=True) if not g])))
-            columns = list(zip(*made, strict=True)) or [(), (), ()]
+            columns = list(zip(*map(one, batch.column(text_col).to_pylist(), batch.column(mark)), strict=True)) or [(), (), ()]
             rest = [n for n in batch.schema.names if n != mark]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in rest] + [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()).cast(pa.string())],
