@@ -1,11 +1,14 @@
 """Operator 10: packing documents into fixed windows by best-fit decreasing.
 
-Each task encodes its documents in blocks, cuts documents of over a window into full windows and places the rests,
-longest first, into the open window with the least room that still holds them. A segment tree over remaining room,
-one leaf for each amount, finds that window in log2(window) steps. Blocks are packed alone, in the task that encoded
-them, so nothing is shuffled and memory is bounded by a block; at thousands of rests a block, what stays open at its
-end is a small share. The rests in windows that stay under ``refill`` full at the end of a block are put
-end to end and cut again, which leaves one short window for a partition.
+Each task encodes its documents in blocks, cuts documents of over a window into full windows and places the rests of a
+block, longest first, into the open window with the least room that still holds them. A segment tree over remaining
+room, one leaf for each amount, finds that window in log2(window) steps. Windows that a block leaves open stay in the
+tree for the next one, so a rest meets all room that its task has; a full window is written at once, and what is open at
+the end of the task is written as it is, to be padded. Tasks pack alone, so nothing is shuffled. Memory is bounded by a
+block and by OPEN windows: where more are open, the fullest ones are written, which hardly any rest would fit.
+
+Which documents share a window follows from how the table is split into tasks, which differs between clusters; pieces of
+a document and their contents do not.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 from .byte_tokens import ByteTokens
 from .common import bounded, table
 
-WINDOW, BLOCK, BLOCK_BYTES, REFILL = 2048, 8192, 48 << 20, 0.98
+WINDOW, BLOCK, BLOCK_BYTES = 2048, 8192, 48 << 20
+#: Windows that a task holds open.
+OPEN = 8192
 
 
 class RoomTree:
@@ -57,22 +62,48 @@ class RoomTree:
         return room, self.open[room].pop()
 
 
-def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
-    """Window, offset of each piece of length 1..capacity, and the fill of every window."""
-    tree, fill = RoomTree(capacity), []
-    window, offset = [0] * len(lengths), [0] * len(lengths)
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        got = tree.take(lengths[i])
+    def fullest(self) -> int | None:
+        """Removes and returns the open window with the least room."""
+        got = self.take(1)
+        return None if got is None else got[1]
+
+
+class Packer:
+    """Best fit over blocks of pieces: windows by number, their fill, and the tree of those with room."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.tree, self.fill = capacity, RoomTree(capacity), {}
+        self.made = 0
+
+    def place(self, length: int) -> tuple[int, int]:
+        """Window and offset of a piece of length 1..capacity."""
+        got = self.tree.take(length)
         if got is None:
-            room, w = capacity, len(fill)
-            fill.append(0)
-        else:
-            room, w = got
-        window[i], offset[i] = w, fill[w]
-        fill[w] += lengths[i]
-        if room > lengths[i]:
-            tree.put(room - lengths[i], w)
-    return window, offset, fill
+            got = self.capacity, self.made
+            self.made += 1
+            self.fill[got[1]] = 0
+        room, window = got
+        offset = self.fill[window]
+        self.fill[window] += length
+        if room > length:
+            self.tree.put(room - length, window)
+        return window, offset
+
+    def block(self, lengths: list[int]) -> list[tuple[int, int]]:
+        """Window and offset of each piece, placed longest first."""
+        out: list = [None] * len(lengths)
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            out[i] = self.place(lengths[i])
+        return out
+
+    def closed(self, most: int = 0) -> list[int]:
+        """Forgets and returns the windows that are full, then the fullest until ``most`` are open."""
+        out = [w for w, f in self.fill.items() if f == self.capacity]
+        for _ in range(len(self.fill) - len(out) - most):
+            out.append(self.tree.fullest())
+        for w in out:
+            del self.fill[w]
+        return out
 
 
 def _blocks(batches, tokens: ByteTokens, end_id: int, block: int):
@@ -92,20 +123,21 @@ def _blocks(batches, tokens: ByteTokens, end_id: int, block: int):
         yield held
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, block: int = BLOCK, refill: float = REFILL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, block: int = BLOCK, most_open: int = OPEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs → pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Pieces of a document begin at
     ``start`` of its ids; pieces of a sequence lie end to end from offset 0. A sequence is padded to ``window`` when
-    tensors are made, unless its length is a power of two. Every row is packed, repeated and null ids included; an
-    empty table gives no piece.
+    tensors are made, unless its length is a power of two. Every row is packed, rows with repeated and null ids too,
+    each with its own text; of equal lengths the earlier row is placed first; a very long text is full windows and a
+    rest; an empty table gives no piece; other columns are not read.
     """
 
     def run(batches):
-        tokens = ByteTokens.load(tokenizer)
+        tokens, packer = ByteTokens.load(tokenizer), Packer(window)
         base = TaskContext.get().partitionId() << 33
-        used, loose = 0, []  # windows so far; pieces (document, start, bytes, ids of the document) of windows left open
-        poured, at = [], 0  # pieces of the one window that takes the loose ones, and its fill
+        used = 0  # sequences written so far
+        held: dict[int, list] = {}  # open window → its pieces: document, start, ids, ids of the document, offset
 
         def rows(placed):
             for low in range(0, len(placed), 4096):
@@ -113,40 +145,30 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
                 size = [len(p[2]) // 4 for p in part]
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]).astype(np.int32)), pa.array(np.frombuffer(b"".join(p[2] for p in part), "<i4"), pa.int32()))
                 column = lambda k: pa.array([p[k] for p in part], pa.int64())
-                yield pa.RecordBatch.from_arrays([column(0), column(1), pa.array(size, pa.int64()), ids, column(3), column(4), column(5)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([column(0), column(1), pa.array(size, pa.int64()), ids, column(3), column(5), column(4)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+        def written(windows):
+            nonlocal used
+            out = []
+            for w in windows:
+                out += [(*p, base + used) for p in held.pop(w)]
+                used += 1
+            return out
 
-        for held in _blocks(batches, tokens, end_id, block):
+        for docs_ in _blocks(batches, tokens, end_id, block):
             placed, rests = [], []
-            for doc, data in held:
+            for doc, data in docs_:
                 total = len(data) // 4
                 whole = total // window * window
                 for start in range(0, whole, window):
-                    placed.append((doc, start, data[4 * start : 4 * (start + window)], total, base + used, 0))
+                    placed.append((doc, start, data[4 * start : 4 * (start + window)], total, 0, base + used))
                     used += 1
                 if whole < total:
                     rests.append((doc, whole, data[4 * whole :], total))
-            where, offset, fill = best_fit_decreasing([len(r[2]) // 4 for r in rests], window)
-            name, full = {}, [f >= refill * window for f in fill]
-            for w, yes in enumerate(full):
-                if yes:
-                    name[w] = base + used
-                    used += 1
-            for r, w, o in zip(rests, where, offset, strict=True):
-                if full[w]:
-                    placed.append((*r, name[w], o))
-                else:
-                    loose.append(r)
-            for doc, start, data, total in loose:  # end to end, cut where a window is full
-                while data:
-                    part, data = data[: 4 * (window - at)], data[4 * (window - at) :]
-                    poured.append((doc, start, part, total, at))
-                    start, at = start + len(part) // 4, at + len(part) // 4
-                    if at == window:
-                        placed += [(*p[:4], base + used, p[4]) for p in poured]
-                        poured, used, at = [], used + 1, 0
-            loose = []
-            yield from rows(placed)
-        yield from rows([(*p[:4], base + used, p[4]) for p in poured])
+            for rest, (w, offset) in zip(rests, packer.block([len(r[2]) // 4 for r in rests]), strict=True):
+                held.setdefault(w, []).append((*rest, offset))
+            yield from rows(placed + written(packer.closed(most_open)))
+        yield from rows(written(packer.closed()))
 
     bounded(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
