@@ -3,11 +3,13 @@
 The vocabulary lower-cases, drops white space and ends words with ``</w>``. A greedy-merge encoding has the property
 that a sequence of tokens is the encoding of its text if and only if each two neighbours are the encoding of theirs.
 So the encoding of a prefix is that of a shorter prefix plus one last token, and the last token is all that needs to be
-kept for each prefix. Distinct new words form a trie; walked depth-first, each node gets its last token from its
-ancestors', and words that share a prefix share that work. The verdicts on neighbours are kept as well.
+kept for each prefix. Distinct new words are inserted into a trie in sorted order, which is its depth-first order; each
+new node gets its last token from its ancestors', and words that share a prefix share that work, also with words of
+earlier batches, for the worker keeps the trie. The verdicts on neighbours are kept as well. Very long words, such as a
+text without spaces, are walked alone and not kept.
 
 Text is cut at white space into chunks, and a worker keeps what each distinct chunk gave, so the trie sees new chunks
-alone. Both stores are emptied when they reach a bound.
+alone. All stores are bounded by their bytes or nodes and are emptied when they reach the bound.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded, sha, table
 
-#: Chunks and neighbour verdicts that a worker keeps.
-KEPT_CHUNKS, KEPT_PAIRS = 1_000_000, 1_500_000
+#: Bytes of chunks, their ids and decoded texts, nodes of the trie and neighbour verdicts that a worker keeps. A chunk
+#: counts CHUNK_BYTES beside its texts. Longer chunks and words than these many characters are not kept.
+KEPT_BYTES, KEPT_NODES, KEPT_PAIRS = 400 << 20, 1_000_000, 1_500_000
+CHUNK_BYTES, LONG_CHUNK, LONG_WORD = 330, 2048, 64
 #: Fixed value: the pattern of words in the vocabulary's file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
@@ -59,7 +63,20 @@ class TrieBPE:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
+        self._empty_trie()
+        self._empty_chunks()
+
+    def _empty_chunks(self) -> None:
         self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.kept_bytes = 0
+        for name, i in self.special.items():
+            self.chunks[name] = 1, str(i), name
+
+    def _empty_trie(self) -> None:
+        """Node 0 is the root; ``child`` leads from (node, character), as one number, to a node; ``last`` and ``size``
+        are each node's last token and its length."""
+        self.child: dict[int, int] = {}
+        self.node_last, self.node_size = [0], [0]
 
     def symbols(self, token: int) -> list[str]:
         text = self.tokens[token]
@@ -108,42 +125,67 @@ class TrieBPE:
                 return token, n
         raise ValueError(f"no encoding of {text[:depth]!r}")
 
+    def _insert(self, word: str, path: list[int], last: list[int], size: list[int]) -> None:
+        """Walks a word down the trie from the node that ends ``path``, making nodes that are not there; ``last`` and
+        ``size`` are the states along the path."""
+        child, keep = self.child, len(word) <= LONG_WORD
+        for depth in range(len(path), len(word)):  # inner nodes: prefixes without the word's end
+            key = path[-1] << 21 | ord(word[depth - 1])
+            node = child.get(key) if keep else None
+            if node is None:
+                token, n = self.last_token(word, depth, "", last, size)
+                node = len(self.node_last)
+                if keep:
+                    child[key] = node
+                    self.node_last.append(token)
+                    self.node_size.append(n)
+            else:
+                token, n = self.node_last[node], self.node_size[node]
+            path.append(node)
+            last.append(token)
+            size.append(n)
+
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Encodes distinct words, in stand-in characters. Sorted, they are the trie's leaves in depth-first order;
-        ``last`` and ``size`` hold the states on the path from the root to the current node."""
+        """Encodes distinct words, in stand-in characters. Sorted, they are leaves in the trie's depth-first order, so
+        the path to one is cut back to what the next one shares with it."""
         if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
+        if len(self.node_last) > KEPT_NODES:
+            self._empty_trie()
         out: dict[str, list[int]] = {}
-        last, size, before = [0], [0], ""
+        path, last, size, before = [0], [0], [0], ""
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word), len(last) - 1)
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del last[shared + 1 :], size[shared + 1 :]
-            for depth in range(shared + 1, len(word)):  # an inner node: a prefix without the word's end
-                token, n = self.last_token(word, depth, "", last, size)
-                last.append(token)
-                size.append(n)
+            shared, most = 0, min(len(before), len(word), len(path) - 1)
+            if len(word) <= LONG_WORD:
+                while shared < most and before[shared] == word[shared]:
+                    shared += 1
+            del path[shared + 1 :], last[shared + 1 :], size[shared + 1 :]
+            self._insert(word, path, last, size)
             token, at = self.last_token(word, len(word), END, last, size)
             ids, at = [token], len(word) - at
             while at:
                 ids.append(last[at])
                 at -= size[at]
             out[word] = ids[::-1]
-            before = word
+            before = word if len(word) <= LONG_WORD else ""
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> dict[str, tuple[int, str, str]]:
+        """What new chunks give; those that are not long are kept."""
         chars = _byte_chars()
         parts, new = {}, set()
         for chunk in chunks:
             text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
             parts[chunk] = words = [w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]) for w in self.pieces(text.lower())]
             new.update(words)
-        known = self.encode_words(list(new))
+        known, out = self.encode_words(list(new)), {}
         for chunk, words in parts.items():
             ids = [i for w in words for i in known[w]]
-            self.chunks[chunk] = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            out[chunk] = got = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            if len(chunk) <= LONG_CHUNK:
+                self.chunks[chunk] = got
+                self.kept_bytes += CHUNK_BYTES + 4 * len(chunk) + len(got[1]) + 4 * len(got[2]) if not chunk.isascii() else CHUNK_BYTES + len(chunk) + len(got[1]) + len(got[2])
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, as this vocabulary without a decoder is decoded."""
@@ -165,16 +207,14 @@ class TrieBPE:
                 parts.append(one)
             else:
                 parts.append(self._chunks(text))
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks.clear()
-        for name, i in self.special.items():
-            self.chunks[name] = 1, str(i), name
-        new = {c for one in parts for c in one if c not in self.chunks}
-        if new:
-            self._learn(list(new))
+        if self.kept_bytes > KEPT_BYTES:
+            self._empty_chunks()
+        kept = self.chunks
+        new = {c for one in parts for c in one if c not in kept}
+        made = self._learn(list(new)) if new else {}
         out = []
         for one in parts:
-            got = [self.chunks[c] for c in one]
+            got = [kept[c] if c in kept else made[c] for c in one]
             out.append((sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])))
         return out
 
@@ -184,29 +224,54 @@ def load(path: str) -> TrieBPE:
     return TrieBPE(path)
 
 
+#: Characters and texts that are encoded at once.
+ASKED_CHARS, ASKED_TEXTS = 4 << 20, 500
+
+
+def _asked(texts: list[str | None]):
+    """Stretches of texts, of bounded length in all; a longer text is a stretch of its own."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= ASKED_CHARS or len(held) == ASKED_TEXTS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs → (doc_id, n_tokens, ids array<int>, decoded). A null text is an empty one and has no ids."""
+    """docs → (doc_id, n_tokens, ids array<int>, decoded): one row per input row.
+
+    A null text is an empty one and has no ids; null ids stay null; rows that repeat an id or a text are rows of their
+    own, equal texts with equal results; texts of any length and without spaces are encoded whole; an empty table gives
+    an empty result; other columns are not read, whatever their names."""
 
     def run(batches):
         bpe = load(tokenizer)
         for batch in batches:
-            got = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
-            ids = [[int(x) for x in g[1].split()] for g in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            at = 0
+            for texts in _asked(batch.column(1).to_pylist()):
+                got = bpe.encode(texts)
+                ids = pa.array([[int(x) for x in g[1].split()] for g in got], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(got)), pa.array([g[0] for g in got], pa.int64()), ids, pa.array([g[2] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+                at += len(got)
 
     bounded(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def token_text_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs → (doc_id, n_tokens, ids_sha256, decoded_sha256) without sending ids or texts out of Python."""
+    """docs → (doc_id, n_tokens, ids_sha256, decoded_sha256) without sending ids or texts out of Python; rows as in
+    ``encode_texts``."""
 
     def run(batches):
         bpe = load(tokenizer)
         for pdf in batches:
             rows = []
-            for at in range(0, len(pdf), 500):
-                rows += [(n, sha(ids), sha(text)) for n, ids, text in bpe.encode([t or "" for t in pdf["text"][at : at + 500]])]
+            for texts in _asked(pdf["text"].tolist()):
+                rows += [(n, sha(ids), sha(text)) for n, ids, text in bpe.encode(texts)]
             n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": list(n), "ids_sha256": list(ids), "decoded_sha256": list(text)})
 
