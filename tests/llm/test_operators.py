@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,13 +78,43 @@ def test_simhash(docs, empty, plain, hot):
             if a < b and bin(fp[a] ^ fp[b]).count("1") <= 2:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    assert {i: (f"{fp[i]:016x}", find(i)) for i in fp} == {i: (r.fingerprint, r.component_id) for i, r in got.items()}
+    near = {i: len({f for f in fp.values() if f != fp[i] and (f ^ fp[i]).bit_count() <= 2}) for i in fp}
+    assert {i: (f"{fp[i]:016x}", find(i), near[i]) for i in fp} == {i: (r.fingerprint, r.component_id, r.n_links) for i, r in got.items()}
     assert simhash.near_groups(empty).count() == 0
     assert fp[9] == fp[12] == 0
     again = simhash.near_groups(with_null_id(docs.unionByName(docs)), hot=hot)
     assert again.count() == 2 * len(plain) + 1
-    kept = simhash.keep_one(docs.unionByName(docs)).collect()
-    assert sorted(r.doc_id for r in kept) == sorted({find(i) for i in fp})
+
+
+def test_simhash_keeps_one_row(spark, docs, empty, plain):
+    """Repeated ids: the row that copies another goes, the row of the same id that is unique stays, always the same."""
+    w = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, w, "b"), (2, w, "a"), (2, "quite another text with other words in it altogether now", "a"), (None, w, "a"), (None, "a third text that only a row without an id has got", "a"), (1, w, "a"), (7, None, "z"), (5, "", "y")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for keep in (simhash.keep_one, simhash.keep_one_alike):
+        for parts in (1, 5):
+            got = {tuple(r) for r in keep(given.repartition(parts)).collect()}
+            assert got == {(1, w, "a"), rows[2], rows[4], (5, "", "y")}
+        assert keep(empty).count() == 0 and keep(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("hot", [1, 8, 64])
+def test_simhash_lists_all_links_of_crowded_segments(spark, hot):
+    r = random.Random(1)
+    fps = {r.getrandbits(64) for _ in range(20)}
+    for b in list(fps)[:5]:
+        for _ in range(60):
+            x = b
+            for _ in range(r.randint(1, 4)):
+                x ^= 1 << r.randint(0, 63)
+            fps.add(x)
+    b, bits = min(fps), [r.randint(0, 63) for _ in range(7)]
+    for m in range(1 << 7):
+        fps.add(b ^ sum({1 << k for i, k in enumerate(bits) if m >> i & 1}))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fps = sorted(map(signed, fps))
+    want = sorted((a, c) for a in fps for c in fps if a < c and ((a ^ c) & (1 << 64) - 1).bit_count() <= 2)
+    assert sorted((x.a, x.b) for x in simhash.near_links(spark.createDataFrame([(x,) for x in fps], "fp long"), hot).collect()) == want
 
 
 def test_simhash_stage_takes_jaccard(spark):
@@ -215,18 +246,47 @@ def test_packing(docs, empty, plain, path):
 
 
 def test_best_fit_matches_plain_search():
+    """Over several blocks, with and without a bound on open windows, as a plain search through all open windows."""
     r = random.Random(2)
-    for _ in range(30):
-        lengths = [r.randint(1, 100) for _ in range(r.randint(0, 200))]
-        window, offset, fill = packing.best_fit_decreasing(lengths, 100)
-        plain, sizes = [], sorted(lengths, reverse=True)
-        for n in sizes:
-            fits = [f for f in plain if f + n <= 100]
-            if fits:
-                plain[plain.index(max(fits))] += n
-            else:
-                plain.append(n)
-        assert sorted(fill) == sorted(plain) and sum(fill) == sum(lengths)
+    for trial in range(40):
+        most = [10**9, 5][trial % 2]
+        packer, plain, shut, got = packing.Packer(100), [], [], []
+        for _ in range(r.randint(1, 4)):
+            lengths = [r.randint(1, 100) for _ in range(r.randint(0, 80))]
+            placed = packer.block(lengths)
+            for n, (w, offset) in zip(lengths, placed, strict=True):
+                assert 0 <= offset <= 100 - n
+            for n in sorted(lengths, reverse=True):
+                fits = [f for f in plain if f + n <= 100]
+                if fits:
+                    plain[plain.index(max(fits))] += n
+                else:
+                    plain.append(n)
+            fill = dict(packer.fill)
+            got += [fill[w] for w in packer.closed(most)]
+            shut += [f for f in plain if f == 100]
+            plain = sorted(f for f in plain if f < 100)
+            while len(plain) > most:
+                shut.append(plain.pop())
+            assert sorted(got) == sorted(shut) and sorted(packer.fill.values()) == plain
+        fill = dict(packer.fill)
+        assert sorted(fill[w] for w in packer.closed()) == plain and not packer.fill
+
+
+def test_packing_carries_open_windows(docs, path):
+    """Small blocks leave no more windows than one block does, and repeated and null ids are packed each with its text."""
+    one = docs.coalesce(1)
+    count = lambda **k: packing.pack_documents(one, path("byte_bpe_50k.json"), **k).select("sequence_id").distinct().count()
+    assert count(block=3) <= count() + 1
+    both = docs.unionByName(docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" again")))).unionByName(with_null_id(docs).where("doc_id IS NULL"))
+    rows = packing.pack_documents(both, path("byte_bpe_50k.json"), block=7).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = sorted(tuple(t.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in both.collect())
+    assert sum(r.length for r in rows) == sum(map(len, want)) and sorted(r.doc_tokens for r in rows if r.start == 0) == sorted(map(len, want))
+    short = [w for w in want if len(w) <= 2048]
+    assert sorted(tuple(r.ids) for r in rows if r.doc_tokens <= 2048) == short
 
 
 def test_pii_base_and_field(docs, empty, plain):
@@ -319,20 +379,42 @@ def test_bpe(docs, empty, plain, path):
         assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), t.decode(want, skip_special_tokens=False)), x
 
 
-def _removed(texts, window):
-    first = {}
-    words = {i: t.encode().split() for i, t in texts.items()}
-    for i in sorted(words):
-        for k in range(len(words[i]) - window + 1):
-            first.setdefault(tuple(words[i][k : k + window]), i)
-    out = {}
-    for i, w in words.items():
+def test_bpe_keeps_bounded_stores(path, monkeypatch):
+    """Stores that fill up again and again, long words and texts without spaces change no result."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("word_bpe_49k.json"))
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "KEPT_NODES", 300)
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 300)
+    b, r = bpe.TrieBPE(path("word_bpe_49k.json")), random.Random(4)
+    for _ in range(12):
+        texts = [" ".join("".join(r.choice("abcdeé漢") for _ in range(r.choice([3, 8, 70, 3000]))) for _ in range(5)) for _ in range(20)]
+        for x, (n, ids, decoded) in zip(texts, b.encode(texts), strict=True):
+            want = t.encode(x, add_special_tokens=False).ids
+            assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), t.decode(want, skip_special_tokens=False))
+        assert b.kept_bytes < 20_000 + 20 * 5 * 3000 and max(map(len, b.chunks)) <= bpe.LONG_CHUNK and len(b.node_last) < 300 + 20 * 5 * 64
+    assert [len(x) for x in bpe._asked(["a" * (5 << 20), "b", None] + ["c"] * 600)] == [1, 500, 102]
+
+
+def _removed_rows(rows, window):
+    """Rows (id, text) → sorted (id, words, removed, kept): each row by its own text, against all rows of smaller ids."""
+    first, words = {}, [(i, t.encode().split()) for i, t in rows]
+    for i, w in sorted(words, key=lambda x: x[0]):
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), i)
+    out = []
+    for i, w in words:
         gone = [False] * len(w)
         for k in range(len(w) - window + 1):
             if first[tuple(w[k : k + window])] < i:
                 gone[k : k + window] = [True] * window
-        out[i] = (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode())
-    return out
+        out.append((i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return sorted(out)
+
+
+def _removed(texts, window):
+    return {i: rest for i, *rest in map(tuple, _removed_rows(list(texts.items()), window)) for rest in [tuple(rest)]}
 
 
 @pytest.mark.parametrize("window", [3, 13])
@@ -345,6 +427,28 @@ def test_substring(spark, docs, empty, plain, window, monkeypatch):
     assert substring.dedup_substrings(with_null_id(docs.unionByName(docs))).count() == 2 * len(plain) + 1
 
 
+@pytest.mark.parametrize("limit", [substring.FREQUENT_BYTES, 600, 1])
+def test_substring_repeated_ids_and_frequent_prefixes(spark, monkeypatch, limit):
+    """Rows of one id are judged by their own texts, and prefixes of many continuations give the same by either way."""
+    monkeypatch.setattr(substring, "FREQUENT_BYTES", limit)
+    r = random.Random(3)
+    w = [f"w{i}" for i in range(300)]
+    base = " ".join(r.choice(w) for _ in range(400))
+    rows = [(1, base[:600]), (2, base[:600]), (2, " ".join(r.choice(w) for _ in range(30))), (1, base[:600])]
+    for i in range(160):
+        head = " ".join("all rights reserved " + " ".join(r.choice(w) for _ in range(4)) for _ in range(r.randint(1, 6)))
+        rows.append((i % 70 + 3, head + (" " + base[r.randint(0, 500) :][: r.randint(50, 900)] if r.random() < 0.5 else "")))
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in substring.dedup_substrings(given).collect()) == _removed_rows(rows, 13)
+
+
+def test_substring_layout():
+    text = "a  b\n\nc d\te\n f "
+    assert substring.without_words(text, np.array([0, 0, 1, 1, 0, 0], bool)) == "a  b\n\n\te\n f "
+    assert substring.without_words(text, np.array([1, 0, 0, 0, 0, 1], bool)) == "  b\n\nc d\te\n  "
+    assert substring.without_words(text, np.ones(6, bool)) == " " and substring.without_words(text, np.zeros(6, bool)) == text
+
+
 def test_substring_long_and_crowded(spark):
     r = random.Random(8)
     few = ["a", "b"]
@@ -357,9 +461,9 @@ def test_substring_long_and_crowded(spark):
 
 
 def test_substring_pieces_of_long_texts():
-    held = [x for part in substring._pieces([__import__("pandas").DataFrame({"doc_id": [1, 2], "text": ["w " * 10, " ".join(map(str, range(2_000_000)))]})], 13) for x in part]
+    held = [x for part in substring._pieces([pd.DataFrame({"doc_id": [1, 2], "key": [0, 0], "text": ["w " * 10, " ".join(map(str, range(2_000_000)))]})], 13) for x in part]
     words, at = [str(x) for x in range(2_000_000)], 0
-    for d, base, data in held[1:]:
+    for d, _, base, data in held[1:]:
         w = data.decode().split()
         assert d == 2 and words[base : base + len(w)] == w and base <= max(0, at - 12)
         at = base + len(w)
