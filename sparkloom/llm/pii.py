@@ -4,10 +4,12 @@ The patterns give the base spans of four kinds, which always stay. The field loo
 signs and adds spans that the patterns miss, such as telephone numbers without a plus sign or addresses that spell out
 "at". It scores whole candidate spans, not tokens: digits, groups, separators, check digits, the word before and what
 touches the span's ends are features of a span and a kind. A segmentation of a region is a sequence of spans of up to
-SPAN tokens and single tokens outside; dynamic programming over span ends finds the best one, boundaries and kinds
-together, in time linear in the region. Weights maximise the likelihood of segmentations of composed examples and of
-regions from a bounded sample of the corpus, labelled by the patterns; gradients come from the forward-backward sums
-over all segmentations.
+SPAN tokens and single tokens outside; a weight between the kinds of each span and of the one before it makes kinds
+depend on each other. Dynamic programming over span ends and the last kind finds the best segmentation, boundaries and
+kinds together, in time linear in the region. Weights maximise the likelihood of segmentations of composed examples and
+of regions from a bounded sample of the corpus, labelled by the patterns; gradients come from the forward-backward sums
+over all segmentations. Regions in which a first fit to the composed examples sees more than the patterns do are left
+out of the sample, for the patterns do not say what that is.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _FIND = {k: re.compile(v) for k, v in PATTERNS.items()}
-#: Tokens of a candidate span; characters that a region takes in on either side; regions and rounds of training.
-SPAN, AROUND, SAMPLE, ROUNDS = 17, 28, 300, 12
+#: Tokens of a candidate span; characters that a region takes in on either side; the most sampled texts, and pieces of
+#: their regions, of at most LONGEST characters each, to learn from; rounds of training, and of the second fit.
+SPAN, AROUND, SAMPLE, LONGEST, ROUNDS, MORE_ROUNDS = 17, 28, 300, 400, 60, 30
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 _TRIGGER = re.compile(r"[0-9]+|@|[\[(] ?(?:at|AT) ?[\])]| at (?=[\w-]+ dot )")
 _CUES = {
@@ -112,10 +115,13 @@ def _shape(s: str) -> tuple[str, ...]:
 
 
 class Field:
-    """Weights by (kind, feature) and the dynamic programmes over a region."""
+    """Weights of features for each kind, weights between a kind and the kind before it (row 0: none before), and the
+    dynamic programmes over a region."""
 
-    def __init__(self, weights: dict[tuple[str, str], float] | None = None):
-        self.weights = weights or {}
+    def __init__(self, index: dict[str, int] | None = None, weights: np.ndarray | None = None, steps: np.ndarray | None = None):
+        self.index = index or {}
+        self.weights = weights if weights is not None else np.zeros((0, len(KINDS)))
+        self.steps = steps if steps is not None else np.zeros((len(KINDS) + 1, len(KINDS)))
 
     @staticmethod
     def spans(text: str, a: int, b: int, taken: list[tuple[int, int]] = ()) -> tuple[list[int], list[tuple[int, int, tuple[str, ...]]]]:
@@ -142,53 +148,121 @@ class Field:
         return cuts, out
 
     def scores(self, spans) -> np.ndarray:
-        w = self.weights
-        return np.array([[sum([w.get((k, f), 0.0) for f in x[2]]) for k in KINDS] for x in spans]).reshape(len(spans), len(KINDS))
+        if not self.index or not spans:
+            return np.zeros((len(spans), len(KINDS)))
+        get, flat, stops = self.index.get, [], []
+        for x in spans:  # every span has a known feature, "span"
+            stops.append(len(flat))
+            flat += [i for i in map(get, x[2]) if i is not None]
+        return np.add.reduceat(self.weights[flat], stops, axis=0)
 
     def best(self, cuts: list[int], spans) -> list[tuple[str, int, int]]:
         """Viterbi: the best segmentation's spans, as (kind, start, end)."""
         if not spans:
             return []
-        score = self.scores(spans)
-        kind, top = score.argmax(axis=1), score.max(axis=1)
-        ends: dict[int, list[int]] = {}
-        for x, (_, j, _) in enumerate(spans):
-            if top[x] > 0:
-                ends.setdefault(j, []).append(x)
-        total, came = [0.0] * len(cuts), [-1] * len(cuts)
+        score, steps = self.scores(spans), self.steps
+        # the most that a span of a kind can add: its score, the step to it, and what it changes for the next step
+        most = score + steps.max(axis=0) + np.maximum(0, (steps[1:] - steps.min(axis=0)).max(axis=1))
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for x, k in np.argwhere(most > 0).tolist():
+            ends.setdefault(spans[x][1], []).append((x, k))
+        if not ends:
+            return []
+        step, value, states = steps.tolist(), score.tolist(), range(len(KINDS) + 1)
+        total: list[list[float]] = [[0.0, *[-np.inf] * len(KINDS)]]
+        came: list[list | None] = [None]
         for j in range(1, len(cuts)):
-            total[j] = total[j - 1]
-            for x in ends.get(j, ()):
-                if (value := total[spans[x][0]] + top[x]) > total[j]:
-                    total[j], came[j] = value, x
+            now, by = total[j - 1], None
+            for x, k in ends.get(j, ()):
+                before = total[spans[x][0]]
+                got, s = max((before[s] + step[s][k], -s) for s in states)
+                if got + value[x][k] > now[k + 1]:
+                    if by is None:
+                        now, by = now.copy(), [None] * len(states)
+                    now[k + 1], by[k + 1] = got + value[x][k], (x, -s)
+            total.append(now)
+            came.append(by)
         out, j = [], len(cuts) - 1
+        state = max(states, key=lambda s: (total[j][s], -s))
         while j > 0:
-            if came[j] < 0:
+            got = came[j][state] if came[j] else None
+            if got is None:
                 j -= 1
             else:
-                i = spans[came[j]][0]
-                out.append((KINDS[kind[came[j]]], cuts[i], cuts[j]))
-                j = i
+                i = spans[got[0]][0]
+                out.append((KINDS[state - 1], cuts[i], cuts[j]))
+                j, state = i, got[1]
         return out[::-1]
 
-    def expected(self, n: int, spans) -> np.ndarray:
-        """Probability of each (span, kind) under the field, by sums forward and backward over segmentations."""
-        score = self.scores(spans)
-        mass = np.logaddexp.reduce(score, axis=1)
-        starts: dict[int, list[int]] = {}
-        ends: dict[int, list[int]] = {}
-        for x, (i, j, _) in enumerate(spans):
-            starts.setdefault(i, []).append(x)
-            ends.setdefault(j, []).append(x)
-        forth, back = np.zeros(n), np.zeros(n)
-        for j in range(1, n):
-            own = ends.get(j, ())
-            forth[j] = np.logaddexp.reduce([forth[j - 1], *[forth[spans[x][0]] + mass[x] for x in own]])
-        for i in range(n - 2, -1, -1):
-            own = starts.get(i, ())
-            back[i] = np.logaddexp.reduce([back[i + 1], *[back[spans[x][1]] + mass[x] for x in own]])
-        outer = np.array([forth[i] + back[j] for i, j, _ in spans]) - forth[-1]
-        return np.exp(score + outer[:, None])
+
+class _Lattice:
+    """All candidate spans of many regions, by region, and the sums over all segmentations of each, for all regions at
+    once. Sums are of exponentials: a region is short, and scores are held within ±CLIP while learning."""
+
+    CLIP = 25.0
+
+    def __init__(self, made: list[tuple[int, list, np.ndarray]], index: dict[str, int]):
+        """made: (borders, spans, kind of each span or -1) of every region; new features enter the index."""
+        tuples: dict[tuple, int] = {}
+        rows = [(j, r, i, tuples.setdefault(f, len(tuples)), k) for r, (_, spans, kind) in enumerate(made) for (i, j, f), k in zip(spans, kind.tolist(), strict=True)]
+        rows.sort(key=lambda x: x[:3])
+        self.end, self.region, self.start, self.shape, self.kind = np.array(rows, np.int64).reshape(-1, 5).T
+        flat = [[index.setdefault(f, len(index)) for f in t] for t in tuples]
+        self.stops = np.cumsum([0, *map(len, flat)])[:-1]
+        self.flat = np.array([i for t in flat for i in t], np.int64)
+        self.owner = np.repeat(np.arange(len(flat)), [len(t) for t in flat])
+        self.borders = np.array([n for n, _, _ in made], np.int64)
+        self.by_end = [(int(self.end[x.start]), x) for x in _stretches(self.end)]
+        order = np.argsort(self.start, kind="stable")
+        self.by_start = [(int(self.start[order[x.start]]), order[x]) for x in _stretches(self.start[order])]
+        # the labelled steps: of each labelled span the kind of the one before it in its region, or none
+        labelled = np.flatnonzero(self.kind >= 0)
+        labelled = labelled[np.lexsort((self.start[labelled], self.region[labelled]))]
+        first = np.ones(len(labelled), bool)
+        first[1:] = np.diff(self.region[labelled]) != 0
+        before = np.concatenate([[0], self.kind[labelled][:-1] + 1]).astype(np.int64)[: len(labelled)]
+        self.want_steps = np.zeros((len(KINDS) + 1, len(KINDS)))
+        np.add.at(self.want_steps, (np.where(first, 0, before), self.kind[labelled]), 1)
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[self.flat], self.stops, axis=0)[self.shape].clip(-self.CLIP, self.CLIP)
+
+    def expected(self, score: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of each (span, kind), expected steps over all regions, and the sum of each region."""
+        n, regions = int(self.borders.max()), len(self.borders)
+        gain, step = np.exp(score), np.exp(steps)
+        forth, back = np.zeros((n, regions, len(KINDS) + 1)), np.ones((n, regions, len(KINDS) + 1))
+        forth[:, :, 0] = 1
+        at = 1
+        for j, x in self.by_end:
+            forth[at : j + 1, :, 1:] = forth[at - 1, :, 1:]
+            np.add.at(forth[j, :, 1:], self.region[x], (forth[self.start[x], self.region[x]] @ step) * gain[x])
+            at = j + 1
+        forth[at:, :, 1:] = forth[at - 1, :, 1:]
+        at = n - 2
+        for i, x in self.by_start[::-1]:
+            back[i : at + 1] = back[at + 1]
+            after = gain[x] * back[self.end[x], self.region[x], 1:]
+            np.add.at(back[i], self.region[x], after @ step.T)
+            at = i - 1
+        whole = forth[-1].sum(axis=1)
+        after = gain * back[self.end, self.region, 1:] / whole[self.region][:, None]
+        before = forth[self.start, self.region]
+        return after * (before @ step), (before.T @ after) * step, whole
+
+    def gradient(self, weights: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chance, taken, _ = self.expected(self.scores(weights), steps)
+        miss = -chance
+        has = self.kind >= 0
+        miss[np.flatnonzero(has), self.kind[has]] += 1
+        by_shape = np.stack([np.bincount(self.shape, miss[:, k], len(self.stops)) for k in range(len(KINDS))], axis=1)
+        out = np.stack([np.bincount(self.flat, by_shape[self.owner, k], len(weights)) for k in range(len(KINDS))], axis=1)
+        return out, self.want_steps - taken
+
+
+def _stretches(x: np.ndarray) -> list[slice]:
+    stops = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
+    return [slice(a, b) for a, b in zip(stops[:-1], stops[1:], strict=True) if b > a]
 
 
 def composed(seed: int = 7, count: int = 360) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -232,54 +306,61 @@ def composed(seed: int = 7, count: int = 360) -> list[tuple[str, list[tuple[str,
     return out
 
 
-def learn(examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = ROUNDS) -> Field:
-    """Weights by adaptive gradient steps on the log-likelihood, region by region, with a small quadratic penalty."""
-    field, squares = Field(), {}
+def learn(examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = ROUNDS, start: Field | None = None) -> Field:
+    """Weights by adaptive steps on the log-likelihood of all regions, with a small quadratic penalty, from zero or from
+    those of ``start``. No example gives a field that finds nothing."""
     made = []
     for text, gold in examples:
+        want = {(s, e): KINDS.index(k) for k, s, e in gold}
         for a, b in regions(text):
             cuts, spans = Field.spans(text, a, b)
-            want = {(s, e): KINDS.index(k) for k, s, e in gold}
-            target = np.zeros((len(spans), len(KINDS)))
-            for x, (i, j, _) in enumerate(spans):
-                if (k := want.get((cuts[i], cuts[j]))) is not None:
-                    target[x, k] = 1
             if spans:
-                made.append((len(cuts), spans, target))
-    for _ in range(rounds):
-        for n, spans, target in made:
-            miss = target - field.expected(n, spans)
-            step: dict[tuple[str, str], float] = {}
-            for x, k in zip(*np.nonzero(np.abs(miss) > 1e-4), strict=True):
-                for f in spans[x][2]:
-                    step[KINDS[k], f] = step.get((KINDS[k], f), 0.0) + miss[x, k]
-            for key, g in step.items():
-                g -= 1e-3 * field.weights.get(key, 0.0)
-                squares[key] = squares.get(key, 1e-6) + g * g
-                field.weights[key] = field.weights.get(key, 0.0) + 0.5 * g / squares[key] ** 0.5
-    return field
+                made.append((len(cuts), spans, np.array([want.get((cuts[i], cuts[j]), -1) for i, j, _ in spans])))
+    if not made:
+        return start or Field()
+    index = dict(start.index) if start else {}
+    lattice = _Lattice(made, index)
+    weights, steps = np.zeros((len(index), len(KINDS))), np.zeros((len(KINDS) + 1, len(KINDS)))
+    if start:
+        weights[: len(start.weights)], steps = start.weights, start.steps.copy()
+    moved = [[np.zeros_like(v), np.zeros_like(v)] for v in (weights, steps)]
+    for t in range(1, rounds + 1):
+        for v, g, m in zip((weights, steps), lattice.gradient(weights, steps), moved, strict=True):
+            g = g - 0.05 * v
+            m[0] = 0.8 * m[0] + 0.2 * g
+            m[1] = 0.95 * m[1] + 0.05 * g * g
+            v += 0.25 * (m[0] / (1 - 0.8**t)) / (np.sqrt(m[1] / (1 - 0.95**t)) + 1e-3)
+    return Field(index, weights, steps)
 
 
 @lru_cache(1)
-def _composed_examples() -> tuple:
-    return tuple(composed())
+def _composed_field() -> Field:
+    return learn(composed())
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Field:
-    """Learns from composed examples and from regions of at most ``sample`` documents, labelled by the patterns."""
-    has = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h"))
+def sampled_pieces(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST, text_col: str = "text") -> list[str]:
+    """At most ``sample`` pieces of regions, of at most ``longest`` characters: all regions of the ``sample`` texts with
+    the least hashes are cut into pieces, and of these the ones with the least hashes are taken. Equal texts and equal
+    pieces count once."""
+    text = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    least = [r.h for r in text.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(sample).collect()]
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for text, h in zip(pdf["text"], pdf["h"], strict=True):
-                a, b = regions(text)[0]
-                rows.append((h, text[a : min(b, a + 400)]))
-            yield pd.DataFrame(rows, columns=["h", "text"])
+            yield pd.DataFrame({"piece": [t[x : min(b, x + longest)] for t in pdf["text"] for a, b in regions(t) for x in range(a, b, longest)]})
 
     bounded(docs.sparkSession)
-    found = [r.text for r in has.mapInPandas(run, "h long, text string").orderBy("h", "text").limit(sample).collect()]
-    return learn([*_composed_examples(), *[(t, base_spans(t)) for t in found]])
+    pieces = text.where(F.xxhash64("text").isin(least)).mapInPandas(run, "piece string").distinct()
+    return [r.piece for r in pieces.orderBy(F.xxhash64("piece"), "piece").limit(sample).collect()]
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Field:
+    """Learns from composed examples, and then from these and the pieces that ``sampled_pieces`` takes, labelled by the
+    patterns. An empty table leaves the composed examples alone."""
+    first = _composed_field()
+    known = [(t, base_spans(t)) for t in sampled_pieces(docs, sample, text_col=text_col)]
+    known = [(t, base) for t, base in known if len(all_spans(t, first)[1]) == len(base)]
+    return learn([*composed(), *known], MORE_ROUNDS, first)
 
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -296,8 +377,10 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list
 def find_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs → (doc_id, base, spans) of every row: arrays of (kind, start, end) in code points, end exclusive.
 
-    Null and empty texts have none; equal texts have equal spans; other columns are not read; an empty table gives an
-    empty result.
+    Null and empty texts have none; null ids stay null; rows that repeat an id are rows of their own; equal texts have
+    equal spans; a span starts and ends once for each kind, and of segmentations with equal scores the one with fewer
+    spans is taken; very long texts are searched whole, region by region; other columns are not read, whatever their
+    names; an empty table gives an empty result.
     """
     kind = "array<struct<kind:string,start:long,end:long>>"
 
@@ -313,7 +396,8 @@ def find_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 
 
 def redacted(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """docs → docs with every span of their texts replaced by its kind in brackets; spans that meet become one."""
+    """docs → docs with every span of their texts replaced by its kind in brackets; spans that meet become one. Null
+    texts stay null, and all other columns as they are."""
 
     def clean(text: str | None) -> str | None:
         if not text or not (spans := all_spans(text, field)[1]):
