@@ -5,7 +5,9 @@ Turns after the last assistant turn make one more example without a trainable sp
 conversation. The template marks a turn as ``<|role|>\\n text <|end|>\\n``. Inside roles and texts a backslash is
 doubled and ``<|`` becomes ``<\\|``, so no text can hold a mark, and reading takes one backslash away again.
 
-Turns of a conversation are gathered once, sorted by turn; an example is built from a slice of them.
+Turns of a conversation are gathered once, sorted by turn; an example is built from a slice of them. As every target
+takes all turns before it along, the output grows with the square of a conversation's turns; that is the method, and
+each example is a row of its own. Rows without a conversation id are never gathered.
 """
 
 from __future__ import annotations
@@ -28,14 +30,17 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """Rows by turn → (conv_id, example, formatted, loss_start, loss_end), spans in code points, end exclusive.
 
     ``example`` is the place of the example's last turn; loss_start = loss_end marks an example without a trainable
-    span. Null texts and roles are empty; turns that repeat a number follow each other by role and text; null turns
-    come first, null conversation ids are one conversation; an empty table gives no example.
+    span. Null and empty texts and roles are empty; turns that repeat a number follow each other by role and text, and
+    equal rows are turns each; null turns come first; a row with a null conversation id is a conversation of its own,
+    for nothing says which belong together, and such rows may be many; texts of any length are whole; other columns
+    are not read, whatever their names; an empty table gives no example.
     """
     turns = rows.select(
         F.col(conv_col).cast("long").alias("conv_id"),
         F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),
     )
-    one = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    one = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    one = one.unionByName(turns.where("conv_id IS NULL").select("conv_id", F.array("t").alias("t")))
     head = lambda x: F.concat(F.lit("<|"), escaped(x["role"]), F.lit("|>\n"))
     one = one.select("conv_id", F.transform("t", lambda x: F.struct((x["role"] == target).alias("trained"), head(x).alias("head"), escaped(x["text"]).alias("text"))).alias("t"))
     # a target's place, or the last place where turns follow the last target
@@ -59,10 +64,12 @@ def read_turns(formatted: Column) -> Column:
 
 
 def chat_digests(examples: DataFrame) -> DataFrame:
-    """Per conversation what its examples say, read back from them: turns from the longest, texts under the masks."""
+    """Per conversation what its examples say, read back from them: turns from the longest, texts under the masks. An
+    example without a conversation id is one of its own."""
     loss = unescaped(F.substring("formatted", F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int")))
     rows = examples.select("conv_id", "example", F.struct("example", "formatted").alias("whole"), F.struct("example", loss.alias("loss")).alias("loss"), F.length("formatted").cast("long").alias("n"))
-    one = rows.groupBy("conv_id").agg(F.max("whole")["formatted"].alias("formatted"), F.sort_array(F.collect_list("loss")).alias("loss"), F.sum("n").alias("formatted_chars"))
+    one = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.max("whole")["formatted"].alias("formatted"), F.sort_array(F.collect_list("loss")).alias("loss"), F.sum("n").alias("formatted_chars"))
+    one = one.unionByName(rows.where("conv_id IS NULL").select("conv_id", "whole.formatted", F.array("loss").alias("loss"), F.col("n").alias("formatted_chars")))
     text = F.array_join(F.transform("loss", lambda x: x["loss"]), "")
     said = let(read_turns(F.col("formatted")), lambda t: F.struct(F.size(t).cast("long").alias("n"), F.array_join(F.transform(t, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("s")))
     return one.select("conv_id", said.alias("said"), text.alias("text"), "formatted_chars").select(
