@@ -123,8 +123,10 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: fl
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
-    """Learns from at most ``sample`` labelled documents; rows with a null label or id are left out. The statistics of
-    the sample, some hundred bytes a row, are all that reaches the driver."""
+    """Learns from at most ``sample`` labelled documents; rows with a null label or id are left out; of an id that is
+    labelled twice the larger label counts. The statistics of the sample, some hundred bytes a row, are all that
+    reaches the driver; where documents repeat an id, ``sample`` bounds their rows as well. Without a row, or with one
+    class, the model is a constant."""
     rows = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
     rows = rows.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -134,13 +136,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [statistics(t) for t in pdf["text"]]})
 
-    got = known.mapInPandas(run, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    known = known.select("doc_id", "y", "text").mapInPandas(run, "doc_id long, y double, x array<double>")
+    got = known.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(sample).toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(STATISTICS))
     return grow(x, got["y"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs → (doc_id, score): the probability of label 1 of every row, null and empty texts too."""
+    """docs → (doc_id, score): the probability of label 1 of every row.
+
+    Null and empty texts are scored as texts without words; null ids stay null; rows that repeat an id are rows of their
+    own, and equal texts have equal scores; very long texts are read whole; an empty table gives an empty result; other
+    columns are not read, whatever their names."""
 
     def run(batches):
         for pdf in batches:
