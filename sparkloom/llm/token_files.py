@@ -1,6 +1,6 @@
 """Operator 3: token ids in ORC files, written in ascending document order and read back.
 
-Texts, not ids, are shuffled: a range partitioning on the id deals them out, each task sorts its range, encodes it and
+Texts, not ids, are shuffled: a range partitioning on id and row deals them out, each task sorts its range, encodes it and
 streams it into ORC stripes. ORC stores the id lists with its integer run-length encoding; a row index holds the least
 and largest document id of every ``row_index_stride`` rows, and Bloom filters on the document id let a lookup skip
 stripes. Readers take one stripe or more each. Where a document's ids start in the whole sequence follows from sums
@@ -42,14 +42,16 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes (doc_id, ids) as ORC in ascending doc_id order: by file name, and by row within a file.
 
-    Rows of equal ids keep together in one file, each with its own ids; null ids come first; a null or empty text is
+    Rows of equal ids follow each other, over several files where they are many, each with its own ids; null ids come
+    first; a null or empty text is
     ``end_id`` alone; a text of any length is one row, so a very long one makes its stripe larger; an empty table gives
     files without rows. Other columns are not read, whatever their names.
     """
     if files is None:
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
         files = int(max(12, -(-size // FILE_BYTES)))
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    dealt = rows.repartitionByRange(files, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     encode_documents(dealt, tokenizer, end_id).write.options(**ORC).orc(path)
 
 
