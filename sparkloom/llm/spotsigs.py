@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import let, table, text_key, written
 from .components import connected_components
 
 #: Common words of four languages.
@@ -96,20 +96,30 @@ def next_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs → the contract's columns: each text against its edited text and against the next document.
 
-    A null text is empty. Ids are expected to be unique; a repeated id pairs each of its rows with each row of the
-    next id. Rows with a null id are left out, for they have no next document. An empty table gives an empty result.
+    One row per input row with an id. A null text is empty; rows that repeat an id are each edited by their own length
+    and have the same next document, that of the next id, of which the text with the least hash counts; a text of any
+    length is whole; rows with a null id are left out, for they have no next document; an empty table gives an empty
+    result; other columns are not read, whatever their names. Signatures of a text are computed once, where it is read.
+    The number of partitions follows the text, for adaptive execution would merge them by their bytes, which say little
+    of the work.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = own.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    after = next_ids(own)
-    # for each document: whom it gives its beginning to, and how much of it
-    gives = after.join(size, "doc_id").select(F.col("doc_id").alias("to"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 3).cast("int").alias("take"))
-    text = own.repartition("doc_id")
-    given = text.join(gives, "doc_id").select(F.col("to").alias("doc_id"), F.substring("text", F.lit(1), F.col("take")).alias("part"), signatures(F.col("text")).alias("next_sigs"))
-    rows = text.join(given, "doc_id").withColumn("n_chars", F.length("text"))
+    spark = docs.sparkSession
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    own = own.withColumn("key", text_key(F.col("text")))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(max(2 * spark.sparkContext.defaultParallelism, size >> 23))
+    lengths = own.select("doc_id", "key", F.length("text").alias("n")).distinct()
+    least = lengths.groupBy("doc_id").agg(F.min("key").alias("next_key")).withColumnRenamed("doc_id", "next_id")
+    # for each row: whom it gives its beginning to, and how much of it
+    gives = lengths.join(next_ids(own), "doc_id").join(least, "next_id")
+    gives = gives.select(F.col("next_id").alias("doc_id"), F.col("next_key").alias("key"), F.struct("doc_id", "key").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("take"))
+    text = own.withColumn("a", signatures(F.col("text"))).repartition(parts, "doc_id", "key")
+    given = text.dropDuplicates(["doc_id", "key"]).join(gives, ["doc_id", "key"])
+    given = given.select("to.doc_id", "to.key", F.substring("text", F.lit(1), F.col("take")).alias("part"), F.col("a").alias("next_sigs")).repartition(parts, "doc_id", "key")
+    rows = text.join(given, ["doc_id", "key"]).withColumn("n_chars", F.length("text"))
     cut = F.col("n_chars") - F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), cut), F.col("part")))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("a"), signatures(F.col("edited")).alias("b"), "next_sigs")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", signatures(F.col("edited")).alias("b"), "next_sigs")
     return rows.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).cast("double").alias("near_edited"), likeness(F.col("a"), F.col("next_sigs")).cast("double").alias("near_next"),
