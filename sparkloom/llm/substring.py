@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, bounded, table, text_key, unused, written
@@ -331,12 +331,22 @@ def _grower(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[int, Column | None]:
+    """Bytes of text, and what tells rows of one id apart: a hash of their text, or nothing where no id has two texts,
+    for a hash at every segment is a tenth of what is shuffled."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.octet_length(text_col).alias("n"))
+    one = rows.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.sum("n").alias("n"))
+    size, several = one.agg(F.sum("n"), F.bool_or((F.col("a") != F.col("b")) & F.col("doc_id").isNotNull())).first()
+    return size or 0, text_key(F.col(text_col)) if several else None
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, Column | None]:
     """docs → (doc_id, key, hits): for each row with repeats, pairs (first window, windows) in word positions, one after
-    the other, of windows whose words also start in a document with a smaller id; ``key`` is a hash of the text."""
+    the other, of windows whose words also start in a document with a smaller id; and the key's column of docs,
+    None where ids tell rows apart."""
     bounded(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, key = row_key(docs, id_col, text_col)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(0).cast("long") if key is None else key).alias("key"), F.col(text_col).alias("text"))
     ranges, prefix = int(max(24, -(-size * 4 // RANGE_BYTES))), min(PREFIX, window)
     buckets, limit = ranges * BUCKETS, max(FREQUENT_BYTES, size * 4 // MOST_FREQUENT)
     loads = own.mapInPandas(_weigher(buckets, window, prefix), "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
@@ -349,7 +359,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         least = open_.groupBy("win").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("win", "least")
         more = open_.join(least, "win").where("doc_id > least").select("doc_id", "key", "at").unionByName(wins.where("win IS NULL").select("doc_id", "key", "at"))
         hits = hits.unionByName(more.select("doc_id", "key", F.array("at", F.lit(1)).alias("hits")))
-    return hits
+    return hits, key
 
 
 def covered(n_words: int, hits: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -388,8 +398,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bounded(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept_text")
     own, key, mark = unused(docs, "__id"), unused(docs, "__key"), unused(docs, "__hits")
-    hits = repeated_windows(docs, id_col, text_col, window).groupBy(F.col("doc_id").alias(own), F.col("key").alias(key)).agg(F.flatten(F.collect_list("hits")).alias(mark))
-    rows = docs.join(hits, (F.col(id_col).cast("long") == F.col(own)) & (text_key(F.col(text_col)) == F.col(key)), "left").drop(own, key)
+    hits, row = repeated_windows(docs, id_col, text_col, window)
+    hits = hits.groupBy(F.col("doc_id").alias(own), F.col("key").alias(key)).agg(F.flatten(F.collect_list("hits")).alias(mark))
+    same = F.col(id_col).cast("long") == F.col(own)
+    rows = docs.join(hits, same if row is None else same & (row == F.col(key)), "left").drop(own, key)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
     def one(text: str | None, hits) -> tuple:
