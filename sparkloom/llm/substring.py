@@ -385,7 +385,7 @@ def without_words(text: str, gone: np.ndarray) -> str:
     return "".join([*out, text[at:]])
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, layout: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, layout: bool = False, names: tuple[str, str, str] = ("n_words", "n_removed", "kept_text")) -> DataFrame:
     """docs → all columns, with n_words, n_removed and kept_text added: one row per input row.
 
     Every word that lies in a window of ``window`` words that also starts in a document with a smaller id is removed;
@@ -393,16 +393,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the removed stretches cut out and all white space around them as it was. Null texts are empty, and null with
     ``layout``; a row with a null id is kept whole and takes no part; rows that repeat an id are documents of that id
     each, judged by their own text, and do not repeat each other; a text over PIECE bytes is cut in overlapping pieces;
-    an empty table gives an empty result. Columns n_words, n_removed and kept_text of the input are replaced.
+    an empty table gives an empty result. ``names`` are those of the added columns; columns of the input with these
+    names are replaced.
     """
     bounded(docs.sparkSession)
-    docs = docs.drop("n_words", "n_removed", "kept_text")
+    docs = docs.drop(*names)
     own, key, mark = unused(docs, "__id"), unused(docs, "__key"), unused(docs, "__hits")
     hits, row = repeated_windows(docs, id_col, text_col, window)
     hits = hits.groupBy(F.col("doc_id").alias(own), F.col("key").alias(key)).agg(F.flatten(F.collect_list("hits")).alias(mark))
     same = F.col(id_col).cast("long") == F.col(own)
     rows = docs.join(hits, same if row is None else same & (row == F.col(key)), "left").drop(own, key)
-    schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
+    schema = docs.select("*", *[F.lit(None).cast(t).alias(n) for n, t in zip(names, ("long", "long", "string"), strict=True)]).schema
 
     def one(text: str | None, hits) -> tuple:
         w = (text or "").encode("utf-8", "surrogatepass").split()
@@ -418,7 +419,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             rest = [n for n in batch.schema.names if n != mark]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in rest] + [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()).cast(pa.string())],
-                names=[*rest, "n_words", "n_removed", "kept_text"],
+                names=[*rest, *names],
             )
 
     return rows.mapInArrow(run, schema)
