@@ -663,6 +663,52 @@ def test_spotsigs(docs, empty, plain):
     assert spotsigs.edited_fingerprints(with_null_id(docs)).count() == len(plain)
 
 
+def _plain_signatures(text):
+    """Chains of a text as tuples of words."""
+    import regex
+
+    if not text:
+        return set()
+    w = [x for x in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if x]
+    if not w:
+        return {("?", text)}
+    common = set(spotsigs.ANCHORS)
+    content = [x for x in w if x not in common]
+    found = {("^", *(content + ["", ""])[:2])}
+    for i, x in enumerate(w):
+        after = [y for y in w[i + 1 :] if y not in common][:2]
+        if x in common and len(after) == 2:
+            found.add((x, *after))
+    if len(found) > spotsigs.FEW and spotsigs.SPARSE * (len(found) - 1) >= len(w):
+        return found
+    return found | {("*", *(w[i : i + 3] + ["", ""])[:3]) for i in range(max(len(w) - 2, 1))}
+
+
+def test_spotsigs_signatures(docs):
+    """As many signatures as chains, and as many in common, for all pairs of texts."""
+    rows = docs.select("text", spotsigs.signatures(F.col("text")).alias("s")).collect()
+    both = [(set(r.s), _plain_signatures(r.text)) for r in rows]
+    for s, p in both:
+        assert len(s) == len(p)
+        for t, q in both:
+            assert len(s & t) == len(p & q)
+
+
+def test_spotsigs_repeated_ids(spark):
+    """One row for each row with an id, edited by its own length; the next document is the next id's text of least hash."""
+    rows = [(1, "the cat sat on a mat " * 4), (1, "another text of the same id " * 3), (2, "the second text is of a kind"), (2, "the second text is of a kind"), (9, None), (None, "x y z")]
+    got = spotsigs.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k"))).collect()
+    key = {t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0] for _, t in rows[:3]}
+    first = min((rows[0][1], rows[1][1]), key=key.get)
+    after = {9: rows[2][1], 2: first, 1: ""}
+    want = []
+    for i, t in rows[:5]:
+        t = t or ""
+        m = len(t) // 3
+        want.append((i, len(t), h(t[: len(t) - m] + after[i][:m])))
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+
+
 def test_spotsigs_groups(docs, plain):
     sig = {r.doc_id: frozenset(r.s) for r in docs.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
     pairs = {(r.a, r.b) for r in spotsigs.near_pairs(docs, 0.6).collect()}
