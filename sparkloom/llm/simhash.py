@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, table, text_key, unused, written
+from .common import bounded, table, unused, written
 from .components import connected_components
 
 SEED = 42
@@ -157,20 +157,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
+def _row_key(id_: Column, text: Column) -> tuple[Column, Column]:
+    """Two columns that tell rows apart by id and text and are never null, so that joins and groups share a shuffle."""
+    id_ = id_.cast("long")
+    return F.coalesce(id_, F.lit(0).cast("long")), F.xxhash64(F.coalesce(text, F.lit("")), id_.isNull())
+
+
 def _one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """documents and keys (id, key) → the rows with these keys; of rows with one key that with the least other columns."""
-    own, mark = unused(docs, "__id"), unused(docs, "__key")
-    keyed = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(mark, text_key(F.col("text")))
-    kept = kept.select(F.col("id").alias("__kept_id"), F.col("key").alias("__kept_key"))
-    rows = keyed.join(kept, F.col(own).eqNullSafe(F.col("__kept_id")) & (F.col(mark) == F.col("__kept_key")), "left_semi")
+    """documents and row keys (own, key) → the rows with these keys; of rows with one key that with the least other
+    columns."""
+    own, mark, at = unused(docs, "__own"), unused(docs, "__key"), unused(docs, "__at")
+    o, k = _row_key(F.col("doc_id"), F.col("text"))
+    keyed = docs.withColumn(own, o).withColumn(mark, k)
+    rows = keyed.join(kept.select(F.col("own").alias(own), F.col("key").alias(mark)), [own, mark], "left_semi")
     order = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
-    best = rows.groupBy(own, mark).agg(F.min_by(F.struct(*docs.columns), F.struct(order.alias("o"), F.col("text").alias("t"))).alias("row"))
-    return best.select("row.*")
+    rows = rows.withColumn(at, F.row_number().over(Window.partitionBy(own, mark).orderBy(order)))
+    return rows.where(F.col(at) == 1).select(docs.columns)
 
 
 def _least(name: str) -> Column:
-    """The least row of a group: by id, null ids last, then by the hash of the text."""
-    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias(name)
+    """The least row of a group: by id, null ids last, then by its key."""
+    return F.min(F.struct("none", "own", "key")).alias(name)
 
 
 def _bands_of(s: np.ndarray, mix: np.ndarray) -> list[int]:
@@ -183,25 +190,28 @@ def _bands_of(s: np.ndarray, mix: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """documents → (doc_id, key, fp, same, bands): SimHash, a hash of the whole shingle set and its band keys; ``key``
-    is a hash of the text."""
+def sketches(docs: DataFrame, shingle: int, banded: bool = True) -> DataFrame:
+    """documents → (none, own, key, fp, same, bands): whether the id is null and the row's key, its SimHash, a hash of the
+    whole shingle set and the set's band keys, null if not ``banded``."""
 
     def run(batches):
         mix = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         for pdf in batches:
             fp, same, bands = [], [], []
-            for t in pdf["text"]:
+            for t in pdf.pop("text"):
                 h = shingles_of(t, shingle)
-                s = np.unique(h)
                 fp.append(_voted(h))
-                same.append(_set_hash(s))
-                bands.append(np.array(_bands_of(s, mix), np.uint64).view(np.int64))
+                if banded:
+                    s = np.unique(h)
+                    same.append(_set_hash(s))
+                    bands.append(np.array(_bands_of(s, mix), np.uint64).view(np.int64))
             long = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "fp": long(fp), "same": long(same), "bands": bands})
+            yield pdf.assign(fp=long(fp), same=long(same) if banded else 0, bands=bands if banded else None)
 
     bounded(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").mapInPandas(run, "doc_id long, key long, fp long, same long, bands array<long>")
+    own, key = _row_key(F.col("doc_id"), F.col("text"))
+    rows = docs.select(F.col("doc_id").isNull().alias("none"), own.alias("own"), key.alias("key"), "text")
+    return rows.mapInPandas(run, "none boolean, own long, key long, fp long, same long, bands array<long>")
 
 
 def _set_hash(s: np.ndarray) -> int:
@@ -227,35 +237,43 @@ def alike_links(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: floa
     ``threshold`` or more.
 
     All pairs that share a band are compared where up to ``hot`` sets share it. In a larger group all pairs would grow
-    with its square; there each set is compared with the group's first one, and with its neighbours when the group is
-    sorted by each of the next two bands' keys, so sets that share more bands meet each other and links chain through
-    them. Links of fingerprints come on top."""
+    with its square; there each set is compared with the group's first one. Sets that are not like the first are compared
+    with their neighbours when the group is sorted by the next band's key, where sets that share two bands meet, so
+    links chain through them. Links of fingerprints come on top."""
     each = nodes.select("same", "bands", F.posexplode("bands").alias("i", "at"))
-    each = each.select("same", "at", *[F.element_at("bands", (F.col("i") + k) % BANDS + 1).alias(f"by{k}") for k in (1, 2)])
+    each = each.select("same", "at", F.element_at("bands", (F.col("i") + 1) % BANDS + 1).alias("by"))
     count = each.groupBy("at").agg(F.count("*").alias("n"), F.min("same").alias("a")).where("n > 1")
     held = written(each.join(count, "at"), "alike-bands")
     few = held.where(F.col("n") <= hot).select("at", "same")
     pairs = few.join(few.withColumnRenamed("same", "b"), "at").where("same < b").select(F.col("same").alias("a"), "b")
     many = held.where(F.col("n") > hot)
     stars = many.select("a", F.col("same").alias("b"))
-    chains = [many.select(F.lag("same").over(Window.partitionBy("at").orderBy(f"by{k}", "same")).alias("a"), F.col("same").alias("b")).where("a IS NOT NULL") for k in (1, 2)]
 
     fps = nodes.groupBy("fp").agg(F.min("same").alias("a"))
     equal = nodes.join(fps, "fp").select("a", F.col("same").alias("b"))
     end = lambda c: fps.select(F.col("fp").alias(c), F.col("a").alias(f"{c}_id"))
     near = near_links(fps.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    ask = pairs.unionByName(stars).unionByName(chains[0]).unionByName(chains[1]).unionByName(equal).unionByName(near)
-    ask = written(ask.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "alike-pairs")
+    ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    ask = written(ordered(pairs.unionByName(stars).unionByName(equal).unionByName(near)), "alike-pairs")
 
-    asked = nodes.join(ask.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "same", "left_semi").select("least.*")
+    asked = nodes.join(ask.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "same", "left_semi").select("least.own", "least.key")
     sets = written(shingle_sets(_one_of_each(docs.select("doc_id", "text"), asked), shingle), "alike-sets")
-    full = ask.join(sets.select(F.col("same").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("same").alias("a"), F.col("s").alias("sa")), "a")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return full.where(both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+
+    def verified(ask: DataFrame) -> DataFrame:
+        full = ask.join(sets.select(F.col("same").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("same").alias("a"), F.col("s").alias("sa")), "a")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return full.where(both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+
+    links = written(verified(ask), "alike-links")
+    like = links.select("a", F.col("b").alias("same"), F.lit(True).alias("like"))  # a group's first set is its least
+    many = many.join(like, ["a", "same"], "left").withColumn("like", F.coalesce("like", F.col("a") == F.col("same")))
+    by = Window.partitionBy("at").orderBy("by", "same")
+    chains = many.select(F.lag("same").over(by).alias("a"), F.col("same").alias("b"), (F.col("like") & F.lag("like").over(by)).alias("done")).where("a IS NOT NULL AND NOT done")
+    return links.unionByName(verified(ordered(chains).join(ask, ["a", "b"], "left_anti")))
 
 
 def _kept(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """documents and rows (doc_id, key, group) → the least row of every group."""
+    """documents and rows (none, own, key, group) → the least row of every group."""
     return _one_of_each(docs, groups.groupBy("group").agg(_least("least")).select("least.*"))
 
 
@@ -265,10 +283,10 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     Rows with null ids come last: one stays only where its group has no row with an id. Null and empty texts are one
     group. An empty table gives an empty result."""
-    rows = written(sketches(docs, shingle).select("doc_id", "key", "fp"), "keep-one")
+    rows = written(sketches(docs, shingle, banded=False).select("none", "own", "key", "fp"), "keep-one")
     links = written(near_links(rows.select("fp").distinct()), "keep-one-links")
     found = connected_components(links)
-    groups = rows.join(found, rows["fp"] == found["node"], "left").select("doc_id", "key", F.coalesce("component", "fp").alias("group"))
+    groups = rows.join(found, rows["fp"] == found["node"], "left").select("none", "own", "key", F.coalesce("component", "fp").alias("group"))
     return _kept(docs, groups)
 
 
@@ -278,9 +296,8 @@ def keep_one_alike(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) ->
     rows = sketches(docs, shingle)
     nodes = rows.groupBy("same").agg(_least("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = written(nodes, "alike")  # equal sets have equal fingerprints up to repeats, and equal bands
-    links = written(alike_links(docs, nodes, shingle, threshold), "alike-links")
-    found = connected_components(links)
-    groups = nodes.join(found, nodes["same"] == found["node"], "left").select(F.col("least.id").alias("doc_id"), F.col("least.key").alias("key"), F.coalesce("component", "same").alias("group"))
+    found = connected_components(written(alike_links(docs, nodes, shingle, threshold), "alike-links"))
+    groups = nodes.join(found, nodes["same"] == found["node"], "left").select("least.*", F.coalesce("component", "same").alias("group"))
     return _kept(docs, groups)
 
 

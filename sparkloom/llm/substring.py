@@ -47,8 +47,8 @@ RANGE_BYTES, LEAVES = 14 << 20, 4096
 #: Buckets of a range, the bytes from which on a bucket's prefixes are frequent, and the most buckets that can be so:
 #: the limit follows the total where that many would not be enough, so their list is bounded.
 BUCKETS, FREQUENT_BYTES, MOST_FREQUENT = 8, 7 << 20, 1 << 22
-#: Bytes of text that are cut at once.
-PIECE = 4 << 20
+#: Bytes of text that are cut at once, and rows from which words are removed at once.
+PIECE, SLICE = 4 << 20, 256
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -74,7 +74,7 @@ def _segments(texts: list[bytes], window: int, prefix: int):
     keep = ~space
     keep[1:] |= ~space[:-1]
     ends = np.cumsum([len(t) + 1 for t in texts])  # a text ends at its line feed
-    kept = np.cumsum(keep)
+    kept = np.cumsum(keep, dtype=np.int32)  # a batch is some PIECE bytes
     clean = np.where(space, np.uint8(32), raw)[keep]
     gap = clean == 32
     stop = np.flatnonzero(gap)
@@ -414,7 +414,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return len(w), 0, (None if text is None else text.encode("utf-8", "surrogatepass")) if layout else b" ".join(w)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, max(1, b.num_rows), SLICE)):
             columns = list(zip(*map(one, batch.column(text_col).to_pylist(), batch.column(mark)), strict=True)) or [(), (), ()]
             rest = [n for n in batch.schema.names if n != mark]
             yield pa.RecordBatch.from_arrays(
