@@ -9,16 +9,7 @@ from ..functions import text as T
 from .aggregates import merge_entities
 from .joins import khop_traverse, undirected
 from .ranking import budgeted_lines, keep_first, rank_relations, topk_per_group
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder that the session names or a temporary one where it names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
-    return df.checkpoint(eager=True)
+from .stored import cut, saved
 
 
 def parse_extraction_records(responses: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -171,9 +162,13 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).agg(F.round(F.sum(F.col("inside") / F.col("m2") - F.pow(F.col("degree") / F.col("m2"), 2)), 6).alias("modularity"))  # one row of a total
 
 
-def community_members(communities: DataFrame) -> DataFrame:
-    m = F.array_sort(F.collect_list("name"))
-    return communities.groupBy("community").agg(F.count("*").alias("size"), F.to_json(m).alias("members"))
+def community_members(communities: DataFrame, most: int = 10_000) -> DataFrame:
+    """(name, community) → (community, page, size, members): size of each community and its members as JSON lists. A
+    community of over ``most`` members has them on several pages, by a hash of the name, so no list grows with it."""
+    sizes = communities.groupBy("community").agg(F.count("*").alias("size"))
+    page = F.pmod(F.xxhash64("name"), F.ceil(F.col("size") / most)).cast("int")
+    rows = communities.join(sizes, "community").withColumn("page", page)
+    return rows.groupBy("community", "page", "size").agg(F.to_json(F.array_sort(F.collect_list("name"))).alias("members"))
 
 
 def community_context(communities: DataFrame, edges: DataFrame, budget: int = 12000, most_entities: int = 60, most_relations: int = 120) -> DataFrame:

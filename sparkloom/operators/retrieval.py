@@ -4,80 +4,117 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
 from .ranking import keep_best_hit, topk_per_group
+from .stored import saved
 
 K1, B = 1.2, 0.75
-#: Queries that one exact pass over the vectors takes; more are asked in several passes.
-BLOCK = 4096
+#: Vectors of a block in exact search.
+BLOCK = 2048
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def tokenized(docs: DataFrame) -> DataFrame:
+    """docs(key, text) → a stored table (key, t, dl): the terms of every text, found once for index and statistics."""
+    return saved(docs.select("key", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t")), "tokens")
+
+
 def build_bm25_index(docs: DataFrame) -> DataFrame:
-    """docs(key, text, ...) → postings (term, key, tf, dl) with the other columns of docs."""
-    rest = [c for c in docs.columns if c not in ("key", "text")]
-    rows = docs.select("key", *rest, terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    """docs(key, text, ...), or a tokenized table, → postings (term, key, tf, dl) with the other columns of docs."""
+    rest = [c for c in docs.columns if c not in ("key", "text", "t", "dl")]
+    rows = docs if "t" in docs.columns else docs.select("key", *rest, terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     return rows.select("key", *rest, "dl", F.explode("t").alias("term")).groupBy("term", "key", "dl", *rest).agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
-    """docs(key, text) → one row (n, avgdl) over documents with a term."""
-    return docs.select(F.size(terms(F.col("text"))).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    """docs(key, text), or a tokenized table, → one row (n, avgdl) over documents with a term."""
+    length = F.col("dl") if "dl" in docs.columns else F.size(terms(F.col("text"))).alias("dl")
+    return docs.select(length).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25_search(queries: DataFrame, index: DataFrame, k: int, stats: DataFrame | None = None, digits: int = 6) -> DataFrame:
-    """queries(query_id, text) → (query_id, key, score, rank): distinct query terms meet the postings by term.
+def bm25_search(queries: DataFrame, index: DataFrame, k: int, stats: DataFrame | None = None, digits: int = 6, first: float = 0.01) -> DataFrame:
+    """queries(query_id, text) → (query_id, key, score, rank): the k best documents of each query, exactly.
 
-    ``stats`` is one row (n, avgdl) of corpus_stats, by default taken from the index. Only postings of asked terms are
-    counted and joined; those of frequent terms are on the side of the join that can be split. Scores are rounded
-    before they are ranked, so that the order of summing does not show.
+    ``stats`` is one row (n, avgdl) of corpus_stats, by default taken from the index. Postings of asked terms are stored
+    once. Common terms join almost every document and add little, so a query does not begin with them: its rarest terms,
+    those in at most a ``first`` share of documents and the rarest one anyway, give a score that k documents reach for
+    sure. Terms that even together cannot reach it, by the most that each adds to any document, form no candidates; they
+    complete the scores of those documents that the other terms found and that can still reach it, by term and document,
+    so that no posting list meets a query whole. Scores are rounded before they are ranked, so that the order of summing
+    does not show, and bounds leave room for the rounding.
     """
-    stats = stats if stats is not None else index.groupBy("key").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    held = index.select("term", "key", "tf", "dl").join(asked.select("term").distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avgdl")  # one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(held, "term").groupBy("query_id", "key").agg(F.round(F.sum(part), digits).alias("score"))
+    held = saved(index.select("term", "key", "tf", "dl").join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    stats = stats if stats is not None else index.groupBy("key").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    n, avgdl = stats.first()
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1.0))))
+    postings = held.select("term", "key", gain.alias("gain"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms_ = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("top")).select("term", "df", idf.alias("idf"), (idf * F.col("top")).alias("most"))
+    rare = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))
+    weights = saved(asked.join(terms_, "term").withColumn("early", (F.col("df") <= first * n) | (rare == 1)), "query-terms")
+    add = F.sum(F.col("idf") * F.col("gain"))
+
+    early = weights.where("early").select("query_id", "term", "idf").join(postings, "term").groupBy("query_id", "key").agg(add.alias("score"))
+    sure = topk_per_group(early, ["query_id"], [F.desc("score"), F.col("key")], k).where(F.col("rank") == k).select("query_id", (F.col("score") - 10.0**-digits).alias("sure"))
+    upto = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    split = weights.withColumn("upto", upto).join(sure, "query_id", "left").withColumn("weak", F.coalesce(F.col("upto") < F.col("sure"), F.lit(False)))
+    split = saved(split.select("query_id", "term", "idf", "most", "weak", "sure"), "query-terms")
+
+    strong, weak = split.where("NOT weak"), split.where("weak")
+    rest = split.groupBy("query_id").agg(F.max("sure").alias("sure"), F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("rest"))
+    found = strong.select("query_id", "term", "idf").join(postings, "term").groupBy("query_id", "key").agg(add.alias("score"))
+    found = found.join(rest, "query_id").where(F.col("sure").isNull() | (F.col("score") + F.col("rest") >= F.col("sure"))).select("query_id", "key", "score")
+    found = saved(found, "candidates")
+    more = found.select("query_id", "key").join(weak.select("query_id", "term", "idf"), "query_id").join(postings, ["term", "key"]).select("query_id", "key", (F.col("idf") * F.col("gain")).alias("score"))
+    scored = found.unionByName(more).groupBy("query_id", "key").agg(F.round(F.sum("score"), digits).alias("score"))
     return topk_per_group(scored, ["query_id"], [F.desc("score"), F.col("key")], k)
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    v = np.array(vectors.tolist(), np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """rows(id, vec) → (ids, width, data): unit vectors of up to ``size`` rows of a partition as one value."""
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), size):
+                part = pdf.iloc[at : at + size]
+                v = _unit(part["vec"])
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "width": [v.shape[1]], "data": [v.tobytes()]})
+
+    return rows.where("vec IS NOT NULL").mapInPandas(run, "ids binary, width int, data binary")
+
+
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """queries(query_id, vec) × vectors(key, vec) → exact top k by cosine. Blocks of queries go to the tasks; a task
-    multiplies each Arrow batch of vectors with the block and keeps k candidates for each query and batch."""
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    made = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vec").collect() if n else []
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], np.int64)
-        q = np.array([r[1] for r in rows], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-
-        def run(batches, ids=ids, q=q):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                keys, v = pdf["key"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64)
-                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, digits)
+    """queries(query_id, vec) × vectors(key, vec) → exact top k by cosine for a stated set of queries.
+
+    Both sides become blocks of BLOCK vectors, one value each, on the executors; a task multiplies a block of queries with
+    a block of vectors and keeps k candidates for each query of it. Nothing passes through the driver. Rows without a
+    vector take no part."""
+    q = _blocks(queries.select(F.col("query_id").alias("id"), "vec"), BLOCK).select(F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+    v = _blocks(vectors.select(F.col("key").alias("id"), "vec"), BLOCK)
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ids, keys = np.frombuffer(r.qids, np.int64), np.frombuffer(r.ids, np.int64)
+                s = np.round(np.frombuffer(r.qdata).reshape(len(ids), -1) @ np.frombuffer(r.data).reshape(len(keys), -1).T, digits)
                 order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "key": keys[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
 
-        part = vectors.select("key", "vec").mapInPandas(run, "query_id long, key long, score double")
-        made = part if made is None else made.unionByName(part)
-    if made is None:
-        made = vectors.sparkSession.createDataFrame([], "query_id long, key long, score double")
-    return topk_per_group(made, ["query_id"], [F.desc("score"), F.col("key")], k)
+    met = v.crossJoin(q).mapInPandas(run, "query_id long, key long, score double")  # block by block
+    return topk_per_group(met, ["query_id"], [F.desc("score"), F.col("key")], k)
 
 
 def _nearest(v: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
@@ -85,13 +122,11 @@ def _nearest(v: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
-def fit_cells(vectors: DataFrame, cells: int, sample: int = 5000, rounds: int = 12) -> np.ndarray:
-    """k-means centres from at most ``sample`` vectors, those with the least hash of their key."""
-    rows = vectors.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").collect()
-    v = np.array([r[0] for r in rows], np.float64)
-    if not len(v):
+def fit_cells(sample: pd.Series, cells: int, rounds: int = 12) -> np.ndarray:
+    """k-means centres of sampled vectors."""
+    if not len(sample):
         return np.zeros((1, 1))
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    v = _unit(sample)
     centers = v[np.linspace(0, len(v) - 1, min(cells, len(v))).astype(int)].copy()
     for _ in range(rounds):
         at = _nearest(v, centers, 1)[:, 0]
@@ -101,27 +136,58 @@ def fit_cells(vectors: DataFrame, cells: int, sample: int = 5000, rounds: int =
     return centers
 
 
-def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 16, probe: int = 11) -> DataFrame:
-    """Approximate top k: every vector lies in its nearest cell, a query asks its ``probe`` nearest, and what they hold
-    is scored exactly. All vectors are indexed; only the centres come from a sample."""
-    centers = fit_cells(vectors, cells)
+def _probes(sample: np.ndarray, centers: np.ndarray, k: int, recall: float, asked: int = 200) -> int:
+    """The least number of cells in which sampled vectors find ``recall`` of their k nearest in the sample. Neighbours
+    are farther apart in a sample than among all vectors, so this is on the safe side."""
+    q = sample[:asked]
+    best = np.argsort(-(q @ sample.T), axis=1, kind="stable")[:, : k + 1]
+    cell = _nearest(sample, centers, 1)[:, 0]
+    order = _nearest(q, centers, len(centers)).argsort(axis=1)  # a cell's place among those that a query asks
+    place = np.take_along_axis(order, cell[best], axis=1)
+    for n in range(1, len(centers) + 1):
+        if (place < n).mean() >= recall:
+            return n
+    return len(centers)
+
 
-    def assign(n):
+def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, cells: int | None = None, probe: int | None = None, recall: float = 0.95, sample: int = 5000) -> DataFrame:
+    """Approximate top k: every vector lies in its nearest cell, a query asks its ``probe`` nearest, and what they hold
+    is scored exactly. There are about as many cells as the square root of the vectors; ``probe`` is fitted so that
+    vectors of a bounded sample reach ``recall`` among each other: few cells where vectors have clusters, most of them
+    where they have none. All vectors are indexed; only centres and ``probe`` come from the sample.
+
+    A task gathers the vectors of a batch by cell and sends one block for each, and queries do the same, so blocks of a
+    frequent cell are rows that a skewed join can split, and never one group."""
+    rows = vectors.where("vec IS NOT NULL").orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").toPandas()
+    if cells is None:
+        cells = max(1, round(vectors.count() ** 0.5))
+    centers = fit_cells(rows["vec"], min(cells, 4096))
+    probe = probe or (_probes(_unit(rows["vec"]), centers, k, recall) if len(rows) else 1)
+
+    def blocks(n):
         def run(batches):
             for pdf in batches:
-                if len(pdf):
-                    v = np.array(pdf["vec"].tolist(), np.float64)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    near = _nearest(v, centers, n)
-                    yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), near.shape[1]), "cell": near.ravel(), "vec": [v[i].tolist() for i in range(len(v)) for _ in range(near.shape[1])]})
+                v = _unit(pdf["vec"])
+                near, ids = _nearest(v, centers, n), pdf["id"].to_numpy(np.int64)
+                for c in np.unique(near):
+                    at = np.flatnonzero((near == c).any(axis=1))
+                    yield pd.DataFrame({"cell": [int(c)], "ids": [ids[at].tobytes()], "data": [v[at].tobytes()]})
 
         return run
 
-    schema = "id long, cell long, vec array<double>"
-    held = vectors.select(F.col("key").alias("id"), "vec").mapInPandas(assign(1), schema).select(F.col("id").alias("key"), "cell", F.col("vec").alias("v"))
-    asked = queries.select(F.col("query_id").alias("id"), "vec").mapInPandas(assign(probe), schema).select(F.col("id").alias("query_id"), "cell", F.col("vec").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return topk_per_group(asked.join(held, "cell").select("query_id", "key", F.round(dot, 6).alias("score")), ["query_id"], [F.desc("score"), F.col("key")], k)
+    def score(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ids, keys = np.frombuffer(r.qids, np.int64), np.frombuffer(r.ids, np.int64)
+                s = np.round(np.frombuffer(r.qdata).reshape(len(ids), -1) @ np.frombuffer(r.data).reshape(len(keys), -1).T, 6)
+                order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "key": keys[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+
+    schema = "cell long, ids binary, data binary"
+    held = vectors.where("vec IS NOT NULL").select(F.col("key").alias("id"), "vec").mapInPandas(blocks(1), schema)
+    asked = queries.where("vec IS NOT NULL").select(F.col("query_id").alias("id"), "vec").mapInPandas(blocks(probe), schema).select("cell", F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+    met = held.join(asked, "cell").mapInPandas(score, "query_id long, key long, score double")
+    return topk_per_group(met, ["query_id"], [F.desc("score"), F.col("key")], k)
 
 
 def weighted_fusion(channels: list[tuple[DataFrame, float]], digits: int = 9) -> DataFrame:
@@ -144,7 +210,8 @@ def cosine_unit(hits: DataFrame) -> DataFrame:
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, dense_weight: float = 0.55, depth: int = 50) -> DataFrame:
     """queries(query_id, text, vec) over docs(key, text, vec) that scope filters have passed → fused top k."""
-    lexical = lexical_unit(bm25_search(queries, build_bm25_index(docs.select("key", "text")), depth, corpus_stats(docs)))
+    tokens = tokenized(docs.select("key", "text"))
+    lexical = lexical_unit(bm25_search(queries, build_bm25_index(tokens), depth, corpus_stats(tokens)))
     dense = cosine_unit(dense_search(queries, docs, depth))
     fused = weighted_fusion([(dense, dense_weight), (lexical, 1 - dense_weight)])
     return topk_per_group(fused, ["query_id"], [F.desc("score"), F.col("key")], k)
@@ -161,8 +228,6 @@ def search_many(hits: DataFrame, variants: DataFrame, k: int, per_variant: int =
     candidates, then k."""
     best = keep_best_hit(hits, ["query_id", "key"])
     cap = variants.groupBy("query_id").agg((F.count("*") * per_variant).alias("cap"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
     return best.withColumn("rank", rank).join(cap, "query_id").where((F.col("rank") <= F.col("cap")) & (F.col("rank") <= k)).drop("cap")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import saved
+
 
 def union_keep_first(base: DataFrame, overlay: DataFrame, key: str = "question", order: str = "pos") -> tuple[DataFrame, DataFrame]:
     """Base rows, then overlay rows; a repeated key is dropped. Returns (kept, dropped); blank keys are all kept."""
@@ -32,6 +34,39 @@ def coverage_gap(required: DataFrame, covered: DataFrame) -> DataFrame:
     return required.subtract(covered)
 
 
+def passages_in(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """passages(text) and docs(key, text) → pairs (text, key) of a passage and a document that contains it, character by
+    character, in the middle of words too.
+
+    A word of the passage with white space on both sides is a whole word of every such document, so documents are looked
+    up by the one that the fewest of them have. A passage without such a word has one or two pieces of words: the longer
+    one lies in a word of the corpus, which grams of its beginning find among the distinct words. ``contains`` decides on
+    what a lookup returns. Passages of white space alone are compared with every document, as all of them may have it."""
+    passages = passages.select("text").where("text IS NOT NULL").distinct()
+    passages = passages.withColumn("w", F.split("text", r"\s+"))
+    inner = passages.select("text", F.explode(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))).alias("word")).distinct()
+    words = docs.where("text IS NOT NULL").select("key", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    held = saved(words.join(inner.select("word").distinct(), "word", "left_semi"), "passage-words")
+    count = inner.join(held.groupBy("word").agg(F.count("*").alias("df")), "word", "left")
+    rarest = count.groupBy("text").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), F.col("word"))).alias("word"))
+    met = rarest.join(held, "word").select("text", "key")
+
+    pieces = passages.where((F.size("w") <= 2) & (F.trim(F.array_join("w", "")) != ""))
+    pieces = pieces.select("text", F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("p"))))["p"].alias("piece"))
+    if not pieces.isEmpty():
+        gram = lambda x, i: F.substring(x, i, F.lit(3))
+        grams = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: gram(F.col("word"), i))
+        every = F.concat(grams, F.transform(grams, lambda g: F.substring(g, 1, 2)), F.transform(grams, lambda g: F.substring(g, 1, 1)))
+        index = words.select("word").distinct().where("word <> ''").select("word", F.explode(F.array_distinct(every)).alias("gram"))
+        hosts = pieces.withColumn("gram", F.substring("piece", 1, 3)).join(index, "gram").where(F.contains("word", F.col("piece"))).select("text", "word")
+        met = met.unionByName(hosts.join(words, "word").select("text", "key"))
+    found = met.distinct().join(docs.select("key", F.col("text").alias("__t")), "key").where(F.contains("__t", F.col("text"))).select("text", "key")
+    blank = passages.where(F.trim(F.array_join("w", "")) == "").select("text")
+    if not blank.isEmpty():
+        found = found.unionByName(docs.select("key", F.col("text").alias("__t")).join(blank, F.contains("__t", F.col("text"))).select("text", "key"))
+    return found
+
+
 def scenario_isolation(rows: DataFrame) -> DataFrame:
     """rows(expected, actual): share of expected scenarios that came back, and of rows in the right one."""
     e, a = rows.select(F.col("expected").alias("s")).distinct(), rows.select(F.col("actual").alias("s")).distinct()

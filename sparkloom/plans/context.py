@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.stored import scratch  # noqa: F401  queries that write files take it from here
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 FIXTURES: dict[str, str] = {
@@ -28,7 +30,7 @@ SELECT conv_id, turn, question, answer FROM (
 WHERE role = 'assistant' AND prev_role = 'user'""",
     "faq": """
 SELECT conv_id * 1000 + turn AS pos, concat('src', CAST(conv_id % 20 AS VARCHAR(9))) AS source,
-  CASE WHEN conv_id % 9 = 0 THEN '' ELSE substr(question, 1, 40) END AS question, CASE WHEN conv_id % 11 = 0 THEN ' ' ELSE answer END AS answer
+  CASE WHEN conv_id % 9 = 0 THEN '' ELSE question END AS question, CASE WHEN conv_id % 11 = 0 THEN ' ' ELSE answer END AS answer
 FROM faq_pairs""",
     "traces": """
 SELECT event_id AS trace_id, user_id AS client, ts, event_type AS hit_type,
@@ -71,7 +73,7 @@ SELECT conv_id * 1000 + turn AS query_id, conv_id, turn, concat('src', CAST(conv
     WHEN 3 THEN '系统安装失败报错怎么处理' WHEN 4 THEN '麻烦你帮我看下合同条款' WHEN 5 THEN '转人工' WHEN 6 THEN '你好！'
     WHEN 7 THEN '验收项清单有哪些字段' WHEN 8 THEN '知识库文档手册' WHEN 9 THEN 'WEBHOOK 回调流程怎么走' WHEN 10 THEN '糖尿病怎么办'
     WHEN 11 THEN '这个告警如何排查' WHEN 12 THEN '个人信息合规要求是什么' WHEN 13 THEN '总结主要内容' WHEN 14 THEN '怎么治疗感冒头疼' ELSE '' END,
-    CASE WHEN (conv_id + turn) % 20 > 14 OR conv_id % 3 = 0 THEN concat(' ', substr(text, 1, 30)) ELSE '' END) AS question
+    CASE WHEN (conv_id + turn) % 20 > 14 OR conv_id % 3 = 0 THEN concat(' ', text) ELSE '' END) AS question
 FROM conversations WHERE role = 'user'""",
     "hits": """
 SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS variant_no, concat('c', CAST(l_partkey % 40 AS VARCHAR(9))) AS chunk_id, concat('p', CAST(l_partkey % 13 AS VARCHAR(9))) AS parent_id,
@@ -164,12 +166,3 @@ def query(sql: str | None = None):
         return f
 
     return register
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share, as spark.checkpoint.dir names it, or in a temporary one."""
-    import tempfile
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"

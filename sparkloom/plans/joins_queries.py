@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rules import NUMERIC_FACT, VERSION_NUMBER
 from ..operators import joins as J
 from ..operators import sets as U
 from .context import query
@@ -31,7 +32,7 @@ def missing_document_cleanup(s):
     return J.missing_cleanup(records, s.new_manifest)
 
 
-_FAQ = "SELECT CAST(pos AS BIGINT) AS faq_id, CASE WHEN pos % 5 = 0 THEN '' ELSE source END AS source, substr(question, 1, 40) AS question, substr(answer, 1, 60) AS answer FROM faq"
+_FAQ = "SELECT CAST(pos AS BIGINT) AS faq_id, CASE WHEN pos % 5 = 0 THEN '' ELSE source END AS source, question, answer FROM faq"
 _TOK = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+')"
 _KW = f"list_filter({_TOK.format(t='''concat(question, ' ', answer)''')}, lambda x: length(x) >= 2)"
 _REL = f"""f AS ({_FAQ}), k AS (SELECT faq_id, source, unnest((list_filter(l, lambda x, i: list_position(l, x) = i))[1:12]) AS token, least(12, len(list_distinct(l))) AS n FROM (SELECT *, {_KW} AS l FROM f)),
@@ -49,15 +50,15 @@ def faq_document_relate(s):
     return J.faq_document_relate(*_faq(s))
 
 
-_NUM = r"list_transform(regexp_extract_all({t}, '\d+(?:\.\d+)?'), lambda x: x)"
+_NUM = f"list_distinct(list_transform(regexp_extract_all(regexp_replace(coalesce({{t}}, ''), '{VERSION_NUMBER}', '', 'g'), '{NUMERIC_FACT}'), lambda x: replace(x, ' ', '')))".replace("{4}", "{{4}}").replace("{2}", "{{2}}").replace("{1,2}", "{{1,2}}")
 
 
 @query(f"""WITH {_REL}, x AS (SELECT faq_id, doc_id, answer, text FROM r JOIN f USING (faq_id) JOIN documents USING (doc_id) WHERE rank <= 5)
 SELECT faq_id, doc_id AS chunk_id, 'polarity_mismatch' AS kind FROM x WHERE (contains(answer, ' the ') AND NOT contains(answer, ' of ') AND contains(text, ' of ') AND NOT contains(text, ' the ')) OR (contains(answer, ' of ') AND NOT contains(answer, ' the ') AND contains(text, ' the ') AND NOT contains(text, ' of '))
+UNION ALL SELECT faq_id, doc_id, 'numeric_mismatch' FROM (SELECT faq_id, doc_id, {_NUM.format(t='answer')} AS na, {_NUM.format(t='text')} AS nt FROM x) WHERE len(na) > 0 AND len(nt) > 0 AND len(list_intersect(na, nt)) = 0
 UNION ALL SELECT faq_id, NULL, 'no_related_document' FROM f WHERE faq_id NOT IN (SELECT faq_id FROM r WHERE rank <= 5)""")
 def faq_document_conflicts(s):
-    found = J.faq_document_conflicts(*_faq(s), polarity=lambda c: T.polarity(c, " the ", " of "))
-    return found.where("kind <> 'numeric_mismatch'")
+    return J.faq_document_conflicts(*_faq(s), polarity=lambda c: T.polarity(c, " the ", " of "))
 
 
 _ENT = "SELECT s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0 UNION SELECT c_name FROM customer WHERE c_custkey % 4 <> 0"
@@ -122,9 +123,9 @@ def restore_original_fields(s):
     return J.restore_fields(s.eval_rows.select("case_id", "scenario_id", "hit_type", "elapsed_ms"), cases, ["scenario_id"], ["hit_type"])
 
 
-@query("SELECT q.query_id, f.pos AS faq_id FROM (SELECT conv_id * 1000 + turn AS query_id, trim(substr(text, 1, 40)) AS q FROM conversations WHERE role = 'user') q JOIN faq f ON trim(f.question) = q WHERE q <> ''")
+@query("SELECT q.query_id, f.pos AS faq_id FROM (SELECT conv_id * 1000 + turn AS query_id, trim(text) AS q FROM conversations WHERE role = 'user') q JOIN faq f ON trim(f.question) = q WHERE q <> ''")
 def query_document_match(s):
-    queries = s.conversations.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.substring("text", 1, 40).alias("question"))
+    queries = s.conversations.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
     return J.query_document_match(queries, s.faq.select(F.col("pos").alias("faq_id"), "question")).select("query_id", "faq_id")
 
 
@@ -155,13 +156,8 @@ def merge_cases(s):
 
 @query("SELECT DISTINCT text FROM benchmark WHERE text NOT IN (SELECT b.text FROM benchmark b JOIN documents d ON contains(d.text, b.text))")
 def coverage_gap(s):
-    # a passage is looked up by its first three words, and the documents that have them are searched for the whole
-    head = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    heads = T.let(F.split("text", r"\s+"), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: head(w, i))))
-    marks = s.benchmark.select("text", head(F.split("text", r"\s+"), F.lit(0)).alias("head"))
-    met = s.documents.select("doc_id", F.explode(heads).alias("head")).join(marks.withColumnRenamed("text", "passage"), "head")
-    covered = met.join(s.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select(F.col("passage").alias("text"))
-    return U.coverage_gap(s.benchmark.select("text"), covered)
+    docs = s.documents.select(F.col("doc_id").alias("key"), "text")
+    return U.coverage_gap(s.benchmark.select("text"), U.passages_in(s.benchmark, docs).select("text"))
 
 
 @query("""SELECT avg(CASE WHEN scenario_id = a THEN 1.0 ELSE 0.0 END)::DOUBLE AS turn_share, (SELECT count(*) FROM (SELECT scenario_id FROM eval_rows INTERSECT SELECT concat('scn', case_id % 3) FROM eval_rows))::DOUBLE / (SELECT count(DISTINCT scenario_id) FROM eval_rows) AS scenario_share

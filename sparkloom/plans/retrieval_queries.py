@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as S
+from ..operators.sets import passages_in
 from .context import query
 
 
@@ -12,6 +13,11 @@ def _docs(s):
     return s.documents.select(F.col("doc_id").alias("key"), "text")
 
 
+def _bm25(s, k):
+    tokens = S.tokenized(_docs(s))
+    return S.bm25_search(_asked(s), S.build_bm25_index(tokens), k, S.corpus_stats(tokens))
+
+
 def _asked(s):
     return s.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
@@ -32,25 +38,24 @@ h AS (SELECT item_id, doc, (SELECT min(rank) FROM b JOIN documents dd ON dd.doc_
 SELECT count(*) AS cases, count(doc) AS annotated, round(avg(CASE WHEN doc IS NOT NULL THEN (r IS NOT NULL)::INT END), 6) AS recall_at_5, round(avg(CASE WHEN doc IS NOT NULL THEN coalesce(1.0::DOUBLE / r, 0) END), 6) AS mrr FROM h""")
 def eval_summary(s):
     """Benchmark passages as queries over all documents by BM25; a hit is a document that holds the passage."""
-    top = S.bm25_search(_asked(s), S.build_bm25_index(_docs(s)), 5, S.corpus_stats(_docs(s)))
+    top = _bm25(s, 5)
     good = F.contains("text", F.col("passage"))
     passages = s.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     ranks = top.join(_docs(s), "key").join(passages, "query_id").where(good).groupBy("query_id").agg(F.min("rank").alias("r"))
-    from .joins_queries import coverage_gap
-
-    covered = passages.join(coverage_gap(s).withColumnRenamed("text", "passage"), "passage", "left_anti").select("query_id").withColumn("there", F.lit(True))
+    covered = passages_in(passages.select(F.col("passage").alias("text")), _docs(s)).select(F.col("text").alias("passage")).distinct()
+    covered = passages.join(covered, "passage").select("query_id").withColumn("there", F.lit(True))
     rows = passages.select("query_id").join(covered, "query_id", "left").join(ranks, "query_id", "left")
     return rows.agg(F.count("*").alias("cases"), F.count("there").alias("annotated"), F.round(F.avg(F.when(F.col("there"), F.col("r").isNotNull().cast("double"))), 6).alias("recall_at_5"), F.round(F.avg(F.when(F.col("there"), F.coalesce(1 / F.col("r"), F.lit(0.0)))), 6).alias("mrr"))
 
 
-@query(f"WITH {_bm25_sql()} SELECT term, key, dl, tf FROM p WHERE length(term) > 9")
+@query(f"WITH {_bm25_sql()} SELECT term, key, dl, tf FROM p")
 def build_bm25_index(s):
-    return S.build_bm25_index(_docs(s)).where(F.length("term") > 9)
+    return S.build_bm25_index(_docs(s))
 
 
 @query(f"WITH {_bm25_sql(k=10)} SELECT query_id, key, score, rank FROM b")
 def bm25_search(s):
-    return S.bm25_search(_asked(s), S.build_bm25_index(_docs(s)), 10, S.corpus_stats(_docs(s)))
+    return _bm25(s, 10)
 
 
 def _vectors(s):
@@ -119,7 +124,7 @@ _SPLIT = r"list_distinct(list_filter(regexp_split_to_array(lower({t}), '\s+'), l
 @query(f"""WITH {_bm25_sql(k=20)}, o AS (SELECT query_id, key, {_SPLIT.format(t='q.text')} AS a, {_SPLIT.format(t='d.text')} AS t FROM b JOIN benchmark q ON item_id = query_id JOIN documents d ON doc_id = key),
 v AS (SELECT query_id, key, round(len(list_intersect(a, t)) / greatest(1, len(a))::DOUBLE, 6) AS score FROM o), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM v) SELECT query_id, key, score, rank FROM w WHERE rank <= 5""")
 def rerank(s):
-    top = S.bm25_search(_asked(s), S.build_bm25_index(_docs(s)), 20, S.corpus_stats(_docs(s)))
+    top = _bm25(s, 20)
     return S.rerank(top.join(_docs(s), "key").join(_asked(s).withColumnRenamed("text", "query"), "query_id"))
 
 
