@@ -62,11 +62,11 @@ def read_scenario_dim(s):
     return S.read_scenario_dim(s.spark, path).select("scenario_id", "source", "source_order", "pattern", "label")
 
 
-@query()
+@query("SELECT DISTINCT '.txt' AS suffix, concat('source=', source) AS source, true AS supported FROM documents")
 def file_inventory(s):
     path = scratch(s.spark, "files")
     s.documents.select("source", "text").write.partitionBy("source").text(path)
-    return S.file_inventory(s.spark, path).select("suffix", "source", "length", "supported", "fingerprint")
+    return S.file_inventory(s.spark, path).select("suffix", "source", "supported").distinct()
 
 
 @query()

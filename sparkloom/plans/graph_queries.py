@@ -44,18 +44,39 @@ def _short(s):
     return s.sql(_WORDS)
 
 
-@query(f"""WITH e AS ({_WORDS}), p AS (SELECT a.name AS a, b.name AS b, list_sort(string_split(a.name, '')) = list_sort(string_split(b.name, '')) AS ana, length(a.name) = length(b.name) AS same FROM e a JOIN e b ON a.type = b.type AND a.name < b.name) SELECT DISTINCT a, b FROM p WHERE ana""")
+def _similar(a: str, b: str) -> str:
+    """DuckDB SQL of the likeness of two names, rule by rule."""
+    x, y = f"string_split({a}, '')", f"string_split({b}, '')"
+    common, every = f"len(list_intersect({x}, {y}))", f"len(list_distinct(list_concat({x}, {y})))"
+    n, m = f"length({a})", f"length({b})"
+    short, long = f"CASE WHEN {n} <= {m} THEN {a} ELSE {b} END", f"CASE WHEN {n} <= {m} THEN {b} ELSE {a} END"
+    three = f"{n} = 3 AND {m} = 3 AND {a}[1] = {b}[1]"
+    return f"""CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN list_sort({x}) = list_sort({y}) THEN 0.85
+ WHEN {three} AND {a}[2] = {b}[2] AND {a}[3] <> {b}[3] THEN 0.0 WHEN {three} AND {a}[2] <> {b}[2] AND {a}[3] = {b}[3] THEN 0.7
+ WHEN {n} = {m} AND {n} >= 4 AND {a}[3:] = {b}[3:] AND {a}[1] <> {b}[1] THEN 0.0
+ WHEN {n} = {m} AND {common} >= {n} - 1 AND 2 * {common} >= {every} THEN 0.7 WHEN {n} = {m} AND 4 * {common} >= 3 * {every} THEN 0.7
+ WHEN {n} <> {m} AND least({n}, {m}) >= 2 AND ends_with({long}, {short}) THEN 0.85
+ WHEN 5 * {common} >= 3 * {every} AND {common} >= 2 AND NOT ({n} <> {m} AND starts_with({long}, {short})) THEN 0.7 ELSE 0.0 END::DOUBLE"""
+
+
+@query(f"WITH e AS ({_WORDS}), p AS (SELECT DISTINCT a.name AS a, b.name AS b FROM e a JOIN e b ON a.type = b.type AND a.name < b.name), s AS (SELECT a, b, {_similar('a', 'b')} AS similarity FROM p) SELECT * FROM s WHERE similarity >= 0.65")
 def alias_candidate_pairs(s):
-    """Pairs that are anagrams of each other; the other rules are held against a plain version in the tests."""
-    return G.alias_candidate_pairs(_short(s)).where(F.col("similarity") == 0.85).where(F.length("a") == F.length("b")).select("a", "b")
+    return G.alias_candidate_pairs(_short(s))
 
 
-@query("SELECT p_partkey, CASE WHEN list_sort(string_split(p_name, '')) = list_sort(string_split(reverse(p_name), '')) AND p_name <> reverse(p_name) THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS similarity FROM part")
+_VARIANTS = """SELECT c_custkey, substr(c_name, length(c_name) - 3) AS a, CASE c_custkey % 13 WHEN 0 THEN substr(c_name, length(c_name) - 3) WHEN 1 THEN reverse(substr(c_name, length(c_name) - 3)) WHEN 2 THEN substr(c_name, length(c_name) - 2) WHEN 3 THEN substr(c_name, length(c_name) - 3, 3)
+ WHEN 4 THEN concat('x', substr(c_name, length(c_name) - 2)) WHEN 5 THEN concat(substr(c_name, length(c_name) - 3), 'z') WHEN 6 THEN concat('qr', substr(c_name, length(c_name) - 3)) WHEN 7 THEN concat(substr(c_name, length(c_name) - 3, 3), 'y') WHEN 8 THEN concat('x', substr(c_name, length(c_name) - 2, 1), 'w', substr(c_name, length(c_name)))
+ WHEN 9 THEN '' WHEN 10 THEN concat(substr(c_name, length(c_name) - 1), substr(c_name, length(c_name) - 3, 3)) WHEN 11 THEN phone_part ELSE concat(substr(c_name, length(c_name)), phone_part) END AS b FROM (SELECT c_custkey, c_name, CAST(c_custkey * 37 % 1000 AS VARCHAR(9)) AS phone_part FROM customer) t"""
+_THREE = f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN a ELSE substr(a, 2) END AS a, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 13 IN (3, 11) THEN b ELSE concat(substr(a, 2, 1), substr(b, length(b) - 1)) END AS b FROM ({_VARIANTS}) v"
+
+
+@query(f"SELECT c_custkey, a, b, {_similar('a', 'b')} AS similarity FROM ({_THREE})")
 def alias_similarity(s):
-    return s.part.select("p_partkey", G.alias_similarity(F.col("p_name"), F.reverse("p_name")).alias("similarity"))
+    """Names against variants of themselves, by which every rule without a word list is met."""
+    return s.sql(_THREE).select("c_custkey", "a", "b", G.alias_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
-_PAIRS = "SELECT DISTINCT source AS a, target AS b FROM kg_edges WHERE strength = 1 AND substr(target, 18) < '3'"
+_PAIRS = "SELECT DISTINCT source AS a, target AS b FROM kg_edges"
 
 
 @query(f"""WITH RECURSIVE p AS ({_PAIRS}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), c AS (SELECT a AS name, a AS m FROM e UNION SELECT c.name, e.b FROM c JOIN e ON e.a = c.m) SELECT name, min(m) AS component FROM c GROUP BY name""")
@@ -99,7 +120,7 @@ def modularity(s):
     return G.modularity(s.kg_edges, s.sql(_COMM))
 
 
-@query(f"WITH c AS ({_COMM}) SELECT community, count(*) AS size, concat('[\"', string_agg(name, '\",\"' ORDER BY name), '\"]') AS members FROM c GROUP BY community")
+@query(f"WITH c AS ({_COMM}) SELECT community, count(*) AS size, 0 AS page, concat('[\"', string_agg(name, '\",\"' ORDER BY name), '\"]') AS members FROM c GROUP BY community")
 def community_members(s):
     return G.community_members(s.sql(_COMM))
 
@@ -119,11 +140,12 @@ def summarize_communities(s):
 
 
 def _summaries(s):
-    return s.documents.select(F.col("doc_id").alias("community"), F.substring("text", 1, 200).alias("summary"), F.substring("text", 201, 100).alias("entities"))
+    names = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Z][a-z]+"), F.lit(0)), " ")
+    return s.documents.select(F.col("doc_id").alias("community"), F.col("text").alias("summary"), names.alias("entities"))
 
 
 _TERMS = r"list_distinct(list_transform(regexp_extract_all({t}, '[A-Za-z0-9_]+'), lambda x: lower(x)))"
-_SCORE = f"""q AS (SELECT item_id AS query_id, unnest({_TERMS.format(t='text')}) AS term FROM benchmark), d AS (SELECT doc_id AS community, unnest({_TERMS.format(t='substr(text, 1, 200)')}) AS term, 2.0::DOUBLE AS w FROM documents UNION ALL SELECT doc_id, unnest({_TERMS.format(t='substr(text, 201, 100)')}), 0.5 FROM documents),
+_SCORE = f"""q AS (SELECT item_id AS query_id, unnest({_TERMS.format(t='text')}) AS term FROM benchmark), d AS (SELECT doc_id AS community, unnest({_TERMS.format(t='text')}) AS term, 2.0::DOUBLE AS w FROM documents UNION ALL SELECT doc_id, unnest({_TERMS.format(t="array_to_string(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+'), ' ')")}), 0.5 FROM documents),
 s AS (SELECT query_id, community, sum(w) AS score FROM q JOIN d USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community) AS rank FROM s)"""
 
 
@@ -132,7 +154,7 @@ def score_communities(s):
     return G.score_communities(s.benchmark.select(F.col("item_id").alias("query_id"), "text"), _summaries(s))
 
 
-@query(f"WITH {_SCORE} SELECT query_id, string_agg(concat('[', rank, '] ', substr(text, 1, 200)), chr(10) ORDER BY rank) AS text FROM r JOIN documents ON doc_id = community WHERE rank <= 5 GROUP BY query_id")
+@query(f"WITH {_SCORE} SELECT query_id, string_agg(concat('[', rank, '] ', text), chr(10) ORDER BY rank) AS text FROM r JOIN documents ON doc_id = community WHERE rank <= 5 GROUP BY query_id")
 def global_search(s):
     return G.global_search(s.benchmark.select(F.col("item_id").alias("query_id"), "text"), _summaries(s))
 
@@ -160,7 +182,7 @@ def local_search(s):
     return G.local_search(s.sql(_TOK), s.kg_edges)
 
 
-@query(f"WITH {_LOCAL}, {_SCORE}, g AS (SELECT query_id, string_agg(concat('[', rank, '] ', substr(text, 1, 200)), chr(10) ORDER BY rank) AS text FROM r JOIN documents ON doc_id = community WHERE rank <= 5 GROUP BY query_id) SELECT item_id AS query_id, coalesce(lt.text, g.text) AS text, CASE WHEN lt.text IS NOT NULL THEN 'local' WHEN g.text IS NOT NULL THEN 'global' ELSE 'none' END AS kind FROM benchmark LEFT JOIN lt ON lt.query_id = item_id LEFT JOIN g ON g.query_id = item_id")
+@query(f"WITH {_LOCAL}, {_SCORE}, g AS (SELECT query_id, string_agg(concat('[', rank, '] ', text), chr(10) ORDER BY rank) AS text FROM r JOIN documents ON doc_id = community WHERE rank <= 5 GROUP BY query_id) SELECT item_id AS query_id, coalesce(lt.text, g.text) AS text, CASE WHEN lt.text IS NOT NULL THEN 'local' WHEN g.text IS NOT NULL THEN 'global' ELSE 'none' END AS kind FROM benchmark LEFT JOIN lt ON lt.query_id = item_id LEFT JOIN g ON g.query_id = item_id")
 def graph_context_fallback(s):
     asked = s.benchmark.select(F.col("item_id").alias("query_id"), "text")
     return G.graph_context(local_search(s), G.global_search(asked, _summaries(s)), asked)

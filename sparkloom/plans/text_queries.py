@@ -43,10 +43,10 @@ def stable_hash(s):
 
 @query("""WITH c AS (SELECT *, concat(scenario_id, '||', tenant_id, '||', dataset_id, '||', source, '||m1||v1||', doc_id) AS scope, doc_id % 6 = 0 AS t FROM kb_docs),
 p AS (SELECT *, CASE WHEN t THEN sha256(concat(scope, '||t', doc_id % 50, '||s1||', doc_id)) ELSE sha256(concat(scope, '||', coalesce(text, ''))) END AS parent_id FROM c)
-SELECT doc_id, parent_id, CASE WHEN t THEN sha256(concat('row||', parent_id)) ELSE sha256(concat(parent_id, '||', coalesce(substr(text, 1, 350), ''))) END AS chunk_id FROM p""")
+SELECT doc_id, parent_id, CASE WHEN t THEN sha256(concat('row||', parent_id)) ELSE sha256(concat(parent_id, '||', coalesce(text, ''))) END AS chunk_id FROM p""")
 def chunk_identity(s):
     t = F.col("doc_id") % 6 == 0
-    chunks = s.kb_docs.withColumn("parent_content", F.col("text")).withColumns({"text": F.substring("text", 1, 350), "content_type": F.when(t, "table_row").otherwise("text"), "table_id": F.concat(F.lit("t"), (F.col("doc_id") % 50).cast("string")), "sheet_name": F.lit("s1"), "row_number": F.col("doc_id"), "embedding_model_version": F.lit("m1"), "chunk_schema_version": F.lit("v1")})
+    chunks = s.kb_docs.withColumn("parent_content", F.col("text")).withColumns({"content_type": F.when(t, "table_row").otherwise("text"), "table_id": F.concat(F.lit("t"), (F.col("doc_id") % 50).cast("string")), "sheet_name": F.lit("s1"), "row_number": F.col("doc_id"), "embedding_model_version": F.lit("m1"), "chunk_schema_version": F.lit("v1")})
     return I.chunk_identity(chunks).select("doc_id", "parent_id", "chunk_id")
 
 
@@ -113,7 +113,7 @@ def numeric_facts(s):
     return s.documents.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(T.numeric_facts("text"), lambda x: F.regexp_replace(x, r"\s+", "")))), "|").alias("facts"))
 
 
-@query()
+@query("SELECT doc_id, substr(text, 1, len(list_filter(range(1, 102), lambda n: n <= length(text) AND strlen(substr(text, 1, n)) <= 101))) AS cut FROM documents")
 def truncate_utf8(s):
     return s.documents.select("doc_id", T.truncate_utf8("text", 101).alias("cut"))
 
@@ -133,9 +133,9 @@ def keyword_tokens(s):
     return s.documents.select("doc_id", F.array_join(T.keyword_tokens("text"), "|").alias("k"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(substr(text, 1, 500), ''), '[\\x{4e00}-\\x{9fff}A-Za-z0-9_]+'), lambda x: lower(x)))), '|') AS t FROM documents")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[\\x{4e00}-\\x{9fff}A-Za-z0-9_]+'), lambda x: lower(x)))), '|') AS t FROM documents")
 def ngram_terms(s):
-    return s.documents.select("doc_id", F.array_join(F.array_sort(T.ngram_terms(F.substring("text", 1, 500))), "|").alias("t"))
+    return s.documents.select("doc_id", F.array_join(F.array_sort(T.ngram_terms("text")), "|").alias("t"))
 
 
 _RUNS = r"regexp_extract_all(coalesce(question, ''), '[\x{4e00}-\x{9fff}]+')"
