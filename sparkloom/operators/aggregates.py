@@ -33,9 +33,13 @@ def chunk_quality_stats(chunks: DataFrame, issues: DataFrame) -> DataFrame:
 def faq_quality(faq: DataFrame, valid: DataFrame) -> DataFrame:
     """Per source: rows, empty questions and answers, questions seen before in the whole table, unknown sources."""
     q, a = F.trim(F.coalesce("question", F.lit(""))), F.trim(F.coalesce("answer", F.lit("")))
-    seen = F.when(q != "", F.row_number().over(Window.partitionBy(q).orderBy("pos")) > 1).otherwise(False)
-    rows = faq.withColumn("__seen", seen).join(valid.select("source").distinct().withColumn("__ok", F.lit(True)), "source", "left")
-    return rows.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(q == "").alias("empty_questions"), F.count_if(a == "").alias("empty_answers"), F.count_if("__seen").alias("repeated_questions"), F.count_if(F.col("__ok").isNull()).alias("invalid_source"))
+    # all rows of a question but the first repeat it; its first row is a minimum, which combines before the shuffle
+    first = faq.where(q != "").groupBy(q.alias("q")).agg(F.min(F.struct("pos", "source")).alias("f")).groupBy(F.col("f.source").alias("source")).agg(F.count("*").alias("firsts"))
+    per = faq.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(q == "").alias("empty_questions"), F.count_if(a == "").alias("empty_answers"))
+    known = valid.select("source").distinct().withColumn("ok", F.lit(True))
+    per = per.join(first, "source", "left").join(known, "source", "left").withColumn("firsts", F.coalesce("firsts", F.lit(0)))
+    invalid = F.when(F.col("ok").isNull(), F.col("rows")).otherwise(0).alias("invalid_source")
+    return per.select("source", "rows", "empty_questions", "empty_answers", (F.col("rows") - F.col("empty_questions") - F.col("firsts")).alias("repeated_questions"), invalid)
 
 
 def ingest_stats(diff: DataFrame, expired: DataFrame) -> DataFrame:

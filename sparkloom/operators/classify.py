@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import few
+
 from ..functions import rules as R
 
 
@@ -96,7 +98,7 @@ def prompt_profile(queries: DataFrame, by_category: DataFrame, by_intent: DataFr
     """The profile of the category, else of the intent, else the default, from two small dimensions."""
     c = by_category.select("category", F.col("profile").alias("__c"))
     i = by_intent.select("intent", F.col("profile").alias("__i"))
-    return queries.join(F.broadcast(c), "category", "left").join(F.broadcast(i), "intent", "left").withColumn("profile", F.coalesce("__c", "__i", F.lit(default))).drop("__c", "__i")
+    return queries.join(few(c), "category", "left").join(few(i), "intent", "left").withColumn("profile", F.coalesce("__c", "__i", F.lit(default))).drop("__c", "__i")
 
 
 def faq_source_normalize(faq: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -104,8 +106,8 @@ def faq_source_normalize(faq: DataFrame, rules: DataFrame) -> tuple[DataFrame, D
     the subject or the question matches."""
     s = F.lower(F.trim("subject"))
     exact = rules.select(F.col("source").alias("__s")).distinct().withColumn("__exact", F.col("__s"))
-    rows = faq.withColumn("__k", s).join(F.broadcast(exact), F.col("__k") == F.col("__s"), "left")
-    met = faq.crossJoin(F.broadcast(rules)).where(F.expr("subject rlike pattern OR question rlike pattern"))  # rules: a few rows of configuration
+    rows = faq.withColumn("__k", s).join(few(exact), F.col("__k") == F.col("__s"), "left")
+    met = faq.crossJoin(few(rules)).where(F.expr("subject rlike pattern OR question rlike pattern"))  # rules: a few rows of configuration
     first = met.groupBy("faq_id").agg(F.min_by("source", "source_order").alias("__first"))
     rows = rows.join(first, "faq_id", "left").withColumn("source", F.coalesce("__exact", "__first")).drop("__k", "__s", "__exact", "__first")
     return rows.where("source IS NOT NULL"), rows.where("source IS NULL").drop("source")

@@ -33,7 +33,13 @@ def stream_request_metrics(s):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", "mean")
 
 
-@query()
+_KEPT = "list_filter(f.kept, lambda x: x > e.t - 3600000000)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS client, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+f AS (SELECT client, id, n, true AS accepted, [t] AS kept FROM e WHERE n = 1
+ UNION ALL SELECT e.client, e.id, e.n, len({_KEPT}) < 3, CASE WHEN len({_KEPT}) < 3 THEN list_append({_KEPT}, e.t) ELSE {_KEPT} END FROM f JOIN e ON e.client = f.client AND e.n = f.n + 1)
+SELECT client, id, accepted FROM f""")
 def stream_rate_limit(s):
     rows = _stream(s, "events").select(F.col("user_id").alias("client"), F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"))
     return _sunk(s, J.rate_limit(rows, 3, 3600))

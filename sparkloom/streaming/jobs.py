@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.stored import few
 from ..sources.files import append_changes
 
 
@@ -46,12 +47,16 @@ def request_metrics(traces: DataFrame, width: str = "10 minutes", late: str = "1
     return rows.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "mean")
 
 
-def rate_limit(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
+def rate_limit(requests: DataFrame, limit: int, seconds: int = 60, late: str = "1 day") -> DataFrame:
     """requests(client, at long microseconds, id) → (client, id, accepted): at most ``limit`` accepted within the span
-    before a request; refused ones do not count. A client's state is the times of its accepted requests in the span."""
+    before a request; refused ones do not count. A client's state is the times of its accepted requests in the span; it
+    goes when the watermark, ``late`` behind the latest request, has passed the span after the last of them."""
     span = seconds * 1_000_000
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["at", "id"], kind="stable")
         verdict = []
@@ -62,9 +67,11 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
                 kept.append(at)
             verdict.append(yes)
         state.update((kept,))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, ((kept[-1] if kept else 0) + span) // 1000 + 1))
         yield pd.DataFrame({"client": rows["client"], "id": rows["id"], "accepted": verdict})
 
-    return requests.groupBy("client").applyInPandasWithState(run, "client long, id long, accepted boolean", "kept array<long>", "append", "NoTimeout")
+    timed = requests.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", late)
+    return timed.groupBy("client").applyInPandasWithState(run, "client long, id long, accepted boolean", "kept array<long>", "append", "EventTimeTimeout")
 
 
 def session_counts(messages: DataFrame, log: str, checkpoint: str) -> None:
@@ -91,7 +98,7 @@ def ttl_dedup(events: DataFrame, keys: list[str], ttl: str = "10 minutes") -> Da
 def feedback_cases(feedback: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Feedback that is not useful, joined with the scenario dimension as it streams."""
     bad = feedback.where("event_type = 'error'")
-    return bad.join(F.broadcast(scenarios), "user_group").select(F.concat(F.lit("feedback-"), F.col("event_id").cast("string")).alias("case_id"), "scenario", "props")  # a few rows of configuration
+    return bad.join(few(scenarios), "user_group").select(F.concat(F.lit("feedback-"), F.col("event_id").cast("string")).alias("case_id"), "scenario", "props")
 
 
 def active_intervals(log: DataFrame) -> DataFrame:
@@ -100,8 +107,15 @@ def active_intervals(log: DataFrame) -> DataFrame:
     return log.select("scenario_id", "version_seq", F.col("activated_at").alias("start"), F.lead("activated_at").over(w).alias("stop"))
 
 
-def active_version_join(requests: DataFrame, intervals: DataFrame) -> DataFrame:
-    """requests(id, scenario_id, ts), a stream or a table → the version that was active then."""
-    i = intervals.withColumnRenamed("scenario_id", "__s")
-    on = (F.col("scenario_id") == F.col("__s")) & (F.col("ts") >= F.col("start")) & (F.col("stop").isNull() | (F.col("ts") < F.col("stop")))
-    return requests.join(i, on).select("id", "scenario_id", "version_seq")
+def active_version_join(requests: DataFrame, intervals: DataFrame, bucket: int = 86_400) -> DataFrame:
+    """requests(id, scenario_id, ts), a stream or a table → the version that was active then.
+
+    Closed intervals are listed under every ``bucket`` of seconds that they touch, and a request meets those of its own
+    bucket; the open one, a row for each scenario, takes what came after the last change."""
+    at = lambda t: F.floor(F.unix_seconds(t) / bucket)
+    closed = intervals.where("stop IS NOT NULL AND start < stop")
+    closed = closed.select(F.col("scenario_id").alias("__s"), F.explode(F.sequence(at(F.col("start")), at(F.col("stop")))).alias("__b"), "start", "stop", F.col("version_seq").alias("__v"))
+    last = intervals.where("stop IS NULL").select(F.col("scenario_id").alias("__o"), F.col("start").alias("__from"), F.col("version_seq").alias("__w"))
+    on = (F.col("scenario_id") == F.col("__s")) & (at(F.col("ts")) == F.col("__b")) & (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("stop"))
+    rows = requests.join(closed, on, "left").join(last, (F.col("scenario_id") == F.col("__o")) & (F.col("ts") >= F.col("__from")), "left")
+    return rows.select("id", "scenario_id", F.coalesce("__v", "__w").alias("version_seq")).where("version_seq IS NOT NULL")
