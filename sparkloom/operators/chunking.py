@@ -95,18 +95,24 @@ def parent_child_chunks(docs: DataFrame, parent: tuple[int, int] = (1000, 100),
     whole = F.coalesce("content_type", F.lit("")).isin("table_row", "ocr_reviewed_text")
     none = F.lit(None).cast("string")
     atomic = docs.where(whole & (F.trim("text") != "")).select("doc_id", none.alias("h1"), none.alias("h2"), none.alias("h3"), F.lit(0).cast("long").alias("section"), F.lit(0).alias("parent_no"), F.col("text").alias("parent_content"), F.lit(0).alias("child_no"), "text")
-    sections = split_markdown_sections(docs.where(~whole)).withColumn("sid", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("section").cast("string")))
-    parents = recursive_split(sections, *parent, id_col="sid", name="parent").withColumn("pid", F.concat_ws(":", "sid", F.col("parent_no").cast("string")))
-    children = recursive_split(parents, *child, id_col="pid", text_col="parent", name="child")
-    rows = children.join(parents, "pid").join(sections.select("sid", "doc_id", "section", "h1", "h2", "h3"), "sid")
-    made = rows.select("doc_id", "h1", "h2", "h3", F.col("section").cast("long").alias("section"), "parent_no", F.col("parent").alias("parent_content"), "child_no", F.col("child").alias("text"))
+    sections = split_markdown_sections(docs.where(~whole)).select("doc_id", "h1", "h2", "h3", F.col("section").cast("long").alias("section"), "text")
+    names = ["doc_id", "h1", "h2", "h3", "section", "parent_no", "parent_content", "child_no", "text"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                rows = [(*x[:5], n, p, m, c) for x in pdf.iloc[at : at + 500].itertuples(index=False) for n, p in enumerate(recursive_pieces(x[5], *parent)) for m, c in enumerate(recursive_pieces(p, *child))]
+                yield pd.DataFrame(rows, columns=names)
+
+    kind = dict(docs.dtypes)["doc_id"]
+    made = sections.mapInPandas(run, f"doc_id {kind}, h1 string, h2 string, h3 string, section long, parent_no int, parent_content string, child_no int, text string")
     return made.unionByName(atomic)
 
 
 def pack_parents(chunks: DataFrame, limit: int = 4096) -> DataFrame:
     """chunks(doc_id, pos, chunk_id, parent_id, tokens) → (doc_id, batch_no, parents, chunk_ids, tokens): distinct parents
     of a document in order, in batches up to ``limit`` tokens, as a fold over a document's parents."""
-    one = chunks.groupBy("doc_id", "parent_id").agg(F.min("pos").alias("pos"), F.first("tokens").alias("tokens"), F.array_sort(F.collect_list("chunk_id")).alias("ids"))
+    one = chunks.groupBy("doc_id", "parent_id").agg(F.min("pos").alias("pos"), F.min_by("tokens", "pos").alias("tokens"), F.array_sort(F.collect_list("chunk_id")).alias("ids"))
     items = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "parent_id", F.col("tokens").cast("long").alias("tokens"), "ids"))).alias("x"))
     start = F.struct(F.lit(-1).alias("b"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("bs"))
 

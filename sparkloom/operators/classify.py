@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stored import few
-
 from ..functions import rules as R
+from .stored import few
 
 
 def score_sources(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """queries(query_id, scenario_id, query) × rules(scenario_id, source, source_order, pattern) → scores per source.
 
     A match in the raw and in the lower-cased text counts each: ten for a match, its characters, less the source's
-    place. Rules are configuration, a few rows a scenario, and are broadcast.
+    place. Rules are configuration, a few rows a scenario, and are broadcast if they are.
     """
-    rows = queries.join(F.broadcast(rules), "scenario_id")
+    rows = queries.join(few(rules), "scenario_id")
     found = F.concat(F.expr("regexp_extract_all(query, pattern, 0)"), F.expr("regexp_extract_all(lower(trim(query)), pattern, 0)"))
     rows = rows.withColumn("m", found).where(F.size("m") > 0)
     score = F.size("m") * 10 + F.aggregate("m", F.lit(0), lambda a, x: a + F.length(x)) - F.col("source_order")
@@ -36,7 +35,7 @@ def scenario_boundary(queries: DataFrame, rules: DataFrame, own_least: int = 8,
     """Queries whose own scenario scores under ``own_least`` while another one reaches ``other_least``."""
     every = queries.select("query_id", F.col("scenario_id").alias("own"), "query")
     scenarios = rules.select("scenario_id").distinct()
-    scored = score_sources(every.crossJoin(F.broadcast(scenarios)), rules)  # scenarios: a few rows of configuration
+    scored = score_sources(every.crossJoin(few(scenarios)), rules)  # scenarios: configuration
     top = scored.groupBy("query_id", "scenario_id").agg(F.max("score").alias("score")).join(every.select("query_id", "own"), "query_id")
     own = top.where("scenario_id = own").select("query_id", F.col("score").alias("own_score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "scenario_id")

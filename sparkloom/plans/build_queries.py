@@ -108,7 +108,14 @@ def write_report(s):
     return s.spark.read.schema("event_type string, n long, report_type string").json(path).where("report_type = 'events'").select("event_type", "n")
 
 
-@query()
+_MARK = "CASE WHEN l = {k} THEN name WHEN l > 0 AND l < {k} THEN '' END"
+_HEAD = "nullif(last_value(" + _MARK + " IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING), '') AS h{k}"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), y AS (SELECT doc_id, unnest(range(0, len(lines))) AS n, unnest(lines) AS line FROM x),
+z AS (SELECT *, length(regexp_extract(line, '^(#{{1,3}}) +\S', 1)) AS l, trim(regexp_replace(line, '^#{{1,3}} +', '')) AS name FROM y),
+w AS (SELECT *, sum(CASE WHEN l > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)::BIGINT AS section, {_HEAD.format(k=1)}, {_HEAD.format(k=2)}, {_HEAD.format(k=3)} FROM z)
+SELECT doc_id, section, h1, h2, h3, trim(string_agg(line, chr(10) ORDER BY n)) AS text FROM w WHERE l = 0 GROUP BY ALL HAVING trim(string_agg(line, chr(10) ORDER BY n)) <> ''""")
 def split_markdown_sections(s):
     return C.split_markdown_sections(s.documents.select("doc_id", "text"))
 
@@ -134,7 +141,12 @@ def atomic_chunks(s):
     return C.parent_child_chunks(rows).select("doc_id", "text")
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(greatest(length(text) - 50, 1) / 300.0) AS BIGINT))) AS pos FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, pos, concat(doc_id, '-', pos) AS chunk_id, pos // 3 AS parent, length(substr(text, CAST(1 + pos * 300 AS BIGINT), 350)) // 2 AS tokens FROM x),
+p AS (SELECT doc_id, parent, arg_min(tokens, pos) AS tokens, list(chunk_id) AS ids, row_number() OVER (PARTITION BY doc_id ORDER BY parent) AS n FROM c GROUP BY doc_id, parent),
+f AS (SELECT doc_id, n, 0 AS batch_no, tokens AS used FROM p WHERE n = 1
+ UNION ALL SELECT p.doc_id, p.n, CASE WHEN f.used + p.tokens > 600 THEN f.batch_no + 1 ELSE f.batch_no END, CASE WHEN f.used + p.tokens > 600 THEN p.tokens ELSE f.used + p.tokens END FROM f JOIN p ON p.doc_id = f.doc_id AND p.n = f.n + 1)
+SELECT doc_id, batch_no, count(*) AS parents, array_to_string(list_sort(flatten(list(ids))), ',') AS chunk_ids, sum(tokens)::BIGINT AS tokens FROM f JOIN p USING (doc_id, n) GROUP BY doc_id, batch_no""")
 def pack_parents_by_tokens(s):
     pieces = C.fixed_window_split(s.documents.select("doc_id", "text"), 350, 50)
     chunks = pieces.select("doc_id", F.col("piece_no").alias("pos"), F.concat_ws("-", F.col("doc_id").cast("string"), F.col("piece_no").cast("string")).alias("chunk_id"), F.concat_ws("-", F.col("doc_id").cast("string"), F.floor(F.col("piece_no") / 3).cast("string")).alias("parent_id"), (F.length("piece") / 2).cast("int").alias("tokens"))

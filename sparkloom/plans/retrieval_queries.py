@@ -88,11 +88,16 @@ def weighted_fusion(s):
     return S.weighted_fusion([(S.cosine_unit(top.where("rank <= 10")), 0.55), (top.where("rank > 5"), 0.45)])
 
 
-@query()
+@query(f"""WITH {_bm25_sql(k=50)}, n AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 40), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM n),
+w AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.v, b.v), 6) AS score FROM u a, u b), dd AS (SELECT item_id AS query_id, doc_id AS key, score FROM benchmark JOIN w ON a = item_id % 40 JOIN documents ON b = doc_id % 40 WHERE documents.text IS NOT NULL),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM dd) WHERE rank <= 50),
+f AS (SELECT query_id, key, round(sum(score), 9) AS score FROM (SELECT query_id, key, (1 + score) / 2 * 0.55::DOUBLE AS score FROM d UNION ALL SELECT query_id, key, score / (1 + score) * 0.45::DOUBLE FROM b) GROUP BY 1, 2)
+SELECT query_id, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM f) WHERE rank <= 5""")
 def hybrid_search(s):
-    docs = _docs(s).where("text IS NOT NULL").withColumn("vec", S.text_hash_vectors(F.col("text")))
-    queries = _asked(s).withColumn("vec", S.text_hash_vectors(F.col("text")))
-    return S.hybrid_search(queries, docs, 5)
+    """Texts by BM25 and given vectors, one of forty for each row, by cosine."""
+    vectors = s.embeddings.where("vec_id < 40").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vec"))
+    with_vec = lambda d, i: d.join(F.broadcast(vectors), F.col(i) % 40 == F.col("v")).drop("v")  # noqa: E731  forty rows
+    return S.hybrid_search(with_vec(_asked(s), "query_id"), with_vec(_docs(s).where("text IS NOT NULL"), "key"), 5)
 
 
 def _half(name: str, a: int, b: int) -> str:
@@ -200,6 +205,16 @@ def route_query(s):
     return s.traces.select("trace_id", S.route_query(F.when(i % 13 == 0, "x"), i % 11 == 0, i % 7 == 0, i % 5, i % 2 == 0).alias("route"))
 
 
+@query()
+def answer_chain(s):
+    """All steps of a question over its own hits; tests hold it against the steps taken one by one."""
+    from ..operators.answer import answer_chain as chain
+
+    questions = s.questions.select("query_id", "question", "has_history", F.when(F.col("conv_id") % 3 == 0, F.col("selected_source")).otherwise("").alias("source"))
+    faq = s.faq.select(F.col("pos").alias("faq_id"), "question")
+    return chain(questions, faq, s.documents.select(F.col("doc_id").alias("key"), "text", "source"))
+
+
 @query("SELECT doc_id AS id, length(coalesce(text, ''))::DOUBLE AS chars, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')))::DOUBLE AS spaces FROM documents")
 def dedup_embedding_inputs(s):
     def embed(texts):

@@ -38,7 +38,15 @@ def table_first_order(s):
     return K.table_first_order(rows).select("query_id", "chunk_id", "source", "rank")
 
 
-@query()
+_FITS = "len(s.keys) < 4 AND NOT list_contains(s.parents, i.p) AND s.used + i.c <= 3000"
+
+
+@query(f"""WITH RECURSIVE r AS ({_RANKED}), q AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_type = 'faq' ORDER BY rank) AS f FROM r),
+i AS (SELECT query_id, chunk_id AS key, coalesce(parent_id, chunk_id) AS p, least(n_chars, 1600)::BIGINT AS c, row_number() OVER (PARTITION BY query_id ORDER BY source_type <> 'faq', rank) AS n FROM q WHERE source_type <> 'faq' OR f <= 2),
+s AS (SELECT query_id, n, [p] AS parents, [key] AS keys, c AS used FROM i WHERE n = 1
+ UNION ALL SELECT i.query_id, i.n, CASE WHEN {_FITS} THEN list_append(s.parents, i.p) ELSE s.parents END, CASE WHEN {_FITS} THEN list_append(s.keys, i.key) ELSE s.keys END, CASE WHEN {_FITS} THEN s.used + i.c ELSE s.used END FROM s JOIN i ON i.query_id = s.query_id AND i.n = s.n + 1),
+e AS (SELECT query_id, arg_max(keys, n) AS keys, max(used) AS used FROM s GROUP BY query_id)
+SELECT query_id, unnest(range(0, len(keys))) AS pos, unnest(keys) AS key, used FROM e""")
 def select_context(s):
     rows = s.sql(_RANKED).select("query_id", "rank", F.col("chunk_id").alias("key"), "parent_id", (F.col("source_type") == "faq").alias("is_faq"), "n_chars")
     return K.select_context(rows, budget=3000)
