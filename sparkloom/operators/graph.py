@@ -136,19 +136,54 @@ def build_graph(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, D
     return nodes, edges.withColumn("label", F.coalesce(F.nullif("label", F.lit("")), T.relation_label("description")))
 
 
-def detect_communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """edges(source, target, strength) → (name, community) by weighted label propagation: a node takes the label with
-    the most weight around it, its own counting once more, ties to the least label. A fixed number of rounds, each
-    checkpointed. Other than modularity search it is parallel; ``modularity`` measures the outcome."""
-    view = cut(undirected(edges))
-    labels = cut(view.select("name").distinct().withColumn("community", F.col("name")))
-    own = view.groupBy("name").agg(F.max("strength").alias("w"))
-    for _ in range(rounds):
-        votes = view.join(labels.select(F.col("name").alias("other"), "community"), "other").select("name", "community", F.col("strength").alias("w"))
-        votes = votes.unionByName(labels.join(own, "name").select("name", "community", "w"))
-        sums = votes.groupBy("name", "community").agg(F.sum("w").alias("w"))
-        labels = cut(sums.groupBy("name").agg(F.min_by("community", F.struct((-F.col("w")).alias("w"), F.col("community"))).alias("community")))
-    return labels
+def _moved(view: DataFrame, rounds: int, least: float) -> tuple[DataFrame, float]:
+    """view(name, other, strength), both directions of each edge → the best (name, community) found, and its modularity.
+
+    Each round finds for every node the community around it that modularity gains most by, and half of the nodes, by a
+    hash that changes with the round, move there; were all to move at once, neighbours would swap places. Rounds end when
+    two in a row gain less than ``least``."""
+    total = view.agg(F.sum("strength")).first()[0] or 1.0
+    loops = view.where("name = other").agg(F.coalesce(F.sum("strength"), F.lit(0.0))).first()[0]
+    degree = cut(view.groupBy("name").agg(F.sum("strength").alias("k")))
+    labels, best, top, stalled = degree.select("name", F.col("name").alias("community")), None, -1.0, 0
+    for r in range(rounds + 1):
+        now = labels.join(degree, "name")
+        sizes = now.groupBy("community").agg(F.sum("k").alias("tot"))
+        votes = view.where("name <> other").join(labels.select(F.col("name").alias("other"), "community"), "other").select("name", "community", "strength")
+        votes = votes.unionByName(labels.withColumn("strength", F.lit(0.0))).groupBy("name", "community").agg(F.sum("strength").alias("w"))
+        rows = votes.join(now.select("name", F.col("community").alias("own"), "k"), "name").join(sizes, "community")
+        gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / total
+        rows = saved(rows.select("name", "community", "own", "w", F.round(gain, 9).alias("gain")), "moves")
+        inside = rows.where("community = own").agg(F.sum("w")).first()[0] or 0.0
+        square = sizes.agg(F.sum(F.col("tot") * F.col("tot"))).first()[0] or 0.0
+        value = (inside + loops) / total - square / total**2
+        if value > top + least:
+            best, top, stalled = labels, value, 0
+        else:
+            stalled += 1
+        if stalled == 2 or r == rounds:
+            break
+        order = F.struct((-F.col("gain")).alias("g"), (F.col("community") != F.col("own")).alias("o"), F.col("community").alias("c"))
+        best_of = rows.groupBy("name").agg(F.min_by("community", order).alias("to"), F.first("own").alias("own"))
+        labels = cut(best_of.select("name", F.when(F.pmod(F.xxhash64("name", F.lit(r)), F.lit(2)) == 0, F.col("to")).otherwise(F.col("own")).alias("community")))
+    return best, top
+
+
+def detect_communities(edges: DataFrame, rounds: int = 12, levels: int = 2, least: float = 1e-3) -> DataFrame:
+    """edges(source, target, strength) → (name, community) by a search for modularity in parallel: nodes move between
+    communities in rounds, then communities become the nodes of a smaller graph and move in turn. Every round is
+    checkpointed, and a level that gains less than ``least`` is the last."""
+    view = undirected(edges).groupBy("name", "other").agg(F.sum(F.col("strength").cast("double")).alias("strength"))
+    graph, place, top = cut(view), None, -1.0
+    for _ in range(levels):
+        labels, value = _moved(graph, rounds, least)
+        if place is not None and value <= top + least:
+            break
+        top = value
+        place = labels if place is None else place.withColumnRenamed("community", "c").join(labels.withColumnRenamed("name", "c"), "c").select("name", "community")
+        a, b = labels.withColumnRenamed("community", "ca"), labels.select(F.col("name").alias("other"), F.col("community").alias("cb"))
+        graph = cut(graph.join(a, "name").join(b, "other").groupBy(F.col("ca").alias("name"), F.col("cb").alias("other")).agg(F.sum("strength").alias("strength")))
+    return place
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
