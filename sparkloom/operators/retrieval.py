@@ -59,7 +59,7 @@ def bm25_search(queries: DataFrame, index: DataFrame, k: int, stats: DataFrame |
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms_ = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("top")).select("term", "df", idf.alias("idf"), (idf * F.col("top")).alias("most"))
     rare = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))
-    weights = saved(asked.join(terms_, "term").withColumn("early", (F.col("df") <= first * n) | (rare == 1)), "query-terms")
+    weights = asked.join(terms_, "term").withColumn("early", (F.col("df") <= first * n) | (rare == 1))
     add = F.sum(F.col("idf") * F.col("gain"))
 
     early = weights.where("early").select("query_id", "term", "idf").join(postings, "term").groupBy("query_id", "key").agg(add.alias("score"))
@@ -69,9 +69,11 @@ def bm25_search(queries: DataFrame, index: DataFrame, k: int, stats: DataFrame |
     split = saved(split.select("query_id", "term", "idf", "most", "weak", "sure"), "query-terms")
 
     strong, weak = split.where("NOT weak"), split.where("weak")
-    rest = split.groupBy("query_id").agg(F.max("sure").alias("sure"), F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("rest"))
-    found = strong.select("query_id", "term", "idf").join(postings, "term").groupBy("query_id", "key").agg(add.alias("score"))
-    found = found.join(rest, "query_id").where(F.col("sure").isNull() | (F.col("score") + F.col("rest") >= F.col("sure"))).select("query_id", "key", "score")
+    rest = split.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("rest"))
+    found = saved(strong.select("query_id", "term", "idf").join(postings, "term").groupBy("query_id", "key").agg(add.alias("score")), "candidates")
+    # k documents reach at least the k-th of these scores; what cannot reach it with all weak terms is left out
+    reached = topk_per_group(found, ["query_id"], [F.desc("score"), F.col("key")], k).where(F.col("rank") == k).select("query_id", (F.col("score") - 10.0**-digits).alias("reached"))
+    found = found.join(rest.join(reached, "query_id", "left"), "query_id").where(F.col("reached").isNull() | (F.col("score") + F.col("rest") >= F.col("reached"))).select("query_id", "key", "score")
     found = saved(found, "candidates")
     more = found.select("query_id", "key").join(weak.select("query_id", "term", "idf"), "query_id").join(postings, ["term", "key"]).select("query_id", "key", (F.col("idf") * F.col("gain")).alias("score"))
     scored = found.unionByName(more).groupBy("query_id", "key").agg(F.round(F.sum("score"), digits).alias("score"))
