@@ -26,7 +26,7 @@ _T = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
 
 def _bm25_sql(docs: str = "documents", k: int = 5) -> str:
-    return f"""dt AS MATERIALIZED (SELECT doc_id AS key, unnest({_T}) AS term, len({_T}) AS dl FROM {docs}), p AS MATERIALIZED (SELECT term, key, dl, count(*) AS tf FROM dt GROUP BY ALL),
+    return f"""tl AS MATERIALIZED (SELECT doc_id AS key, {_T} AS l FROM {docs}), dt AS MATERIALIZED (SELECT key, unnest(l) AS term, len(l) AS dl FROM tl), p AS MATERIALIZED (SELECT term, key, dl, count(*) AS tf FROM dt GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT key, dl FROM p)), dfq AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 qt AS (SELECT item_id AS query_id, unnest(list_distinct({_T})) AS term FROM benchmark),
 bs AS (SELECT query_id, key, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM qt JOIN dfq USING (term) JOIN p USING (term), st GROUP BY 1, 2),
