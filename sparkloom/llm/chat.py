@@ -26,33 +26,38 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _lone() -> Column:
+    """A number of its own for each row without a conversation, so that no group gathers them; null for the others."""
+    return F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+
+
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target: str = "assistant") -> DataFrame:
-    """Rows by turn → (conv_id, example, formatted, loss_start, loss_end), spans in code points, end exclusive.
+    """Rows by turn → (conv_id, example, formatted, loss_start, loss_end, lone), spans in code points, end exclusive.
 
     ``example`` is the place of the example's last turn; loss_start = loss_end marks an example without a trainable
     span. Null and empty texts and roles are empty; turns that repeat a number follow each other by role and text, and
     equal rows are turns each; null turns come first; a row with a null conversation id is a conversation of its own,
     for nothing says which belong together, and such rows may be many; texts of any length are whole; other columns
-    are not read, whatever their names; an empty table gives no example.
+    are not read, whatever their names; an empty table gives no example. ``lone`` tells rows without a conversation
+    apart and is null for the others.
     """
     turns = rows.select(
         F.col(conv_col).cast("long").alias("conv_id"),
         F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),
     )
-    one = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    one = one.unionByName(turns.where("conv_id IS NULL").select("conv_id", F.array("t").alias("t")))
+    one = turns.withColumn("lone", _lone()).groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list("t")).alias("t"))
     head = lambda x: F.concat(F.lit("<|"), escaped(x["role"]), F.lit("|>\n"))
-    one = one.select("conv_id", F.transform("t", lambda x: F.struct((x["role"] == target).alias("trained"), head(x).alias("head"), escaped(x["text"]).alias("text"))).alias("t"))
+    one = one.select("conv_id", "lone", F.transform("t", lambda x: F.struct((x["role"] == target).alias("trained"), head(x).alias("head"), escaped(x["text"]).alias("text"))).alias("t"))
     # a target's place, or the last place where turns follow the last target
     places = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("t", i)["trained"] | (i == F.size("t") - 1))
-    made = one.select("conv_id", "t", F.explode(places).alias("example"))
+    made = one.select("conv_id", "lone", "t", F.explode(places).alias("example"))
     context = F.array_join(F.transform(F.slice("t", 1, F.col("example")), lambda x: F.concat(x["head"], x["text"], F.lit("<|end|>\n"))), "")
     last = F.get("t", F.col("example"))
-    made = made.select("conv_id", F.col("example").cast("long").alias("example"), F.concat(context, last["head"]).alias("before"), last.alias("last"))
+    made = made.select("conv_id", "lone", F.col("example").cast("long").alias("example"), F.concat(context, last["head"]).alias("before"), last.alias("last"))
     start = F.length("before").cast("long")
     return made.select(
         "conv_id", "example", F.concat("before", "last.text", F.lit("<|end|>\n")).alias("formatted"), start.alias("loss_start"),
-        F.when(F.col("last.trained"), start + F.length("last.text")).otherwise(start).alias("loss_end"),
+        F.when(F.col("last.trained"), start + F.length("last.text")).otherwise(start).alias("loss_end"), "lone",
     )
 
 
@@ -67,9 +72,8 @@ def chat_digests(examples: DataFrame) -> DataFrame:
     """Per conversation what its examples say, read back from them: turns from the longest, texts under the masks. An
     example without a conversation id is one of its own."""
     loss = unescaped(F.substring("formatted", F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int")))
-    rows = examples.select("conv_id", "example", F.struct("example", "formatted").alias("whole"), F.struct("example", loss.alias("loss")).alias("loss"), F.length("formatted").cast("long").alias("n"))
-    one = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.max("whole")["formatted"].alias("formatted"), F.sort_array(F.collect_list("loss")).alias("loss"), F.sum("n").alias("formatted_chars"))
-    one = one.unionByName(rows.where("conv_id IS NULL").select("conv_id", "whole.formatted", F.array("loss").alias("loss"), F.col("n").alias("formatted_chars")))
+    rows = examples.select("conv_id", "lone", "example", F.struct("example", "formatted").alias("whole"), F.struct("example", loss.alias("loss")).alias("loss"), F.length("formatted").cast("long").alias("n"))
+    one = rows.groupBy("conv_id", "lone").agg(F.max("whole")["formatted"].alias("formatted"), F.sort_array(F.collect_list("loss")).alias("loss"), F.sum("n").alias("formatted_chars"))
     text = F.array_join(F.transform("loss", lambda x: x["loss"]), "")
     said = let(read_turns(F.col("formatted")), lambda t: F.struct(F.size(t).cast("long").alias("n"), F.array_join(F.transform(t, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("s")))
     return one.select("conv_id", said.alias("said"), text.alias("text"), "formatted_chars").select(

@@ -518,7 +518,7 @@ def test_chat_long_repeated_and_clashing(spark):
     rows += [(2, i, ["user", "assistant"][i % 2], f"t{i}" * 20, i) for i in range(300)]
     given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, t long").withColumn("example", F.lit(1)).withColumn("loss_start", F.lit("x"))
     made = chat.format_chats(given)
-    assert made.columns == ["conv_id", "example", "formatted", "loss_start", "loss_end"]
+    assert made.columns == ["conv_id", "example", "formatted", "loss_start", "loss_end", "lone"]
     plain = lambda turns: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in turns)
     order = {1: [("system", "s"), ("user", "a"), ("user", "b"), ("assistant", "x"), ("assistant", "x")], 2: [(r[2], r[3]) for r in rows if r[0] == 2]}
     got = made.collect()
