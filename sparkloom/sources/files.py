@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import tomllib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -67,12 +69,31 @@ def read_eval_cases(spark: SparkSession, path: str, lines: bool, limit: int | No
     return rows.limit(limit) if limit else rows
 
 
-def read_scenario_dim(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario files of JSON → one row a source (scenario_id, source, source_order, pattern, label); files without the
-    required fields are left out."""
-    schema = "scenario_id string, display_name string, valid_sources array<string>, source_labels map<string,string>, source_patterns map<string,string>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).where("scenario_id IS NOT NULL AND size(valid_sources) > 0")
-    return rows.select("scenario_id", "display_name", "source_labels", "source_patterns", F.posexplode("valid_sources").alias("source_order", "source")).select("scenario_id", "display_name", "source", "source_order", F.element_at("source_patterns", F.col("source")).alias("pattern"), F.element_at("source_labels", F.col("source")).alias("label"))
+SCENARIO_SCHEMA = "scenario_id string, display_name string, valid_sources array<string>, source_labels map<string,string>, source_patterns map<string,string>"
+
+
+def read_scenario_dim(spark: SparkSession, path: str, toml: bool = False) -> DataFrame:
+    """Scenario files of JSON, or of TOML, below a path → one row a source (scenario_id, display_name, source,
+    source_order, pattern, label); files without the required fields, or that cannot be parsed, are left out."""
+    if toml:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.toml").load(path)
+        rows = files.select("content").mapInPandas(_toml_as_json, "value string").select(F.from_json("value", SCENARIO_SCHEMA).alias("s")).select("s.*")
+    else:
+        rows = spark.read.schema(SCENARIO_SCHEMA).json(path, multiLine=True)
+    rows = rows.where("scenario_id IS NOT NULL AND size(valid_sources) > 0")
+    rows = rows.select("scenario_id", "display_name", "source_labels", "source_patterns", F.posexplode("valid_sources").alias("source_order", "source"))
+    return rows.select("scenario_id", "display_name", "source", "source_order", F.element_at("source_patterns", F.col("source")).alias("pattern"), F.element_at("source_labels", F.col("source")).alias("label"))
+
+
+def _toml_as_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for content in pdf["content"]:
+            try:
+                out.append(json.dumps(tomllib.loads(content.decode("utf-8")), default=str))
+            except (UnicodeDecodeError, tomllib.TOMLDecodeError):
+                out.append(None)
+        yield pd.DataFrame({"value": out})
 
 
 def file_inventory(spark: SparkSession, path: str, supported: tuple[str, ...] = (".txt", ".md", ".csv", ".html")) -> DataFrame:
