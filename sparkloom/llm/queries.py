@@ -6,6 +6,7 @@ from . import chat, quality
 from .bpe import op7_bpe
 from .chat import op5_chat
 from .classifier import op6_classifier
+from .minhash import op11_minhash
 from .packing import op10_packing
 from .pii import op4_pii
 from .quality import op2_quality
@@ -14,5 +15,5 @@ from .spotsigs import op9_spotsigs
 from .substring import op8_substring
 from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_token_files, op4_pii, op5_chat, op6_classifier, op7_bpe, op8_substring, op9_spotsigs, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_token_files, op4_pii, op5_chat, op6_classifier, op7_bpe, op8_substring, op9_spotsigs, op10_packing, op11_minhash)}
 ORACLES: dict[str, str] = {"op2_quality": quality.ORACLE, "op5_chat": chat.ORACLE}

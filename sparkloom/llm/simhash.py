@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import bounded, table, unused, written
 from .components import connected_components
+from .crowds import group_links
 
 SEED = 42
 #: Min-hash bands: two sets at a Jaccard of 0.8 share none of them with a chance of 0.68 ** 20, one in 2800.
 BANDS, ROWS = 20, 5
+#: Sets of a band that are compared pair by pair; more are settled by their differences.
+HOT = 64
 
 
 def shingles_of(text: str | None, shingle: int = 3) -> np.ndarray:
@@ -191,27 +194,28 @@ def _bands_of(s: np.ndarray, mix: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, shingle: int, banded: bool = True) -> DataFrame:
-    """documents → (none, own, key, fp, same, bands): whether the id is null and the row's key, its SimHash, a hash of the
-    whole shingle set and the set's band keys, null if not ``banded``."""
+    """documents → (none, own, key, fp, same, n, bands): whether the id is null and the row's key, its SimHash, a hash of
+    the whole shingle set, its size and its band keys, null if not ``banded``."""
 
     def run(batches):
         mix = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         for pdf in batches:
-            fp, same, bands = [], [], []
+            fp, same, sizes, bands = [], [], [], []
             for t in pdf.pop("text"):
                 h = shingles_of(t, shingle)
                 fp.append(_voted(h))
                 if banded:
                     s = np.unique(h)
                     same.append(_set_hash(s))
+                    sizes.append(len(s))
                     bands.append(np.array(_bands_of(s, mix), np.uint64).view(np.int64))
             long = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pdf.assign(fp=long(fp), same=long(same) if banded else 0, bands=bands if banded else None)
+            yield pdf.assign(fp=long(fp), same=long(same) if banded else 0, n=sizes if banded else 0, bands=bands if banded else None)
 
     bounded(docs.sparkSession)
     own, key = _row_key(F.col("doc_id"), F.col("text"))
     rows = docs.select(F.col("doc_id").isNull().alias("none"), own.alias("own"), key.alias("key"), "text")
-    return rows.mapInPandas(run, "none boolean, own long, key long, fp long, same long, bands array<long>")
+    return rows.mapInPandas(run, "none boolean, own long, key long, fp long, same long, n int, bands array<long>")
 
 
 def _set_hash(s: np.ndarray) -> int:
@@ -232,44 +236,22 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "same long, s array<long>")
 
 
-def alike_links(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float, hot: int = 16) -> DataFrame:
-    """documents and nodes (same, least, fp, bands) of distinct sets → links (a, b) of sets at a Jaccard of
+def alike_links(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float, hot: int = HOT) -> DataFrame:
+    """documents and nodes (same, least, fp, n, bands) of distinct sets → links (a, b) of sets at a Jaccard of
     ``threshold`` or more.
 
-    All pairs that share a band are compared where up to ``hot`` sets share it. In a larger group all pairs would grow
-    with its square; there each set is compared with the group's first one. Sets that are not like the first are compared
-    with their neighbours when the group is sorted by the next band's key, where sets that share two bands meet, so
-    links chain through them. Links of fingerprints come on top."""
-    each = nodes.select("same", "bands", F.posexplode("bands").alias("i", "at"))
-    each = each.select("same", "at", F.element_at("bands", (F.col("i") + 1) % BANDS + 1).alias("by"))
-    count = each.groupBy("at").agg(F.count("*").alias("n"), F.min("same").alias("a")).where("n > 1")
-    held = written(each.join(count, "at"), "alike-bands")
-    few = held.where(F.col("n") <= hot).select("at", "same")
-    pairs = few.join(few.withColumnRenamed("same", "b"), "at").where("same < b").select(F.col("same").alias("a"), "b")
-    many = held.where(F.col("n") > hot)
-    stars = many.select("a", F.col("same").alias("b"))
-
+    Sets that share a band, or a fingerprint, are a group; no alike pair of a group is left apart, however many share it
+    (``crowds``). Links of fingerprints come on top."""
+    members = nodes.select(F.explode(F.concat("bands", F.array(F.xxhash64("fp")))).alias("at"), F.col("same").alias("id"), "n")
     fps = nodes.groupBy("fp").agg(F.min("same").alias("a"))
-    equal = nodes.join(fps, "fp").select("a", F.col("same").alias("b"))
     end = lambda c: fps.select(F.col("fp").alias(c), F.col("a").alias(f"{c}_id"))
     near = near_links(fps.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    ask = written(ordered(pairs.unionByName(stars).unionByName(equal).unionByName(near)), "alike-pairs")
-
-    asked = nodes.join(ask.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "same", "left_semi").select("least.own", "least.key")
-    sets = written(shingle_sets(_one_of_each(docs.select("doc_id", "text"), asked), shingle), "alike-sets")
 
-    def verified(ask: DataFrame) -> DataFrame:
-        full = ask.join(sets.select(F.col("same").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("same").alias("a"), F.col("s").alias("sa")), "a")
-        both = F.size(F.array_intersect("sa", "sb"))
-        return full.where(both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = nodes.join(ids.withColumnRenamed("id", "same"), "same", "left_semi").select("least.own", "least.key")
+        return shingle_sets(_one_of_each(docs.select("doc_id", "text"), asked), shingle).toDF("id", "s")
 
-    links = written(verified(ask), "alike-links")
-    like = links.select("a", F.col("b").alias("same"), F.lit(True).alias("like"))  # a group's first set is its least
-    many = many.join(like, ["a", "same"], "left").withColumn("like", F.coalesce("like", F.col("a") == F.col("same")))
-    by = Window.partitionBy("at").orderBy("by", "same")
-    chains = many.select(F.lag("same").over(by).alias("a"), F.col("same").alias("b"), (F.col("like") & F.lag("like").over(by)).alias("done")).where("a IS NOT NULL AND NOT done")
-    return links.unionByName(verified(ordered(chains).join(ask, ["a", "b"], "left_anti")))
+    return group_links(members, sets_of, threshold, more=near, hot=hot)
 
 
 def _kept(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -290,13 +272,13 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return _kept(docs, groups)
 
 
-def keep_one_alike(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def keep_one_alike(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, hot: int = HOT) -> DataFrame:
     """documents → one document of every group chained by a Jaccard of word shingles at ``threshold`` or more, with all
     its columns; which of them stays is as in ``keep_one``."""
     rows = sketches(docs, shingle)
-    nodes = rows.groupBy("same").agg(_least("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("same").agg(_least("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes, "alike")  # equal sets have equal fingerprints up to repeats, and equal bands
-    found = connected_components(written(alike_links(docs, nodes, shingle, threshold), "alike-links"))
+    found = connected_components(written(alike_links(docs, nodes, shingle, threshold, hot), "alike-links"))
     groups = nodes.join(found, nodes["same"] == found["node"], "left").select("least.*", F.coalesce("component", "same").alias("group"))
     return _kept(docs, groups)
 
