@@ -8,12 +8,13 @@ where that is g (|x| + |y|) at most, g = (1 - t) / (1 + t). With a = |D| - g |x|
 
 * ax + ay <= 0: alike without a common difference. Then both are alike to the member p of least a, for ap + ax <= ay +
   ax; so comparing p with all chains all such pairs.
-* ax + ay > 0: they share a difference. Where no member has a negative a, x shares ax / 2 differences at least, and so
-  one of its rarest |D| - ax / 2 + 1.
+* ax + ay > 0: they share a difference. Links that are still to be found have an end y outside the component of p. It
+  shares (ay + ap) / 2 differences with any other, and ay - g |y| / t, since it cannot share more than |Dx|. So it
+  shares one of its rarest |Dy| - that + 1. Where y is far from all others these are in no other difference at all.
 
-The members that share one of these differences are a group of the next level. What all have in common is in no
-difference, so groups shrink, and no pair is lost: the bounds are exact. Pairs within one component are not asked for
-again, and the last level gives all others.
+First a few partners for each of y's rare differences are tried, which settles most that have a partner. A y that is
+still apart is compared with those that share such a difference, where what follows in its order can hold as many common
+ones as the two need. What all have in common is in no difference, and no pair is lost: the bounds are exact.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import connected_components
 
-#: Members of a group that is compared pair by pair; levels of regrouping before the last.
-HOT, LEVELS = 64, 3
+#: Members of a group that is compared pair by pair.
+HOT = 64
+#: Partners of a rare difference, and rare differences of a member, that are tried before all are compared.
+TRIED = 6
 _EPS = 1e-9
 
 
@@ -61,43 +64,69 @@ def _between(x: str | Column, y: str | Column) -> Column:
     return F.size(x) + F.size(y) - 2 * F.size(F.array_intersect(x, y))
 
 
-def _close(rows: DataFrame, links: DataFrame, threshold: float, hot: int, levels: int) -> DataFrame:
-    """rows(at, id, n, comp, d) of crowded groups, d a member's set or its difference from any set, one for the group;
-    and the links so far → all links."""
-    g = (1 - threshold) / (1 + threshold)
-    for level in range(levels + 1):
-        rows = _open(rows, "crowd-open")
-        small = rows if level == levels else rows.where(F.col("size") <= hot)
-        other = small.select("at", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("d").alias("db"))
-        met = small.join(other, "at").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") >= threshold * F.greatest("n", "nb") - _EPS))
-        pairs = met.where(_between("d", "db") <= g * (F.col("n") + F.col("nb")) + _EPS).select(F.col("id").alias("a"), "b")
-        large = rows.where(F.col("size") > hot)
-        if level == levels or large.isEmpty():
-            return written(links.unionByName(_ordered(pairs)), "crowd-links")
-        each = large.select("at", "id", "size", F.explode("d").alias("e"))
-        often = written(each.groupBy("at", "e").agg(F.count("*").alias("df"), F.first("size").alias("size")), "crowd-elements")
-        common = F.col("df") * 2 > F.col("size")
-        centre = often.where(common).groupBy("at").agg(F.collect_list("e").alias("c"))  # twice the mean of |d| at most
-        moved = large.drop("size").join(centre, "at", "left").withColumn("c", F.coalesce("c", F.array().cast("array<long>")))
-        moved = moved.withColumn("d", F.concat(F.array_except("d", "c"), F.array_except("c", "d"))).drop("c")
-        moved = written(moved.withColumn("a", F.size("d") - g * F.col("n")), "crowd-moved")
-        pivot = moved.groupBy("at").agg(F.min_by(F.struct("id", "n", "d", "comp"), F.struct("a", "id")).alias("p"), (F.min("a") < 0).alias("inner"))
-        like = _between("d", F.col("p.d")) <= g * (F.col("n") + F.col("p.n")) + _EPS
-        stars = moved.join(pivot, "at").where((F.col("comp") != F.col("p.comp")) & like).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
-        links = written(links.unionByName(_ordered(pairs.unionByName(stars))), "crowd-links")
-        left = _open(_placed(moved, links), "crowd-left")
-        share = F.when(F.col("inner"), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("a") / 2 - _EPS)))
-        take = left.join(pivot.select("at", "inner"), "at").select("at", "id", "n", "comp", (F.size("d") - share + 1).alias("take"), F.explode("d").alias("e"))
-        rare = often.select("at", "e", F.when(common, F.col("size") - F.col("df")).otherwise(F.col("df")).alias("df"))
-        order = F.row_number().over(Window.partitionBy("at", "id").orderBy("df", "e"))
-        kept = take.join(rare, ["at", "e"]).withColumn("k", order).where("k <= take AND df > 1")
-        kept = kept.select(F.xxhash64("at", "e").alias("next"), "at", "id", "n", "comp").withColumnRenamed("at", "was").withColumnRenamed("next", "at")
-        kept = _open(kept, "crowd-next").drop("size")  # groups first, then their sets
-        rows = kept.join(left.select(F.col("at").alias("was"), "id", "d"), ["was", "id"]).select("at", "id", "n", "comp", "d")
-    return links
-
-
-def group_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, more: DataFrame | None = None, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
+def _alike(pairs: DataFrame, rows: DataFrame, g: float) -> DataFrame:
+    """pairs(at, a, b) of members of groups and their rows(at, id, n, d) → those that are alike."""
+    pairs = pairs.select("at", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    end = lambda c: rows.select("at", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("d").alias(f"d{c}"))
+    full = pairs.join(end("a"), ["at", "a"]).join(end("b"), ["at", "b"])
+    return full.where(_between("da", "db") <= g * (F.col("na") + F.col("nb")) + _EPS).select("a", "b")
+
+
+def _met(y: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """y(at, e, k, id, n, comp, a, m), e the k-th of m differences, and members(at, e, id, n, comp, a, m) → (at, a, b) of
+    one difference and two components, where the rest of their differences can still hold enough common ones."""
+    other = members.select("at", "e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("a").alias("ab"), F.col("m").alias("mb"))
+    fits = (F.col("comp") != F.col("cb")) & (F.least("n", "nb") >= threshold * F.greatest("n", "nb") - _EPS)
+    share = (F.col("a") + F.col("ab")) / 2 - _EPS
+    enough = (share <= F.col("m") - F.col("k") + 1) & (share <= F.col("mb"))
+    return y.join(other, ["at", "e"]).where(fits & enough).select("at", F.col("id").alias("a"), "b")
+
+
+def _close(rows: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """rows(at, id, n, comp, d) of crowded groups, d a member's set, and the links so far → all links."""
+    g, far = (1 - threshold) / (1 + threshold), (1 - threshold) / (1 + threshold) / threshold
+    rows = written(rows, "crowd-rows")
+    size = rows.groupBy("at").agg(F.count("*").alias("size"))
+    often = rows.select("at", F.explode("d").alias("e")).groupBy("at", "e").agg(F.count("*").alias("df")).where("df > 1").join(size, "at")
+    often = written(often, "crowd-elements")
+    common = F.col("df") * 2 > F.col("size")
+    centre = often.where(common).groupBy("at").agg(F.collect_list("e").alias("c"))  # twice the mean size at most
+    moved = rows.join(centre, "at", "left").withColumn("c", F.coalesce("c", F.array().cast("array<long>")))
+    moved = moved.withColumn("d", F.concat(F.array_except("d", "c"), F.array_except("c", "d"))).drop("c")
+    moved = written(moved.withColumn("m", F.size("d")).withColumn("a", F.col("m") - g * F.col("n")), "crowd-moved")
+    first = moved.groupBy("at").agg(F.min_by(F.struct("id", "comp", "a"), F.struct("a", "id")).alias("p"))
+    stars = moved.join(first, "at").where(F.col("comp") != F.col("p.comp")).select("at", F.col("p.id").alias("a"), F.col("id").alias("b"))
+    links = written(links.unionByName(_ordered(_alike(stars, moved, g))), "crowd-links")
+
+    def sided(links: DataFrame) -> DataFrame:
+        """Members of open groups; y: not in the component of p, so each link that is still to be found has one."""
+        left = _placed(moved, links)
+        main = left.join(first.select("at", F.col("p.id").alias("id"), F.col("p.a").alias("least")), ["at", "id"]).select("at", "least", F.col("comp").alias("main"))
+        left = left.join(main, "at").withColumn("y", F.col("comp") != F.col("main"))
+        return left.join(left.where("y").select("at").distinct(), "at", "left_semi")
+
+    left = written(sided(links), "crowd-left")
+    share = F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("least")) / 2 - _EPS), F.ceil(F.col("a") - far * F.col("n") - _EPS))
+    rare = often.select("at", "e", F.when(common, F.col("size") - F.col("df")).otherwise(F.col("df")).alias("df"))
+    asked = left.where("y").select("at", "id", "n", "comp", "a", "m", (F.col("m") - share + 1).alias("take"), F.explode("d").alias("e"))
+    asked = asked.join(rare, ["at", "e"], "left").withColumn("k", F.row_number().over(Window.partitionBy("at", "id").orderBy(F.coalesce("df", F.lit(1)), "e")))
+    asked = written(asked.where("k <= take AND df > 1").drop("take", "df"), "crowd-asked")
+    keys = asked.select("at", "e").distinct()
+    other = left.where("NOT y").select("at", "id", "n", "comp", "a", "m", F.explode("d").alias("e")).join(keys, ["at", "e"], "left_semi")
+    members = written(asked.drop("k").unionByName(other), "crowd-members")
+
+    # a few partners for each rare difference settle most members that have a partner at all
+    some = members.withColumn("r", F.row_number().over(Window.partitionBy("at", "e").orderBy("a", "id"))).where(F.col("r") <= TRIED)
+    tried = asked.withColumn("r", F.row_number().over(Window.partitionBy("at", "id").orderBy("k"))).where(F.col("r") <= TRIED)
+    links = written(links.unionByName(_ordered(_alike(_met(tried, some, threshold), left, g))), "crowd-links")
+
+    now = written(sided(links).select("at", "id", "comp", "y"), "crowd-now")
+    asked, members = (x.drop("comp").join(now, ["at", "id"]) for x in (asked, members))
+    found = _alike(written(_met(asked.where("y"), members, threshold), "crowd-last"), left, g)
+    return written(links.unionByName(_ordered(found)), "crowd-links")
+
+
+def group_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, more: DataFrame | None = None, hot: int = HOT) -> DataFrame:
     """members(at long, id, n) of groups, each once, n the size of the set → links (a, b), a < b, all of them verified.
 
     Any two members of a group at a Jaccard of ``threshold`` or more are linked or chained by links: no such pair is
@@ -118,9 +147,11 @@ def group_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t
     crowd = held.where(F.col("size") > hot)
     if crowd.isEmpty():
         return links
-    # groups of one pivot are one: a member's difference is taken once, however many bands they share
-    crowd = crowd.groupBy(F.col("pivot").alias("at"), "id").agg(F.first("n").alias("n"))
-    rows = _open(_placed(crowd, links), "crowd-open")
+    # groups whose pivots are in one component are one, and a member's difference is taken once for all of them
+    comps = written(connected_components(links), "crowd-components")
+    crowd = crowd.select("pivot", "id", "n").distinct().join(comps.toDF("id", "comp"), "id", "left").join(comps.toDF("pivot", "at"), "pivot", "left")
+    crowd = crowd.groupBy(F.coalesce("at", "pivot").alias("at"), "id").agg(F.first("n").alias("n"), F.first(F.coalesce("comp", "id")).alias("comp"))
+    rows = _open(crowd, "crowd-open")
     if rows.isEmpty():
         return links
-    return _close(rows.drop("size").join(sets.withColumnRenamed("s", "d"), "id"), links, threshold, hot, levels)
+    return _close(rows.drop("size").join(sets.withColumnRenamed("s", "d"), "id"), links, threshold)
