@@ -9,75 +9,25 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from .lexical_store import Store, bm25_store, search_bm25_store, terms
 from .ranking import keep_best_hit, topk_per_group
-from .stored import saved
 
-K1, B = 1.2, 0.75
 #: Vectors of a block in exact search.
 BLOCK = 2048
 
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def tokenized(docs: DataFrame) -> DataFrame:
-    """docs(key, text) → a stored table (key, t, dl): the terms of every text, found once for index and statistics."""
-    return saved(docs.select("key", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t")), "tokens")
-
-
 def build_bm25_index(docs: DataFrame) -> DataFrame:
-    """docs(key, text, ...), or a tokenized table, → postings (term, key, tf, dl) with the other columns of docs."""
-    rest = [c for c in docs.columns if c not in ("key", "text", "t", "dl")]
-    rows = docs if "t" in docs.columns else docs.select("key", *rest, terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    """docs(key, text, ...) → postings (term, key, tf, dl) with the other columns of docs."""
+    rest = [c for c in docs.columns if c not in ("key", "text")]
+    rows = docs.select("key", *rest, terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     return rows.select("key", *rest, "dl", F.explode("t").alias("term")).groupBy("term", "key", "dl", *rest).agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """docs(key, text), or a tokenized table, → one row (n, avgdl) over documents with a term."""
-    length = F.col("dl") if "dl" in docs.columns else F.size(terms(F.col("text"))).alias("dl")
-    return docs.select(length).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def bm25_search(queries: DataFrame, index: DataFrame, k: int, stats: DataFrame | None = None, digits: int = 6, first: float = 0.01) -> DataFrame:
-    """queries(query_id, text) → (query_id, key, score, rank): the k best documents of each query, exactly.
-
-    ``stats`` is one row (n, avgdl) of corpus_stats, by default taken from the index. Postings of asked terms are stored
-    once. Common terms join almost every document and add little, so a query does not begin with them: its rarest terms,
-    those in at most a ``first`` share of documents and the rarest one anyway, give a score that k documents reach for
-    sure. Terms that even together cannot reach it, by the most that each adds to any document, form no candidates; they
-    complete the scores of those documents that the other terms found and that can still reach it, by term and document,
-    so that no posting list meets a query whole. Scores are rounded before they are ranked, so that the order of summing
-    does not show, and bounds leave room for the rounding.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    held = saved(index.select("term", "key", "tf", "dl").join(asked.select("term").distinct(), "term", "left_semi"), "postings")
-    stats = stats if stats is not None else index.groupBy("key").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n, avgdl = stats.first()
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1.0))))
-    postings = held.select("term", "key", gain.alias("gain"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms_ = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("top")).select("term", "df", idf.alias("idf"), (idf * F.col("top")).alias("most"))
-    rare = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))
-    weights = asked.join(terms_, "term").withColumn("early", (F.col("df") <= first * n) | (rare == 1))
-    add = F.sum(F.col("idf") * F.col("gain"))
-
-    early = weights.where("early").select("query_id", "term", "idf").join(postings, "term").groupBy("query_id", "key").agg(add.alias("score"))
-    sure = topk_per_group(early, ["query_id"], [F.desc("score"), F.col("key")], k).where(F.col("rank") == k).select("query_id", (F.col("score") - 10.0**-digits).alias("sure"))
-    upto = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
-    split = weights.withColumn("upto", upto).join(sure, "query_id", "left").withColumn("weak", F.coalesce(F.col("upto") < F.col("sure"), F.lit(False)))
-    split = saved(split.select("query_id", "term", "idf", "most", "weak", "sure"), "query-terms")
-
-    strong, weak = split.where("NOT weak"), split.where("weak")
-    rest = split.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("rest"))
-    found = saved(strong.select("query_id", "term", "idf").join(postings, "term").groupBy("query_id", "key").agg(add.alias("score")), "candidates")
-    # k documents reach at least the k-th of these scores; what cannot reach it with all weak terms is left out
-    reached = topk_per_group(found, ["query_id"], [F.desc("score"), F.col("key")], k).where(F.col("rank") == k).select("query_id", (F.col("score") - 10.0**-digits).alias("reached"))
-    found = found.join(rest.join(reached, "query_id", "left"), "query_id").where(F.col("reached").isNull() | (F.col("score") + F.col("rest") >= F.col("reached"))).select("query_id", "key", "score")
-    found = saved(found, "candidates")
-    more = found.select("query_id", "key").join(weak.select("query_id", "term", "idf"), "query_id").join(postings, ["term", "key"]).select("query_id", "key", (F.col("idf") * F.col("gain")).alias("score"))
-    scored = found.unionByName(more).groupBy("query_id", "key").agg(F.round(F.sum("score"), digits).alias("score"))
-    return topk_per_group(scored, ["query_id"], [F.desc("score"), F.col("key")], k)
+def bm25_search(queries: DataFrame, docs: DataFrame | Store, k: int, digits: int = 6) -> DataFrame:
+    """queries(query_id, text) → (query_id, key, score, rank): the k best documents of each query, exactly, over a stored
+    index (``lexical_store``), or over docs(key, text), for which one is built."""
+    store = docs if isinstance(docs, Store) else bm25_store(docs)
+    return search_bm25_store(queries, store, k, digits)
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -210,10 +160,10 @@ def cosine_unit(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", (1 + F.col("score")) / 2)
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, dense_weight: float = 0.55, depth: int = 50) -> DataFrame:
-    """queries(query_id, text, vec) over docs(key, text, vec) that scope filters have passed → fused top k."""
-    tokens = tokenized(docs.select("key", "text"))
-    lexical = lexical_unit(bm25_search(queries, build_bm25_index(tokens), depth, corpus_stats(tokens)))
+def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, dense_weight: float = 0.55, depth: int = 50, store: Store | None = None) -> DataFrame:
+    """queries(query_id, text, vec) over docs(key, text, vec) that scope filters have passed → fused top k. ``store`` is
+    the documents' standing index; without one it is built."""
+    lexical = lexical_unit(bm25_search(queries, store or docs.select("key", "text"), depth))
     dense = cosine_unit(dense_search(queries, docs, depth))
     fused = weighted_fusion([(dense, dense_weight), (lexical, 1 - dense_weight)])
     return topk_per_group(fused, ["query_id"], [F.desc("score"), F.col("key")], k)

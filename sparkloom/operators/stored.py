@@ -34,6 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of an Arrow batch, so that a Python worker holds a bounded piece of its partition.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+
+
+def batches_bounded(spark: SparkSession) -> SparkSession:
+    """Bounds the Arrow batches that Python workers get (whole rows: a longer text is a batch of its own)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def few(df: DataFrame, most: int = 10_000) -> DataFrame:
     """The table marked for broadcast if it has at most ``most`` rows; a larger one as it is, for an ordinary join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

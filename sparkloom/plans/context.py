@@ -9,7 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.stored import scratch  # noqa: F401  queries that write files take it from here
+from ..operators.lexical_store import open_bm25_store, write_bm25_store
+from ..operators.stored import scratch  # queries that write files take it from here
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -105,6 +106,17 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: The standing BM25 indexes of this session, by application and the files that they were built from.
+_STORES: dict[tuple, str] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table, as Spark's file system lists them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return tuple(sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in found))
+
+
 class Tables:
     """The given tables and the derived ones of a folder, as DataFrames by name."""
 
@@ -123,6 +135,17 @@ class Tables:
                 raise AttributeError(name)
         return known[name]
 
+    @property
+    def bm25_store(self):
+        """The standing index of documents: written by the first query of a session that needs it, opened by the others.
+        Other files, or files written anew, get an index of their own."""
+        at = (self.spark.sparkContext.applicationId, _files(self.spark, f"{self.sf_dir}/documents.parquet"))
+        if at not in _STORES:
+            path = scratch(self.spark, "bm25")
+            write_bm25_store(self.documents.selectExpr("doc_id AS key", "text"), path)
+            _STORES[at] = path
+        return open_bm25_store(self.spark, _STORES[at])
+
     def sql(self, sql: str) -> DataFrame:
         sql = sql.replace("{sha}", _SHA["spark"]).replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING")
         for name in sorted((_named(sql) & ({*TABLES} | {*FIXTURES}))):

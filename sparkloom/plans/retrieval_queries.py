@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as S
-from ..operators.sets import passages_in
+from ..operators.lexical_store import passages_in_store
 from .context import query
 
 
@@ -14,8 +14,7 @@ def _docs(s):
 
 
 def _bm25(s, k):
-    tokens = S.tokenized(_docs(s))
-    return S.bm25_search(_asked(s), S.build_bm25_index(tokens), k, S.corpus_stats(tokens))
+    return S.bm25_search(_asked(s), s.bm25_store, k)
 
 
 def _asked(s):
@@ -42,7 +41,7 @@ def eval_summary(s):
     good = F.contains("text", F.col("passage"))
     passages = s.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     ranks = top.join(_docs(s), "key").join(passages, "query_id").where(good).groupBy("query_id").agg(F.min("rank").alias("r"))
-    covered = passages_in(passages.select(F.col("passage").alias("text")), _docs(s)).select(F.col("text").alias("passage")).distinct()
+    covered = passages_in_store(passages.select(F.col("passage").alias("text")), s.bm25_store, _docs(s)).select(F.col("text").alias("passage")).distinct()
     covered = passages.join(covered, "passage").select("query_id").withColumn("there", F.lit(True))
     rows = passages.select("query_id").join(covered, "query_id", "left").join(ranks, "query_id", "left")
     return rows.agg(F.count("*").alias("cases"), F.count("there").alias("annotated"), F.round(F.avg(F.when(F.col("there"), F.col("r").isNotNull().cast("double"))), 6).alias("recall_at_5"), F.round(F.avg(F.when(F.col("there"), F.coalesce(1 / F.col("r"), F.lit(0.0)))), 6).alias("mrr"))
@@ -97,7 +96,7 @@ def hybrid_search(s):
     """Texts by BM25 and given vectors, one of forty for each row, by cosine."""
     vectors = s.embeddings.where("vec_id < 40").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vec"))
     with_vec = lambda d, i: d.join(F.broadcast(vectors), F.col(i) % 40 == F.col("v")).drop("v")  # noqa: E731  forty rows
-    return S.hybrid_search(with_vec(_asked(s), "query_id"), with_vec(_docs(s).where("text IS NOT NULL"), "key"), 5)
+    return S.hybrid_search(with_vec(_asked(s), "query_id"), with_vec(_docs(s).where("text IS NOT NULL"), "key"), 5, store=s.bm25_store)
 
 
 def _half(name: str, a: int, b: int) -> str:
@@ -212,7 +211,7 @@ def answer_chain(s):
 
     questions = s.questions.select("query_id", "question", "has_history", F.when(F.col("conv_id") % 3 == 0, F.col("selected_source")).otherwise("").alias("source"))
     faq = s.faq.select(F.col("pos").alias("faq_id"), "question")
-    return chain(questions, faq, s.documents.select(F.col("doc_id").alias("key"), "text", "source"))
+    return chain(questions, faq, s.documents.select(F.col("doc_id").alias("key"), "text", "source"), store=s.bm25_store)
 
 
 @query("SELECT doc_id AS id, length(coalesce(text, ''))::DOUBLE AS chars, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')))::DOUBLE AS spaces FROM documents")
