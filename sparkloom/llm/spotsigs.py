@@ -1,10 +1,11 @@
 """Operator 9: SpotSigs document fingerprints, in DataFrame functions alone.
 
-A signature is a common word (an anchor) with the next two content words after it. The beginning of a text counts as
-an anchor. Where anchors are few, fewer than FEW or than one in SPARSE words, every word of the text begins a signature
-too, so that texts of other languages, tables and word lists are told apart by all they hold. The set of a text's
-signatures, hashed to 32 bits each, is its fingerprint; likeness is the Jaccard measure of two sets. Content words are an array of their own: the j-th anchor, at
-place i, is followed by the content words from i - j on, so all chains of a text come from one pass.
+A signature is a common word (an anchor) with the next two content words after it. The first two and the last two words
+of a text are signatures as well, and so is each word that a hash chooses, one in EVERY, with the two words after it. The
+choice depends on the word alone, so texts of other languages, tables and word lists have signatures all over too, and an
+edit changes the signatures around it and no others. The set of a text's signatures, hashed to 32 bits each, is its fingerprint; likeness is the Jaccard measure of
+two sets. Content words are an array of their own: the j-th common word, at place i, is followed by the content words
+from i - j on, so all chains of a text come from one pass.
 
 ``near_pairs`` is the self-join: sets are partitioned by their size, since a Jaccard of t bounds the ratio of sizes by
 t; within a partition and the next one, only the rarest signatures of a set, as many as t demands, are joined on; what
@@ -29,8 +30,8 @@ ANCHORS = (
     "el los las del una con se su es lo al por para y como"
 ).split()
 CHAIN = 2
-#: Fewer distinct chains of anchors than that, or than one in so many words, do not stand for a text.
-FEW, SPARSE = 4, 20
+#: One in so many words begins a signature by its hash.
+EVERY = 6
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -41,26 +42,21 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     # (word, whether it is common) so that each is looked up once
     tagged = F.transform(w, lambda x: F.struct(x.alias("w"), x.isin(*sorted(set(ANCHORS))).alias("c")))
 
-    def every(t: Column) -> Column:
-        word = lambda i: F.coalesce(F.get(t, i)["w"], F.lit(""))
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - chain - 1, F.lit(0))), lambda i: F.hash(F.lit("*"), *[word(i + k) for k in range(chain + 1)]))
-
-    def enough(t: Column, found: Column) -> Column:
-        # the beginning is one of them
-        return let(F.array_distinct(found), lambda x: F.when((F.size(x) > FEW) & (SPARSE * (F.size(x) - 1) >= F.size(t)), x).otherwise(F.concat(x, every(t))))
-
     def chains(t: Column) -> Column:
         content = F.transform(F.filter(t, lambda x: ~x["c"]), lambda x: x["w"])
         anchors = F.filter(F.transform(t, lambda x, i: F.struct(x["w"].alias("w"), x["c"].alias("c"), i.alias("i"))), lambda x: x["c"])
+        word = lambda i: F.coalesce(F.get(t, i)["w"], F.lit(""))
+        chosen = F.filter(F.transform(t, lambda x, i: F.struct(x["w"].alias("w"), i.alias("i"))), lambda x: (F.pmod(F.hash(F.lit("#"), x["w"]), F.lit(EVERY)) == 0) & (x["i"] + chain < F.size(t)))
         return let(content, lambda c: F.concat(
-            F.array(F.hash(F.lit("^"), *[F.coalesce(F.get(c, F.lit(k)), F.lit("")) for k in range(chain)])),
+            F.array(F.hash(F.lit("^"), *[word(F.lit(k)) for k in range(chain)]), F.hash(F.lit("$"), *[word(F.size(t) - k) for k in range(chain, 0, -1)])),
+            F.transform(chosen, lambda x: F.hash(F.lit("+"), *[word(x["i"] + k) for k in range(chain + 1)])),
             F.transform(
                 F.filter(F.transform(anchors, lambda x, j: F.struct(x["w"].alias("w"), (x["i"] - j).alias("at"))), lambda x: x["at"] + chain <= F.size(c)),
                 lambda x: F.hash(x["w"], *[F.get(c, x["at"] + k) for k in range(chain)]),
             ),
         ))
 
-    found = let(tagged, lambda t: F.when(F.size(t) == 0, F.array(F.hash(F.lit("?"), text))).otherwise(enough(t, chains(t))))
+    found = let(tagged, lambda t: F.when(F.size(t) == 0, F.array(F.hash(F.lit("?"), text))).otherwise(chains(t)))
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<int>")).otherwise(F.sort_array(F.array_distinct(found)))
 
 

@@ -1,6 +1,6 @@
 """Operator 3: token ids in ORC files, written in ascending document order and read back.
 
-Texts, not ids, are shuffled: a range partitioning on id and row deals them out, each task sorts its range, encodes it and
+Texts, not ids, are shuffled: a range partitioning on id and a hash of the text deals them out, each task sorts its range, encodes it and
 streams it into ORC stripes. ORC stores the id lists with its integer run-length encoding; a row index holds the least
 and largest document id of every ``row_index_stride`` rows, and Bloom filters on the document id let a lookup skip
 stripes. Readers take one stripe or more each. Where a document's ids start in the whole sequence follows from sums
@@ -40,24 +40,27 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes (doc_id, ids) as ORC in ascending doc_id order: by file name, and by row within a file.
+    """Writes (doc_id, ids, place) as ORC in ascending doc_id order: by file name, and by place within a file.
 
-    Rows of equal ids follow each other, over several files where they are many, each with its own ids; null ids come
-    first; a null or empty text is
+    Rows of equal ids follow each other by a hash of their text and the text itself, so the order is that of the data,
+    however the table is split; where they are many they go over several files. Null ids come first; a null or empty text is
     ``end_id`` alone; a text of any length is one row, so a very long one makes its stripe larger; an empty table gives
     files without rows. Other columns are not read, whatever their names.
     """
     if files is None:
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
         files = int(max(12, -(-size // FILE_BYTES)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    dealt = rows.repartitionByRange(files, "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    encode_documents(dealt, tokenizer, end_id).write.options(**ORC).orc(path)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    dealt = rows.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    # a task writes one file, so a row's number in its task is its place there
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    encode_documents(dealt, tokenizer, end_id).withColumn("place", place).write.options(**ORC).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a token store; filters on doc_id reach stripes through row indexes and Bloom filters."""
-    return bounded(spark).read.schema("doc_id long, ids array<int>").orc(path)
+    return bounded(spark).read.schema("doc_id long, ids array<int>, place long").orc(path)
 
 
 def file_number(name: Column) -> Column:
@@ -70,7 +73,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     start counts the ids of all documents before it: sums of the files before, of which there are few rows, and a
     running sum over the narrow rows of its own file. Files are in the order of the numbers in their names, however
-    many digits these have. Documents with equal ids follow each other in the order of their ids' checksums.
+    many digits these have, and documents in that of their places, so ``start`` cuts the ids of a document out of all ids.
     """
 
     def run(batches):
@@ -78,13 +81,14 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             ids, stops = batch.column(1), batch.column(1).offsets.to_numpy()
             data = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(stops).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(stops).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "place", "n_tokens", "ids_crc32"])
 
-    rows = read_token_files(spark, path).select("doc_id", "ids", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long")
+    rows = read_token_files(spark, path).select("doc_id", "ids", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "place")
+    rows = rows.mapInArrow(run, "doc_id long, file string, place long, n_tokens long, ids_crc32 long")
     rows = written(rows.withColumn("file", file_number(F.col("file"))), "token-digests")  # read once, used twice
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("part", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(base, "file")
         .select("doc_id", (F.col("base") + F.col("part")).alias("start"), "n_tokens", "ids_crc32")

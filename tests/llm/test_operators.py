@@ -226,6 +226,25 @@ def test_token_files(spark, docs, empty, plain, path):
     assert token_files.token_digests(spark, out).count() == 2 * len(plain) + 1
 
 
+def test_token_files_start_cuts_repeated_ids(spark, path):
+    """Rows of one id with different texts, over one file and several: all ids in the order of the files, cut at start."""
+    texts = ["one text of some length that repeats an id", "two", "three words here", "two", ""]
+    docs = spark.createDataFrame([(i % 4, texts[i % 5] + " x" * (i % 3)) for i in range(60)], "doc_id long, text string")
+    seen = []
+    for files, parts in ((1, 3), (5, 7)):
+        out = scratch(spark, "orc-repeats")
+        token_files.write_token_files(docs.repartition(parts), out, path("byte_bpe_50k.json"), files=files)
+        rows = token_files.read_token_files(spark, out).select("doc_id", "ids", "place", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("int").alias("file")).orderBy("file", "place").collect()
+        assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+        stream = np.array([x for r in rows for x in r.ids], "<u4")
+        got = token_files.token_digests(spark, out).collect()
+        for r in got:
+            assert zlib.crc32(stream[r.start : r.start + r.n_tokens].tobytes()) == r.ids_crc32
+        assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted((r.doc_id, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in rows)
+        seen.append(sorted(map(tuple, got)))
+    assert seen[0] == seen[1]  # however the table is split
+
+
 def test_token_files_follow_numbers(spark, path):
     """From 100000 files on names have a digit more, and the order is still that of the numbers."""
     names = ["part-99999-a.orc", "part-100000-a.orc", "part-00007-part-1.orc"]
@@ -681,7 +700,16 @@ def test_spotsigs(docs, empty, plain):
     assert spotsigs.edited_fingerprints(with_null_id(docs)).count() == len(plain)
 
 
-def _plain_signatures(text):
+def _chosen(spark, texts):
+    """The words that a hash chooses to begin a signature."""
+    import regex
+
+    words = {x for t in texts for x in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if x}
+    rows = spark.createDataFrame([(x,) for x in sorted(words)], "w string")
+    return {r.w for r in rows.where(F.pmod(F.hash(F.lit("#"), "w"), F.lit(spotsigs.EVERY)) == 0).collect()}
+
+
+def _plain_signatures(text, chosen):
     """Chains of a text as tuples of words."""
     import regex
 
@@ -691,27 +719,47 @@ def _plain_signatures(text):
     if not w:
         return {("?", text)}
     common = set(spotsigs.ANCHORS)
-    content = [x for x in w if x not in common]
-    found = {("^", *(content + ["", ""])[:2])}
+    found = {("^", *(w + [""])[:2]), ("$", *([""] + w)[-2:])}
     for i, x in enumerate(w):
         after = [y for y in w[i + 1 :] if y not in common][:2]
         if x in common and len(after) == 2:
             found.add((x, *after))
-    if len(found) > spotsigs.FEW and spotsigs.SPARSE * (len(found) - 1) >= len(w):
-        return found
-    return found | {("*", *(w[i : i + 3] + ["", ""])[:3]) for i in range(max(len(w) - 2, 1))}
+        if x in chosen and i + 2 < len(w):
+            found.add(("+", *w[i : i + 3]))
+    return found
 
 
-def test_spotsigs_signatures(docs):
+def test_spotsigs_signatures(spark, docs):
     """As many signatures as chains, and as many in common, for all pairs of texts."""
     rows = docs.select("text", spotsigs.signatures(F.col("text")).alias("s")).collect()
-    both = [(set(r.s), _plain_signatures(r.text)) for r in rows]
+    chosen = _chosen(spark, [r.text for r in rows])
+    both = [(set(r.s), _plain_signatures(r.text, chosen)) for r in rows]
     for s, p in both:
         assert len(s) == len(p)
         for t, q in both:
             assert len(s & t) == len(p & q)
 
 
+def test_spotsigs_small_edits_stay_small(spark):
+    """Words added to a text, or taken from it, touch a few signatures each, in texts with and without common words."""
+    r = random.Random(2)
+    common = sorted(set(spotsigs.ANCHORS))
+    texts = [[r.choice(common) if r.random() < share else f"v{r.randrange(3000)}" for _ in range(120)] for share in (0, 0.02, 0.05, 0.1, 0.4) for _ in range(12)]
+    rows = []
+    for i, w in enumerate(texts):
+        e = list(w)
+        for _ in range(2):
+            e.insert(r.randrange(len(e)), f"n{r.randrange(3000)}")
+        del e[r.randrange(len(e))]
+        rows.append((i, " ".join(w), " ".join(e)))
+    d = spark.createDataFrame(rows, "i int, a string, b string")
+    got = d.select(spotsigs.signatures(F.col("a")).alias("x"), spotsigs.signatures(F.col("b")).alias("y")).collect()
+    for g in got:
+        x, y = set(g.x), set(g.y)
+        assert len(x) >= 5
+        assert len(x ^ y) <= 3 * 12  # an edit is within reach of at most a few chains on either side
+
+
 def test_spotsigs_repeated_ids(spark):
     """One row for each row with an id, edited by its own length; the next document is the next id's text of least hash."""
     rows = [(1, "the cat sat on a mat " * 4), (1, "another text of the same id " * 3), (2, "the second text is of a kind"), (2, "the second text is of a kind"), (9, None), (None, "x y z")]
@@ -743,13 +791,12 @@ def test_spotsigs_groups(docs, plain):
 def test_queries_are_registered(spark, sf):
     from sparkloom.llm.queries import ORACLES, QUERIES
 
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] and set(ORACLES) <= set(QUERIES)
 
 
 def test_spotsigs_without_anchors_read_whole_texts(spark):
     table = [f"t{i}" for i in range(56)]
-    texts = [" | ".join(table), " | ".join(table[:2] + [f"u{i}" for i in range(54)]), "the of and " * 8, "and der la " * 8, " ".join(table[:40]) + " the a1 a2 of b1 b2 and c1 c2 in d1 d2 " + " ".join(table * 3)]
+    texts = [" | ".join(table), " | ".join(table[:2] + [f"u{i}" for i in range(54)]), "the of and " * 8, "and der la " * 8, "a b", "a c"]
     sigs = [set(r.s) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(spotsigs.signatures(F.col("text")).alias("s")).collect()]
-    assert len(sigs[0]) > 50 and len(sigs[0] & sigs[1]) < 5
-    assert len(sigs[2]) > 2 and len(sigs[2] & sigs[3]) <= 1
-    assert len(sigs[4]) > 50
+    assert len(sigs[0]) > 5 and len(sigs[0] & sigs[1]) <= 2
+    assert sigs[2] != sigs[3] and sigs[4] != sigs[5]
