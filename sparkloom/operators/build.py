@@ -39,7 +39,8 @@ def build_knowledge_graph(chunks: DataFrame, extract, types: list[str], pack_lim
     """chunks(doc_id, pos, chunk_id, parent_id, parent_content, tokens) → entities, relations, communities.
 
     Parents are packed into batches, ``extract`` (a batch function from texts to responses) runs on each batch's text,
-    records are parsed, aliases merged, and communities found.
+    records are parsed, aliases merged, and communities found. Names are aliases where all are alike to one of them
+    (``alias_clusters``); chains of likeness do not merge.
     """
     import pandas as pd
 
@@ -58,8 +59,8 @@ def build_knowledge_graph(chunks: DataFrame, extract, types: list[str], pack_lim
 
     responses = G.cut(texts.mapInPandas(run, "batch_id string, response string"))
     entities, relations = G.parse_extraction_records(responses, types)
-    pairs = G.alias_candidate_pairs(entities)
-    canonical = G.canonical_names(G.alias_components(pairs))
+    pairs = G.alias_candidate_pairs(entities, spelled=True)
+    canonical = G.cut(G.canonical_names(G.alias_clusters(pairs)))
     at = lambda d: d.withColumn("pos", F.concat_ws("#", "batch_id", F.lpad(F.col("pos").cast("string"), 6, "0")))
     merged, edges = G.rewrite_aliases(at(entities), at(relations), canonical)
     from .joins import dangling_edge_filter

@@ -48,10 +48,31 @@ def dedup_relations(relations: DataFrame) -> DataFrame:
     return keep_first(rows, ["__a", "__b"], [F.col("pos")]).drop("__a", "__b")
 
 
-def alias_similarity(a: Column, b: Column, ranked: tuple[str, ...] = (), colours: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> Column:
+#: Letters of scripts that spell words; a single one of them says little about a name.
+_LETTER = r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]"
+
+
+def _spelled(name: Column) -> Column:
+    return name.rlike(_LETTER) & (F.length(name) >= 2)
+
+
+def _chars(name: Column) -> Column:
+    return F.split(name, "")
+
+
+def _grams(name: Column) -> Column:
+    """Neighbouring pairs of characters, in order; a name of one character is its own."""
+    return F.when(F.length(name) < 2, F.array(name)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - 1)), lambda i: F.substring(name, i, F.lit(2))))
+
+
+def alias_similarity(a: Column, b: Column, ranked: tuple[str, ...] = (), colours: tuple[str, ...] = (), suffixes: tuple[str, ...] = (), spelled: bool = False) -> Column:
     """Likeness of two names by their characters, by the first rule that holds. Word lists that forbid or allow a merge
-    are parameters: ranks, first characters that tell things apart, and suffixes that may be left out."""
-    sa, sb = F.split(a, ""), F.split(b, "")
+    are parameters: ranks, first characters that tell things apart, and suffixes that may be left out.
+
+    With ``spelled``, a pair with letters of a script that spells words is compared by neighbouring pairs of characters
+    in place of single ones, and a name is the end of another one at the border of a word alone."""
+    letters = (_spelled(a) | _spelled(b)) if spelled else F.lit(False)
+    sa, sb = (F.when(letters, _grams(x)).otherwise(_chars(x)) if spelled else _chars(x) for x in (a, b))
     short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     same = F.length(a) == F.length(b)
     common = F.size(F.array_intersect(sa, sb))
@@ -61,36 +82,95 @@ def alias_similarity(a: Column, b: Column, ranked: tuple[str, ...] = (), colours
     rest = F.length(long) - F.length(short)
     tail = F.substring(long, F.length(short) + 1, F.length(long))
     by_tail = F.when(tail.rlike("|".join(suffixes) if suffixes else "$^"), 0.7).otherwise(0.0)
-    three = same & (F.length(a) == 3) & (at(a, 1) == at(b, 1))
+    three = ~letters & same & (F.length(a) == 3) & (at(a, 1) == at(b, 1))
+    border = ~letters | F.substring(long, rest, F.lit(1)).rlike(r"[^\p{L}\p{N}]")
     return (
         F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).when(F.array_sort(sa) == F.array_sort(sb), 0.85)
         .when(three & (at(a, 2) == at(b, 2)) & (at(a, 3) != at(b, 3)), 0.0).when(three & (at(a, 2) != at(b, 2)) & (at(a, 3) == at(b, 3)), 0.7)
-        .when(same & (F.length(a) >= 4) & (F.substring(a, F.lit(3), F.length(a)) == F.substring(b, F.lit(3), F.length(b))) & (at(a, 1) != at(b, 1)), 0.0)
+        .when(~letters & same & (F.length(a) >= 4) & (F.substring(a, F.lit(3), F.length(a)) == F.substring(b, F.lit(3), F.length(b))) & (at(a, 1) != at(b, 1)), 0.0)
         .when(same & (F.length(a) >= 3) & (F.substring(a, F.lit(2), F.length(a)) == F.substring(b, F.lit(2), F.length(b))) & at(a, 1).isin(*(colours or ("\u0000",))), 0.0)
         .when(~same & short.isin(*(ranked or ("\u0000",))), 0.0)
-        .when(same & (common >= F.length(a) - 1) & (jac >= 0.5), 0.7).when(same & (jac >= 0.75), 0.7)
-        .when(~same & (F.length(short) >= 2) & long.endswith(short), 0.85)
+        .when(same & (common >= F.size(sa) - 1) & (jac >= 0.5), 0.7).when(same & (jac >= 0.75), 0.7)
+        .when(~same & (F.length(short) >= 2) & long.endswith(short) & border, 0.85)
         .when((jac >= 0.6) & (common >= 2) & ~prefix, 0.7).when((jac >= 0.6) & (common >= 2) & prefix & (rest <= 2), by_tail).otherwise(0.0)
     )
 
 
-def alias_candidate_pairs(entities: DataFrame, least: float = 0.65, **lists) -> DataFrame:
-    """entities(name, type) → pairs (a, b, similarity) of one type at ``least`` or more.
-
-    Names that a rule may merge share two distinct characters, and pairs are sought among those. Where they share only
-    one, both have at most two distinct ones, or the shorter repeats one character that the longer ends with twice:
-    such names are looked up by that character as well.
-    """
-    names = entities.select("name", "type").where("name <> ''").distinct().withColumn("c", F.array_sort(F.array_distinct(F.split("name", ""))))
-    two = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.concat(x, y))))
-    last = F.substring("name", -1, 1)
-    twice = (F.length("name") > 1) & (last == F.substring("name", -2, 1))
-    none = F.array().cast("array<string>")
-    one = F.concat(F.when(F.size("c") <= 2, F.col("c")).otherwise(none), F.when(twice, F.array(last)).otherwise(none))
-    keyed = names.select("name", "type", F.explode(F.array_distinct(F.concat(two, one))).alias("k"))
-    a, b = keyed.select("type", "k", F.col("name").alias("a")), keyed.select("type", "k", F.col("name").alias("b"))
-    pairs = a.join(b, ["type", "k"]).where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("similarity", alias_similarity(F.col("a"), F.col("b"), **lists)).where(F.col("similarity") >= least)
+def overlap_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """sets(group, id, els array of distinct elements), ids distinct within a group → (group, a, b), a < b: all pairs of
+    a group at a Jaccard of ``threshold`` or more, and some others. For small sets, as names have.
+
+    Elements are ordered by their frequency in the group. Sets of n elements at the threshold share o = ceil(t n), so the
+    first two that they share are among the rarest n - o + 2 of either; those pairs of elements are the keys, far rarer
+    than single elements. Sets of one element are looked up by it. Sizes, and what may follow at the places where two
+    sets meet, bound the overlap before a pair leaves the join."""
+    each = sets.select("group", "id", F.size("els").alias("n"), F.explode("els").alias("e"))
+    often = each.groupBy("group", "e").agg(F.count("*").alias("df"))
+    upto = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 2
+    rare = each.join(often, ["group", "e"]).groupBy("group", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("x"))  # a set's
+    rare = rare.withColumn("x", F.transform(F.slice("x", F.lit(1), F.least(F.col("n"), upto)), lambda x: x["e"]))
+    two = F.flatten(F.transform("x", lambda e, i: F.transform(F.slice("x", F.lit(1), i), lambda f: F.struct(F.xxhash64(f, e).alias("e"), (i + 1).alias("k")))))
+    one = F.transform("x", lambda e: F.struct(F.xxhash64(e).alias("e"), F.lit(1).alias("k")))
+    keyed = rare.select("group", "id", "n", F.inline(F.when(F.col("n") == 1, one).otherwise(two)))
+    other = keyed.toDF("group", "b", "nb", "e", "kb")
+    left = F.least(F.col("n") - F.col("k"), F.col("nb") - F.col("kb")) + F.least("k", "kb")
+    fits = (F.least("n", "nb") >= threshold * F.greatest("n", "nb") - 1e-9) & (left >= threshold / (1 + threshold) * (F.col("n") + F.col("nb")) - 1e-9)
+    return keyed.join(other, ["group", "e"]).where((F.col("id") < F.col("b")) & fits).select("group", F.col("id").alias("a"), "b").distinct()
+
+
+def alias_candidate_pairs(entities: DataFrame, least: float = 0.65, spelled: bool = False, **lists) -> DataFrame:
+    """entities(name, type) → pairs (a, b, similarity) of one type at ``least`` or more, all of them for a ``least`` above 0.
+
+    A rule that merges two names needs a Jaccard of 0.6 of their elements (``overlap_pairs``), or names of one length of
+    at most three characters that share an element, or one name as the end of the other, which is looked up whole among
+    the ends of longer names. ``spelled`` is as in ``alias_similarity``. Null and empty names and types take no part."""
+    names = entities.select("type", "name").where("name <> '' AND type IS NOT NULL").distinct()
+    names = saved(names.withColumn("letters", _spelled(F.col("name")) if spelled else F.lit(False)), "alias-names")
+    group, name = lambda letters: F.struct("type", F.lit(letters).alias("letters")).alias("group"), F.col("name").alias("id")
+    sets = names.where("NOT letters").select(group(False), name, F.array_distinct(_chars(F.col("name"))).alias("els"))
+    if spelled:  # a name without letters may be compared with one that has them
+        sets = sets.unionByName(names.select(group(True), name, F.array_distinct(_grams(F.col("name"))).alias("els")))
+    pairs = overlap_pairs(sets, 0.6).select(F.col("group.type").alias("type"), "a", "b")
+
+    # short: what a rule asks of names of one length up to three (of neighbouring pairs: four) may be under 0.6
+    short = sets.where(F.length("id") <= F.when(F.col("group.letters"), 4).otherwise(3)).select("group", "id", F.length("id").alias("n"), F.explode("els").alias("e"))
+    other = short.withColumnRenamed("id", "b")
+    pairs = pairs.unionByName(short.join(other, ["group", "n", "e"]).where("id < b").select(F.col("group.type").alias("type"), F.col("id").alias("a"), "b"))
+
+    starts = F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length("name") - 1)), lambda i: ~F.col("letters") | F.substring("name", i - 1, F.lit(1)).rlike(r"[^\p{L}\p{N}]"))
+    ends = names.where("length(name) > 2").select("type", F.col("name").alias("long"), F.explode(F.transform(starts, lambda i: F.substring(F.col("name"), i, F.length("name")))).alias("name"))
+    held = ends.join(names.select("type", "name"), ["type", "name"]).select("type", F.least("name", "long").alias("a"), F.greatest("name", "long").alias("b"))
+    pairs = saved(pairs.unionByName(held).select("a", "b").distinct(), "alias-pairs")
+    return pairs.withColumn("similarity", alias_similarity(F.col("a"), F.col("b"), spelled=spelled, **lists)).where(F.col("similarity") >= least)
+
+
+def alias_clusters(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """pairs(a, b) → (name, component): clusters of names that are all alike to one of them, the pivot, whose name the
+    component has.
+
+    Components chain names that have little in common; correlation clustering by pivots does not. Names have a fixed
+    order by hash. In a round each name that comes before all its open neighbours is a pivot and takes them; of several
+    pivots the first has a name. Rounds are checkpointed; their number grows with the logarithm of the names."""
+    ends = pairs.select("a", "b").where("a <> b")
+    edges = cut(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("name"))
+    done = None
+    for _ in range(max_rounds):
+        if edges.isEmpty():
+            break
+        first = edges.groupBy("a").agg(F.min(order("b")).alias("near"))
+        pivots = cut(first.where(order("a") < F.col("near")).select(F.col("a").alias("pivot")))
+        taken = edges.join(pivots, F.col("a") == F.col("pivot")).groupBy(F.col("b").alias("name")).agg(F.min(order("pivot")).alias("p")).select("name", F.col("p.name").alias("component"))
+        now = cut(taken.unionByName(pivots.select(F.col("pivot").alias("name"), F.col("pivot").alias("component"))))
+        done = now if done is None else done.unionByName(now)
+        gone = now.select("name")
+        left = edges.join(gone.withColumnRenamed("name", "a"), "a", "left_anti").join(gone.withColumnRenamed("name", "b"), "b", "left_anti").select("a", "b")
+        alone = edges.select(F.col("a").alias("name")).distinct().join(gone, "name", "left_anti").join(left.select(F.col("a").alias("name")).distinct(), "name", "left_anti")
+        done = done.unionByName(alone.select("name", F.col("name").alias("component")))  # all their neighbours are taken
+        done, edges = cut(done), cut(left)
+    else:
+        raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
+    return pairs.select(F.col("a").alias("name"), F.col("a").alias("component")).limit(0) if done is None else done
 
 
 def alias_components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:

@@ -37,31 +37,30 @@ def dedup_relations(s):
     return G.dedup_relations(s.sql(_REL)).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "pos")
 
 
-_WORDS = "SELECT DISTINCT substr(c_name, length(c_name) - 3) AS name, CAST(c_nationkey AS VARCHAR(9)) AS type FROM customer"
+_NAMES = "SELECT DISTINCT p_name AS name, p_brand AS type FROM part UNION SELECT s_name AS name, concat('n', CAST(s_nationkey AS VARCHAR(9))) AS type FROM supplier"
 
 
-def _short(s):
-    return s.sql(_WORDS)
-
-
-def _similar(a: str, b: str) -> str:
-    """DuckDB SQL of the likeness of two names, rule by rule."""
-    x, y = f"string_split({a}, '')", f"string_split({b}, '')"
+def _similar(a: str, b: str, spelled: bool = False) -> str:
+    """DuckDB SQL of the likeness of two names, rule by rule; ``spelled``: of names with letters."""
+    grams = "list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))"
+    x, y = (grams.format(c) if spelled else f"string_split({c}, '')" for c in (a, b))
     common, every = f"len(list_intersect({x}, {y}))", f"len(list_distinct(list_concat({x}, {y})))"
     n, m = f"length({a})", f"length({b})"
     short, long = f"CASE WHEN {n} <= {m} THEN {a} ELSE {b} END", f"CASE WHEN {n} <= {m} THEN {b} ELSE {a} END"
     three = f"{n} = 3 AND {m} = 3 AND {a}[1] = {b}[1]"
-    return f"""CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN list_sort({x}) = list_sort({y}) THEN 0.85
- WHEN {three} AND {a}[2] = {b}[2] AND {a}[3] <> {b}[3] THEN 0.0 WHEN {three} AND {a}[2] <> {b}[2] AND {a}[3] = {b}[3] THEN 0.7
- WHEN {n} = {m} AND {n} >= 4 AND {a}[3:] = {b}[3:] AND {a}[1] <> {b}[1] THEN 0.0
- WHEN {n} = {m} AND {common} >= {n} - 1 AND 2 * {common} >= {every} THEN 0.7 WHEN {n} = {m} AND 4 * {common} >= 3 * {every} THEN 0.7
- WHEN {n} <> {m} AND least({n}, {m}) >= 2 AND ends_with({long}, {short}) THEN 0.85
+    chars = "" if spelled else f"""WHEN {three} AND {a}[2] = {b}[2] AND {a}[3] <> {b}[3] THEN 0.0 WHEN {three} AND {a}[2] <> {b}[2] AND {a}[3] = {b}[3] THEN 0.7
+ WHEN {n} = {m} AND {n} >= 4 AND {a}[3:] = {b}[3:] AND {a}[1] <> {b}[1] THEN 0.0"""
+    border = f" AND regexp_matches(substr({long}, abs({n} - {m}), 1), '[^\\p{{L}}\\p{{N}}]')" if spelled else ""
+    return f"""CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN list_sort({x}) = list_sort({y}) THEN 0.85 {chars}
+ WHEN {n} = {m} AND {common} >= {n} - {2 if spelled else 1} AND 2 * {common} >= {every} THEN 0.7 WHEN {n} = {m} AND 4 * {common} >= 3 * {every} THEN 0.7
+ WHEN {n} <> {m} AND least({n}, {m}) >= 2 AND ends_with({long}, {short}){border} THEN 0.85
  WHEN 5 * {common} >= 3 * {every} AND {common} >= 2 AND NOT ({n} <> {m} AND starts_with({long}, {short})) THEN 0.7 ELSE 0.0 END::DOUBLE"""
 
 
-@query(f"WITH e AS ({_WORDS}), p AS (SELECT DISTINCT a.name AS a, b.name AS b FROM e a JOIN e b ON a.type = b.type AND a.name < b.name), s AS (SELECT a, b, {_similar('a', 'b')} AS similarity FROM p) SELECT * FROM s WHERE similarity >= 0.65")
+@query(f"WITH e AS ({_NAMES}), p AS (SELECT DISTINCT a.name AS a, b.name AS b FROM e a JOIN e b ON a.type = b.type AND a.name < b.name), s AS (SELECT a, b, {_similar('a', 'b', True)} AS similarity FROM p) SELECT * FROM s WHERE similarity >= 0.65")
 def alias_candidate_pairs(s):
-    return G.alias_candidate_pairs(_short(s))
+    """Whole names of parts and suppliers."""
+    return G.alias_candidate_pairs(s.sql(_NAMES), spelled=True)
 
 
 _VARIANTS = """SELECT c_custkey, substr(c_name, length(c_name) - 3) AS a, CASE c_custkey % 13 WHEN 0 THEN substr(c_name, length(c_name) - 3) WHEN 1 THEN reverse(substr(c_name, length(c_name) - 3)) WHEN 2 THEN substr(c_name, length(c_name) - 2) WHEN 3 THEN substr(c_name, length(c_name) - 3, 3)

@@ -10,7 +10,7 @@ from sparkloom.plans.catalog import ORACLES, QUERIES
 from sparkloom.plans.context import TABLES
 
 #: Queries whose result may be empty on the smallest tables.
-MAY_BE_EMPTY = {"alias_candidate_pairs", "scenario_boundary", "followup_gate", "performance_gate", "ingestion_gate", "evaluation_gate", "source_boundary", "detect_communities", "build_knowledge_graph", "faq_document_conflicts", "query_document_match"}
+MAY_BE_EMPTY = {"scenario_boundary", "followup_gate", "performance_gate", "ingestion_gate", "evaluation_gate", "source_boundary", "detect_communities", "faq_document_conflicts", "query_document_match"}
 
 
 @pytest.fixture(scope="module")
