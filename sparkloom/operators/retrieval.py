@@ -11,6 +11,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from .lexical_store import Store, bm25_store, search_bm25_store, terms
 from .ranking import keep_best_hit, topk_per_group
+from .vector_codes import Codes, coded, search_codes
 
 #: Vectors of a block in exact search.
 BLOCK = 2048
@@ -102,7 +103,7 @@ def _probes(sample: np.ndarray, centers: np.ndarray, k: int, recall: float, aske
     return len(centers)
 
 
-def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, cells: int | None = None, probe: int | None = None, recall: float = 0.95, sample: int = 5000) -> DataFrame:
+def cell_search(queries: DataFrame, vectors: DataFrame, k: int, cells: int | None = None, probe: int | None = None, recall: float = 0.95, sample: int = 5000) -> DataFrame:
     """Approximate top k: every vector lies in its nearest cell, a query asks its ``probe`` nearest, and what they hold
     is scored exactly. There are about as many cells as the square root of the vectors; ``probe`` is fitted so that
     vectors of a bounded sample reach ``recall`` among each other: few cells where vectors have clusters, most of them
@@ -142,6 +143,18 @@ def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, cells: int
     return topk_per_group(met, ["query_id"], [F.desc("score"), F.col("key")], k)
 
 
+def dense_search_ann(queries: DataFrame, vectors: DataFrame | Codes, k: int, rerank: int | None = None) -> DataFrame:
+    """Approximate top k over stored codes (``vector_codes``), or over vectors(key, vec), which are coded first. Where
+    vectors have clusters ``cell_search`` reads a few of them."""
+    return search_codes(queries, vectors if isinstance(vectors, Codes) else coded(vectors), k, rerank)
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """found and exact(query_id, key) → one row (queries, recall): the share of the exact hits that were found."""
+    rows = exact.select("query_id", "key").join(found.select("query_id", "key", F.lit(1).alias("hit")), ["query_id", "key"], "left")
+    return rows.agg(F.count_distinct("query_id").alias("queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
 def weighted_fusion(channels: list[tuple[DataFrame, float]], digits: int = 9) -> DataFrame:
     """(query_id, key, score) of several channels → the weighted sum; a channel without the key adds nothing. Scores of
     six places under weights of two have at most nine, so rounding to nine hides the order of summing and meets no tie."""

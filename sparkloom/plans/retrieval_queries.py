@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as S
 from ..operators.lexical_store import passages_in_store
+from ..operators.vector_codes import coded
 from .context import query
 
 
@@ -81,6 +82,15 @@ def dense_search_ann(s):
     return S.dense_search_ann(_vq(s), _vectors(s), 10)
 
 
+@query("SELECT count(*) AS queries, true AS recall_reached, (SELECT count(*) FROM embeddings) AS vectors, greatest(50, least(300, (SELECT count(*) FROM embeddings) // 20)) AS read_a_query FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(s):
+    """Recall@10 of the coded search against the exact one over all queries, and the full vectors it reads for each."""
+    store = coded(_vectors(s).select("key", "vec"))
+    read = max(50, min(300, store.n // 20))
+    got = S.recall_of(S.dense_search_ann(_vq(s), store, 10, read), S.dense_search(_vq(s), _vectors(s), 10))
+    return got.select("queries", (F.col("recall") >= 0.9).alias("recall_reached"), F.lit(store.n).cast("long").alias("vectors"), F.lit(read).cast("long").alias("read_a_query"))
+
+
 @query(f"WITH {_dense_sql(k=50)}, a AS (SELECT query_id, key, 0.55::DOUBLE * (1 + score) / 2 AS score FROM d WHERE rank <= 10 UNION ALL SELECT query_id, key, 0.45::DOUBLE * score FROM d WHERE rank > 5) SELECT query_id, key, round(sum(score), 9) AS score FROM a GROUP BY 1, 2")
 def weighted_fusion(s):
     top = S.dense_search(_vq(s), _vectors(s), 50)
