@@ -218,14 +218,17 @@ def entity_degree(edges: DataFrame) -> DataFrame:
 def merge_edges(edges: DataFrame) -> DataFrame:
     """One edge for each unordered pair: distinct descriptions in order, the largest strength."""
     a, b = F.least("source", "target"), F.greatest("source", "target")
-    rows = edges.select(a.alias("a"), b.alias("b"), "description", "strength", "pos")
+    # a description counts once, at its first place, before an edge's are gathered
+    rows = edges.select(a.alias("a"), b.alias("b"), "description", "strength", "pos").groupBy("a", "b", "description").agg(F.min("pos").alias("pos"), F.max("strength").alias("strength"))
     texts = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "description"))), lambda x: x["description"]))
     return rows.groupBy("a", "b").agg(F.array_join(texts, "；").alias("description"), F.max("strength").alias("strength"))
 
 
 def merge_entities(entities: DataFrame) -> DataFrame:
     """One entity for each upper-case name: a description is appended unless what stands there holds it."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "type", "description")))
-    one = entities.groupBy(F.upper("name").alias("name")).agg(ordered.alias("e"))
+    # what stands there holds a description from its first place on, so only that one is gathered
+    first = entities.groupBy(F.upper("name").alias("name"), "description").agg(F.min(F.struct("pos", "type")).alias("x"))
+    ordered = F.array_sort(F.collect_list(F.struct("x.pos", "x.type", "description")))
+    one = first.groupBy("name").agg(ordered.alias("e"))
     fold = F.aggregate("e", F.lit(""), lambda a, x: F.when(F.contains(a, x["description"]), a).when(a == "", x["description"]).otherwise(F.concat(a, F.lit("；"), x["description"])))
     return one.select("name", F.get("e", 0)["type"].alias("type"), fold.alias("description"))

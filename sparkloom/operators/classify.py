@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from .stored import few
+from .stored import few, only_few
 
 
 def score_sources(queries: DataFrame, rules: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def scenario_boundary(queries: DataFrame, rules: DataFrame, own_least: int = 8,
     """Queries whose own scenario scores under ``own_least`` while another one reaches ``other_least``."""
     every = queries.select("query_id", F.col("scenario_id").alias("own"), "query")
     scenarios = rules.select("scenario_id").distinct()
-    scored = score_sources(every.crossJoin(few(scenarios)), rules)  # scenarios: configuration
+    scored = score_sources(every.crossJoin(only_few(scenarios)), rules)  # scenarios: configuration
     top = scored.groupBy("query_id", "scenario_id").agg(F.max("score").alias("score")).join(every.select("query_id", "own"), "query_id")
     own = top.where("scenario_id = own").select("query_id", F.col("score").alias("own_score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "scenario_id")
@@ -106,7 +106,7 @@ def faq_source_normalize(faq: DataFrame, rules: DataFrame) -> tuple[DataFrame, D
     s = F.lower(F.trim("subject"))
     exact = rules.select(F.col("source").alias("__s")).distinct().withColumn("__exact", F.col("__s"))
     rows = faq.withColumn("__k", s).join(few(exact), F.col("__k") == F.col("__s"), "left")
-    met = faq.crossJoin(few(rules)).where(F.expr("subject rlike pattern OR question rlike pattern"))  # rules: a few rows of configuration
+    met = faq.crossJoin(only_few(rules)).where(F.expr("subject rlike pattern OR question rlike pattern"))  # rules: a few rows of configuration
     first = met.groupBy("faq_id").agg(F.min_by("source", "source_order").alias("__first"))
     rows = rows.join(first, "faq_id", "left").withColumn("source", F.coalesce("__exact", "__first")).drop("__k", "__s", "__exact", "__first")
     return rows.where("source IS NOT NULL"), rows.where("source IS NULL").drop("source")

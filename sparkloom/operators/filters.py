@@ -27,6 +27,41 @@ def visible_at(seq: Column | int, start: str = "valid_from_seq", stop: str = "va
     return (F.col(start) <= v) & ((F.col(stop) == 0) | (F.col(stop) > v))
 
 
+def _blocks(start: Column, stop: Column, levels: int) -> Column:
+    """The numbers [start, stop) as dyadic blocks (l, i) of 2 ** l numbers each, two of a size at most."""
+    def at(k: int) -> Column:
+        low, high = F.ceil(start / 2**k).cast("long"), F.floor(stop / 2**k).cast("long")
+        block = lambda i: F.struct(F.lit(k).alias("l"), i.alias("i"))
+        return F.filter(F.array(F.when((low < high) & (low % 2 == 1), block(low)), F.when((low < high) & (high % 2 == 1), block(high - 1))), lambda x: x.isNotNull())
+
+    return F.concat(*[at(k) for k in range(levels)])
+
+
+def version_window_join(rows: DataFrame, versions: DataFrame, start: str = "valid_from_seq", stop: str = "valid_to_seq") -> DataFrame:
+    """versions(seq) and rows → the rows visible at each version, for any number of versions.
+
+    A validity window is cut into dyadic blocks, at most two for each power of two, and a version lies in one block of
+    each size, so the two meet by equality; every pair meets once. Sequences are 0 or more, an open end is 0; rows with
+    a null start or end and null versions meet nothing."""
+    top = versions.agg(F.max("seq")).first()[0]
+    levels = max(1, int(top or 0).bit_length() + 1)
+    upto = F.when(F.col(stop) == 0, F.lit(int(top or 0) + 1)).otherwise(F.least(F.col(stop), F.lit(int(top or 0) + 1)))
+    cut = rows.where(F.col(start).isNotNull() & F.col(stop).isNotNull()).select("*", F.inline(_blocks(F.greatest(F.col(start), F.lit(0)), upto, levels)).alias("__l", "__i"))
+    every = F.array(*[F.struct(F.lit(k).alias("__l"), F.floor(F.col("seq") / 2**k).cast("long").alias("__i")) for k in range(levels)])
+    asked = versions.where("seq >= 0").select("seq", F.inline(every))
+    return cut.join(asked, ["__l", "__i"]).drop("__l", "__i")
+
+
+def rarest_gram(tokens: DataFrame, index: DataFrame, size: int) -> DataFrame:
+    """tokens(query_id, token) and an index (gram, name) → the tokens with the gram of theirs that the fewest names have; a
+    token with a gram that no name has is left out, for no name holds it."""
+    each = tokens.select("token").distinct().where(F.length("token") >= size)
+    each = each.select("token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - (size - 1)), lambda i: F.substring(F.col("token"), i, F.lit(size))))).alias("gram"))
+    often = index.groupBy("gram").agg(F.count("*").alias("df"))
+    known = each.join(often, "gram", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g")).where("g.df > 0")
+    return tokens.join(known.select("token", "g.gram"), "token")
+
+
 def source_rejects(queries: DataFrame, valid: DataFrame) -> DataFrame:
     """Queries whose source filter is not among the scenario's sources; null is allowed."""
     return queries.where(F.col("source_filter").isNotNull()).join(valid.select("scenario_id", F.col("source").alias("source_filter")), ["scenario_id", "source_filter"], "left_anti")
@@ -43,12 +78,12 @@ def name_index(names: DataFrame, column: str, low: int = 3, high: int = 3) -> Da
 
 
 def like_match(tokens: DataFrame, names: DataFrame, limit: int) -> DataFrame:
-    """tokens(query_id, token) → names that hold the token, at most ``limit`` a query, by name. The token's first
+    """tokens(query_id, token) → names that hold the token, at most ``limit`` a query, by name. The token's rarest
     gram is looked up in the index, and ``contains`` decides on what it returns. Shorter tokens match whole names."""
     from .ranking import topk_per_group
 
     index = name_index(names, "name")
-    found = tokens.withColumn("gram", F.substring("token", 1, 3)).join(index, "gram").where(F.contains(F.col("name"), F.col("token")))
+    found = rarest_gram(tokens, index, 3).join(index, "gram").where(F.contains(F.col("name"), F.col("token")))
     exact = tokens.where(F.length("token") < 3).join(names.select("name"), F.col("token") == F.col("name"))
     rows = found.select("query_id", "name").unionByName(exact.select("query_id", "name")).distinct()
     return topk_per_group(rows, ["query_id"], [F.col("name")], limit).drop("rank")

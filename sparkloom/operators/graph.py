@@ -331,11 +331,12 @@ def global_search(queries: DataFrame, communities: DataFrame, k: int = 5) -> Dat
 
 
 def match_entities(tokens: DataFrame, names: DataFrame, k: int = 15) -> DataFrame:
-    """tokens(query_id, token) → names that hold a token, those of the longest first, then by name."""
-    from .filters import name_index
+    """tokens(query_id, token) → names that hold a token, those of the longest first, then by name. A token is
+    looked up by its rarest gram."""
+    from .filters import name_index, rarest_gram
 
     index = name_index(names, "name", 2, 2)
-    met = tokens.where(F.length("token") >= 2).withColumn("gram", F.substring("token", 1, 2)).join(index, "gram").where(F.contains("name", F.col("token")))
+    met = rarest_gram(tokens, index, 2).join(index, "gram").where(F.contains("name", F.col("token")))
     best = met.groupBy("query_id", "name").agg(F.max(F.length("token")).alias("n"))
     return topk_per_group(best, ["query_id"], [F.desc("n"), F.col("name")], k).select("query_id", "name", "rank")
 

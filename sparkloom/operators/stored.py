@@ -50,6 +50,14 @@ def few(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def only_few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """As ``few``, for a side of a join without an equality: more rows are an error, for no ordinary join takes them."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows on the small side of a join without an equality")
+    return F.broadcast(df)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The table written as Parquet and read again."""
     path = scratch(df.sparkSession, name)

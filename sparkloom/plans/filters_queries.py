@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import filters as P
-from ..operators.stored import few
 from .context import query
 
 _CALLERS = "SELECT DISTINCT lang AS caller, 'default' AS tenant_id, 'default' AS dataset_id, CASE lang WHEN 'en' THEN 'internal' WHEN 'fr' THEN 'private' ELSE 'guest' END AS visibility, CASE lang WHEN 'de' THEN 'hr' ELSE 'public' END AS role FROM documents"
@@ -25,7 +24,7 @@ def version_window_filter(s):
     from pyspark.sql import Window
 
     versions = s.kb_docs.select(F.col("valid_from_seq").alias("seq")).distinct().unionByName(s.spark.range(5, 6).toDF("seq")).distinct()
-    rows = s.kb_docs.join(few(versions), P.visible_at(F.col("seq")))  # a row for each version of the scenario
+    rows = P.version_window_join(s.kb_docs, versions)
     return rows.select("seq", "doc_id", "source", F.row_number().over(Window.partitionBy("seq").orderBy("source", "doc_id")).alias("pos"))
 
 

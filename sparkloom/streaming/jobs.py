@@ -75,18 +75,19 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int = 60, late: str = "
 
 
 def session_counts(messages: DataFrame, log: str, checkpoint: str) -> None:
-    """messages(session_id) as a stream → a log of counts; the latest of a session is its current one."""
-    counts = messages.groupBy("session_id").agg(F.count("*").alias("n"))
+    """messages(session_id) as a stream → a log of how many messages each batch brought a session. Nothing is kept as
+    state, so a session that is idle for ever costs nothing; a batch that is run again writes over its own rows."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        batch.select("session_id", "n", F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(log)
+        batch.groupBy("session_id").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
 
-    run_available(counts.writeStream.outputMode("update").foreachBatch(land), checkpoint)
+    run_available(messages.select("session_id").writeStream.foreachBatch(land), checkpoint)
 
 
 def summary_due(log: DataFrame, after: int = 14, recent: int = 8) -> DataFrame:
-    """Sessions past ``after`` messages, and how many of them, all but the ``recent`` last, are due for a summary."""
-    now = log.groupBy("session_id").agg(F.max_by("n", "batch_id").alias("n"))
+    """Sessions past ``after`` messages, and how many of them, all but the ``recent`` last, are due for a summary. The
+    log's rows of a session add up."""
+    now = log.groupBy("session_id").agg(F.sum("n").alias("n"))
     return now.where(F.col("n") > after).select("session_id", (F.col("n") - recent).alias("due"))
 
 
