@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import classify as C
+from ..operators.stored import few
 from .context import query
 
 RULES = [
@@ -147,5 +148,5 @@ def score_text_classifier(s):
 
 @query(f"WITH {_R} SELECT query_id, source, len(regexp_extract_all(question, pattern)) AS matches FROM questions q JOIN r ON q.scenario_id = r.scenario_id WHERE regexp_matches(question, pattern)")
 def rule_join(s):
-    rows = _q(s).join(F.broadcast(rules(s)), "scenario_id")  # rules: a few rows of configuration
+    rows = _q(s).join(few(rules(s)), "scenario_id")
     return rows.select("query_id", "source", F.expr("regexp_count(query, pattern)").alias("matches")).where("matches > 0")
