@@ -64,6 +64,11 @@ def _between(x: str | Column, y: str | Column) -> Column:
     return F.size(x) + F.size(y) - 2 * F.size(F.array_intersect(x, y))
 
 
+def _without(rows: DataFrame) -> DataFrame:
+    """rows(d, c, ...) → what differs between d and c as d."""
+    return rows.withColumn("d", F.concat(F.array_except("d", "c"), F.array_except("c", "d"))).drop("c")
+
+
 def _alike(pairs: DataFrame, rows: DataFrame, g: float) -> DataFrame:
     """pairs(at, a, b) of members of groups and their rows(at, id, n, d) → those that are alike."""
     pairs = pairs.select("at", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
@@ -85,15 +90,17 @@ def _met(y: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
 def _close(rows: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     """rows(at, id, n, comp, d) of crowded groups, d a member's set, and the links so far → all links."""
     g, far = (1 - threshold) / (1 + threshold), (1 - threshold) / (1 + threshold) / threshold
-    rows = written(rows, "crowd-rows")
+    # differences from one member are few beside the sets, and stand for them just as well
+    rows = written(rows, "crowd-sets")
+    one = rows.groupBy("at").agg(F.min_by("d", "id").alias("c"))
+    rows = written(_without(rows.join(one, "at")), "crowd-rows")
     size = rows.groupBy("at").agg(F.count("*").alias("size"))
     often = rows.select("at", F.explode("d").alias("e")).groupBy("at", "e").agg(F.count("*").alias("df")).where("df > 1").join(size, "at")
     often = written(often, "crowd-elements")
     common = F.col("df") * 2 > F.col("size")
     centre = often.where(common).groupBy("at").agg(F.collect_list("e").alias("c"))  # twice the mean size at most
     moved = rows.join(centre, "at", "left").withColumn("c", F.coalesce("c", F.array().cast("array<long>")))
-    moved = moved.withColumn("d", F.concat(F.array_except("d", "c"), F.array_except("c", "d"))).drop("c")
-    moved = written(moved.withColumn("m", F.size("d")).withColumn("a", F.col("m") - g * F.col("n")), "crowd-moved")
+    moved = written(_without(moved).withColumn("m", F.size("d")).withColumn("a", F.col("m") - g * F.col("n")), "crowd-moved")
     first = moved.groupBy("at").agg(F.min_by(F.struct("id", "comp", "a"), F.struct("a", "id")).alias("p"))
     stars = moved.join(first, "at").where(F.col("comp") != F.col("p.comp")).select("at", F.col("p.id").alias("a"), F.col("id").alias("b"))
     links = written(links.unionByName(_ordered(_alike(stars, moved, g))), "crowd-links")

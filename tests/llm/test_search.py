@@ -57,8 +57,8 @@ def test_hard_negatives_repeated_and_empty(spark):
     mined = lambda d, a: sorted(map(tuple, negatives.hard_negatives(negatives.quantised(d, "vec_id", "embedding", F.col("label")), a).collect()))
     first, second = mined(df(rows), F.col("id") == 0), mined(df(rows[1:5] + rows[:1]), F.col("id") == 0)
     assert first == second  # equal rows count once
-    # the anchor (0, label 1) has the positive 1, and 2 as its negative; (0, label 2) has the positive 2, and 1
-    assert first == [(0, 1, 1, 2, 256 * 256, 256 * 204), (0, 2, 1, 1, 128 * 256, 128 * 256)][:1] or [x[:4] for x in first] == [(0, 1, 1, 2)]
+    # the anchor (0, label 1) has the positive 1, and 2 as its negative; that of label 2 has a positive and no negative
+    assert first == [(0, 1, 1, 2, 256 * 256, 256 * 204)]
     assert mined(df([]), F.lit(True)) == [] and mined(df(rows), F.col("id") == 77) == []
     assert mined(df([(i, [1.0], 3) for i in range(4)]), F.lit(True)) == []  # one label: no negatives
 
@@ -133,7 +133,7 @@ def test_nra_reads_less_than_all():
         score[block.doc[a:b]] += w * block.impact[a:b]
     order = np.lexsort((ids, -score))[:10]
     assert best == [(-int(score[i]), int(ids[i])) for i in order]
-    out = [(-int(score.max()) * 3 - i, 10**6 + i) for i in range(10)]
+    out = sorted((-int(score.max()) * 3 - i, 10**6 + i) for i in range(10))
     assert lexical.nra(block, item, 10, out) == out  # nothing here can enter
 
 
