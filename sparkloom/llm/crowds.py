@@ -12,8 +12,7 @@ where that is g (|x| + |y|) at most, g = (1 - t) / (1 + t). With a = |D| - g |x|
   shares (ay + ap) / 2 differences with any other, and ay - g |y| / t, since it cannot share more than |Dx|. So it
   shares one of its rarest |Dy| - that + 1. Where y is far from all others these are in no other difference at all.
 
-First a few partners for each of y's rare differences are tried, which settles most that have a partner. A y that is
-still apart is compared with those that share such a difference, where what follows in its order can hold as many common
+A y is compared with those that share such a difference, where what follows in its order can hold as many common
 ones as the two need. What all have in common is in no difference, and no pair is lost: the bounds are exact.
 """
 
@@ -29,8 +28,6 @@ from .components import connected_components
 
 #: Members of a group that is compared pair by pair.
 HOT = 64
-#: Partners of a rare difference, and rare differences of a member, that are tried before all are compared.
-TRIED = 6
 _EPS = 1e-9
 
 
@@ -47,12 +44,6 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return full.where(both >= threshold * (F.size("sa") + F.size("sb") - both) - _EPS).select("a", "b")
 
 
-def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows(id, ...) with the component of each by ``links``."""
-    found = connected_components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "comp")
-    return rows.drop("comp").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-
 def _open(members: DataFrame, name: str) -> DataFrame:
     """members(at, id, n, comp, ...) → those of groups that two components share, with the group's size."""
     groups = members.groupBy("at").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
@@ -101,18 +92,16 @@ def _close(rows: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     centre = often.where(common).groupBy("at").agg(F.collect_list("e").alias("c"))  # twice the mean size at most
     moved = rows.join(centre, "at", "left").withColumn("c", F.coalesce("c", F.array().cast("array<long>")))
     moved = written(_without(moved).withColumn("m", F.size("d")).withColumn("a", F.col("m") - g * F.col("n")), "crowd-moved")
-    first = moved.groupBy("at").agg(F.min_by(F.struct("id", "comp", "a"), F.struct("a", "id")).alias("p"))
-    stars = moved.join(first, "at").where(F.col("comp") != F.col("p.comp")).select("at", F.col("p.id").alias("a"), F.col("id").alias("b"))
-    links = written(links.unionByName(_ordered(_alike(stars, moved, g))), "crowd-links")
-
-    def sided(links: DataFrame) -> DataFrame:
-        """Members of open groups; y: not in the component of p, so each link that is still to be found has one."""
-        left = _placed(moved, links)
-        main = left.join(first.select("at", F.col("p.id").alias("id"), F.col("p.a").alias("least")), ["at", "id"]).select("at", "least", F.col("comp").alias("main"))
-        left = left.join(main, "at").withColumn("y", F.col("comp") != F.col("main"))
-        return left.join(left.where("y").select("at").distinct(), "at", "left_semi")
-
-    left = written(sided(links), "crowd-left")
+    first = moved.groupBy("at").agg(F.min_by(F.struct("id", "n", "comp", "a", "d"), F.struct("a", "id")).alias("p"))
+    like = _between("d", F.col("p.d")) <= g * (F.col("n") + F.col("p.n")) + _EPS
+    stars = written(moved.join(first, "at").where((F.col("comp") != F.col("p.comp")) & like).select("at", F.col("p.id").alias("a"), F.col("id").alias("b"), "comp"), "crowd-stars")
+    links = links.unionByName(_ordered(stars.select("a", "b")))
+
+    # y: not in the component of p, which the components of its new neighbours are in now
+    joined = stars.select("at", "comp").distinct().withColumn("joined", F.lit(True))
+    left = moved.join(joined, ["at", "comp"], "left").join(first.select("at", F.col("p.comp").alias("main"), F.col("p.a").alias("least")), "at")
+    left = left.withColumn("comp", F.when(F.col("joined"), F.col("main")).otherwise(F.col("comp"))).withColumn("y", F.col("comp") != F.col("main")).drop("joined", "main")
+    left = written(left.join(left.where("y").select("at").distinct(), "at", "left_semi"), "crowd-left")
     share = F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("least")) / 2 - _EPS), F.ceil(F.col("a") - far * F.col("n") - _EPS))
     rare = often.select("at", "e", F.when(common, F.col("size") - F.col("df")).otherwise(F.col("df")).alias("df"))
     asked = left.where("y").select("at", "id", "n", "comp", "a", "m", (F.col("m") - share + 1).alias("take"), F.explode("d").alias("e"))
@@ -122,14 +111,7 @@ def _close(rows: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     other = left.where("NOT y").select("at", "id", "n", "comp", "a", "m", F.explode("d").alias("e")).join(keys, ["at", "e"], "left_semi")
     members = written(asked.drop("k").unionByName(other), "crowd-members")
 
-    # a few partners for each rare difference settle most members that have a partner at all
-    some = members.withColumn("r", F.row_number().over(Window.partitionBy("at", "e").orderBy("a", "id"))).where(F.col("r") <= TRIED)
-    tried = asked.withColumn("r", F.row_number().over(Window.partitionBy("at", "id").orderBy("k"))).where(F.col("r") <= TRIED)
-    links = written(links.unionByName(_ordered(_alike(_met(tried, some, threshold), left, g))), "crowd-links")
-
-    now = written(sided(links).select("at", "id", "comp", "y"), "crowd-now")
-    asked, members = (x.drop("comp").join(now, ["at", "id"]) for x in (asked, members))
-    found = _alike(written(_met(asked.where("y"), members, threshold), "crowd-last"), left, g)
+    found = _alike(_met(asked, members, threshold), left, g)
     return written(links.unionByName(_ordered(found)), "crowd-links")
 
 
