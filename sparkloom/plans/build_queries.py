@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import build as B
 from ..operators import chunking as C
 from ..operators import joins as J
+from ..operators.sequence_packing import pack_parents_in_order as packed_in_order
 from ..sources import files as S
 from .context import query, scratch
 
@@ -141,6 +142,12 @@ def atomic_chunks(s):
     return C.parent_child_chunks(rows).select("doc_id", "text")
 
 
+def _windows_of_documents(s):
+    """Windows of all texts as chunks, three of which have one parent."""
+    pieces = C.fixed_window_split(s.documents.select("doc_id", "text"), 350, 50)
+    return pieces.select("doc_id", F.col("piece_no").alias("pos"), F.concat_ws("-", F.col("doc_id").cast("string"), F.col("piece_no").cast("string")).alias("chunk_id"), F.concat_ws("-", F.col("doc_id").cast("string"), F.floor(F.col("piece_no") / 3).cast("string")).alias("parent_id"), (F.length("piece") / 2).cast("int").alias("tokens"))
+
+
 @query("""WITH RECURSIVE x AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(greatest(length(text) - 50, 1) / 300.0) AS BIGINT))) AS pos FROM documents WHERE length(text) > 0),
 c AS (SELECT doc_id, pos, concat(doc_id, '-', pos) AS chunk_id, pos // 3 AS parent, length(substr(text, CAST(1 + pos * 300 AS BIGINT), 350)) // 2 AS tokens FROM x),
 p AS (SELECT doc_id, parent, arg_min(tokens, pos) AS tokens, list(chunk_id) AS ids, row_number() OVER (PARTITION BY doc_id ORDER BY parent) AS n FROM c GROUP BY doc_id, parent),
@@ -148,9 +155,20 @@ f AS (SELECT doc_id, n, 0 AS batch_no, tokens AS used FROM p WHERE n = 1
  UNION ALL SELECT p.doc_id, p.n, CASE WHEN f.used + p.tokens > 600 THEN f.batch_no + 1 ELSE f.batch_no END, CASE WHEN f.used + p.tokens > 600 THEN p.tokens ELSE f.used + p.tokens END FROM f JOIN p ON p.doc_id = f.doc_id AND p.n = f.n + 1)
 SELECT doc_id, batch_no, count(*) AS parents, array_to_string(list_sort(flatten(list(ids))), ',') AS chunk_ids, sum(tokens)::BIGINT AS tokens FROM f JOIN p USING (doc_id, n) GROUP BY doc_id, batch_no""")
 def pack_parents_by_tokens(s):
-    pieces = C.fixed_window_split(s.documents.select("doc_id", "text"), 350, 50)
-    chunks = pieces.select("doc_id", F.col("piece_no").alias("pos"), F.concat_ws("-", F.col("doc_id").cast("string"), F.col("piece_no").cast("string")).alias("chunk_id"), F.concat_ws("-", F.col("doc_id").cast("string"), F.floor(F.col("piece_no") / 3).cast("string")).alias("parent_id"), (F.length("piece") / 2).cast("int").alias("tokens"))
-    return C.pack_parents(chunks, 600)
+    return C.pack_parents(_windows_of_documents(s), 600)
+
+
+@query("""WITH RECURSIVE x AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(greatest(length(text) - 50, 1) / 300.0) AS BIGINT))) AS pos FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, pos, concat(doc_id, '-', pos) AS chunk_id, pos // 3 AS parent, length(substr(text, CAST(1 + pos * 300 AS BIGINT), 350)) // 2 AS tokens FROM x),
+g AS (SELECT doc_id, parent, arg_min(tokens, pos) AS tokens, list(chunk_id) AS ids FROM c GROUP BY doc_id, parent),
+p AS (SELECT *, row_number() OVER o AS rn, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM g WINDOW o AS (ORDER BY doc_id, parent)),
+hop AS (SELECT rn, CASE WHEN tokens > 4096 THEN rn + 1 ELSE 1 + count(*) OVER (ORDER BY upto RANGE BETWEEN UNBOUNDED PRECEDING AND greatest(4096 - tokens, 0) FOLLOWING) END AS nxt FROM p),
+b AS (SELECT min(rn) AS head FROM p HAVING count(*) > 0 UNION ALL SELECT hop.nxt FROM b JOIN hop ON hop.rn = b.head),
+s AS (SELECT head, row_number() OVER (ORDER BY head) - 1 AS batch_no, lead(head) OVER (ORDER BY head) AS stop FROM b)
+SELECT batch_no, count(*) AS parents, min(doc_id) AS first_doc, max(doc_id) AS last_doc, array_to_string(list_sort(flatten(list(ids))), ',') AS chunk_ids, sum(tokens)::BIGINT AS tokens
+FROM s JOIN p ON p.rn >= s.head AND (s.stop IS NULL OR p.rn < s.stop) GROUP BY batch_no""")
+def pack_parents_in_order(s):
+    return packed_in_order(_windows_of_documents(s))
 
 
 @query("""WITH d AS (SELECT n.path, CASE WHEN n.doc_id % 3 = 0 THEN 'unchanged' WHEN b.fingerprint = n.fingerprint AND b.schema_version = n.schema_version THEN 'reusable' WHEN b.path IS NOT NULL THEN 'changed' ELSE 'new' END AS status FROM new_manifest n LEFT JOIN base_manifest b ON b.path = n.path)
