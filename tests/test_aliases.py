@@ -78,3 +78,13 @@ def test_graph_keeps_planted_entities(spark):
     got = {frozenset((x.source, x.target)) for x in edges.collect()}
     assert all(len(e) == 2 and e <= names for e in got) and len(got) >= len(base)
     assert {x.name for x in communities.collect()} == names
+
+
+def test_keys_of_names_that_share_a_stem(spark):
+    """Numbered names: all pairs are found, and what they all have in common is hardly ever a key."""
+    names = [f"Supplier#{i:09}" for i in range(0, 60000, 241)]
+    grams = {x: {x[i : i + 2] for i in range(len(x) - 1)} for x in names}
+    rows = spark.createDataFrame([("t", x, sorted(g)) for x, g in grams.items()], "group string, id string, els array<string>")
+    got = {(x.a, x.b) for x in G.overlap_pairs(rows, 0.6).collect()}
+    alike = {(a, b) for a in names for b in names if a < b and len(grams[a] & grams[b]) >= 0.6 * len(grams[a] | grams[b])}
+    assert alike <= got and len(got) < 0.5 * len(names) * (len(names) - 1) / 2
