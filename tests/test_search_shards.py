@@ -22,3 +22,19 @@ def test_shards_and_slices(spark, monkeypatch, tmp_path):
     assert rows() == one == sorted(tuple(x) for x in L.search_counted(queries, store, 6)[0].collect())
     plan = L.search_bm25_store(queries, store, 6)._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" in plan and "Join" not in plan
+
+
+def test_cells_meet_packed_pieces(spark, tmp_path):
+    """What is dealt to the cells of a search is a value for many documents or weights, not a row for each."""
+    docs = spark.createDataFrame([(i, f"t{i % 7} t{i % 5} common") for i in range(1500)], "key long, text string").repartition(2)
+    path = str(tmp_path / "store")
+    L.write_bm25_store(docs, path)
+    store = L.open_bm25_store(spark, path)
+    pieces = L._packed_docs(store.docs, 3)
+    assert pieces.count() <= 1500 // L.PIECE + 8 and {x.shard for x in pieces.collect()} <= {0, 1, 2}
+    held = [r for x in pieces.collect() for r in L.pa.ipc.open_stream(x.rows).read_all().column("key").to_pylist()]
+    assert sorted(held) == list(range(1500))
+    queries = spark.createDataFrame([(i, f"t{i % 7} common") for i in range(400)], "query_id long, text string")
+    packed = L._packed_queries(L._weights(queries, store).selectExpr("int(query_id % 2) AS slice", "query_id", "term", "idf"))
+    assert packed.count() < 100
+    assert len(L.search_bm25_store(queries, store, 3).collect()) == 1200
