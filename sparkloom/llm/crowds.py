@@ -20,7 +20,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -28,6 +30,8 @@ from .components import connected_components
 
 #: Members of a group that is compared pair by pair.
 HOT = 64
+#: Elements of a group that are counted together.
+CELL = 1 << 16
 _EPS = 1e-9
 
 
@@ -78,6 +82,45 @@ def _met(y: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     return y.join(other, ["at", "e"]).where(fits & enough).select("at", F.col("id").alias("a"), "b")
 
 
+def _shared(cell: pa.Table) -> pa.Table:
+    """Members (at, id, d, size) of a group with the same part of their elements → (at, id, es, dfs), the elements that
+    another member has too and in how many they are, and a row without an id of those that more than half have."""
+    lists = cell.column("d").combine_chunks()
+    _, of, df = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row, every = np.repeat(np.arange(len(cell)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    use = df[of] > 1
+    common = np.unique(of[df[of] * 2 > cell.column("size")[0].as_py()], return_index=True)[0]
+    first = np.zeros(len(df), np.int64)
+    first[of] = np.arange(len(of))
+    es = np.append(every[use], every[first[common]])
+    dfs = np.append(df[of[use]], df[common])
+    ends = np.append(np.searchsorted(row[use], np.arange(len(cell) + 1)), len(es)).astype(np.int32)
+    at = pa.array([cell.column("at")[0].as_py()] * (len(cell) + 1), pa.int64())
+    each = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, pa.int64()))
+    return pa.table([at, pa.array([*cell.column("id").to_pylist(), None], pa.int64()), each(es), each(dfs)], names=["at", "id", "es", "dfs"])
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows(at, id, d, size, total) → (at, id, es, dfs) as in ``_shared``. A group's elements are dealt to parts of
+    about CELL, and are counted there in arrays; no row is made for an element."""
+    parts = F.ceil(F.col("total") / CELL).cast("int")
+    cells = rows.select("at", "id", "size", "d", parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).alias("part"))
+    own = F.when(F.col("parts") > 1, F.filter("d", lambda e: F.pmod(e, F.col("parts")) == F.col("part"))).otherwise(F.col("d"))
+    return cells.select("at", "id", "size", "part", own.alias("d")).where(F.size("d") > 0).groupBy("at", "part").applyInArrow(_shared, "at long, id long, es array<long>, dfs array<long>")
+
+
+def _rare(counted: DataFrame, rows: DataFrame, centre: DataFrame, size: DataFrame) -> DataFrame:
+    """→ (at, id, els), els the (df, e) of a member's differences from the centre that another member has too, from the
+    rarest. An element of the centre is a difference of those that do not have it."""
+    none = F.array().cast("array<struct<df:bigint,e:bigint>>")
+    own = counted.where("id IS NOT NULL").groupBy("at", "id").agg(F.flatten(F.collect_list(F.arrays_zip(F.col("dfs").alias("df"), F.col("es").alias("e")))).alias("own"))
+    centre = centre.select("at", "c", F.map_from_arrays("c", "cdfs").alias("cdf"))
+    all_ = rows.select("at", "id", "d").join(size.select("at", "size"), "at").join(centre, "at", "left").join(own, ["at", "id"], "left")
+    apart = F.filter("own", lambda x: x["df"] * 2 <= F.col("size"))
+    lacks = F.transform(F.array_except("c", "d"), lambda e: F.struct((F.col("size") - F.element_at("cdf", e)).alias("df"), e.alias("e")))
+    return all_.select("at", "id", F.array_sort(F.filter(F.concat(F.coalesce(apart, none), F.coalesce(lacks, none)), lambda x: x["df"] > 1)).alias("els"))
+
+
 def _close(rows: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     """rows(at, id, n, comp, d) of crowded groups, d a member's set, and the links so far → all links."""
     g, far = (1 - threshold) / (1 + threshold), (1 - threshold) / (1 + threshold) / threshold
@@ -85,12 +128,10 @@ def _close(rows: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     rows = written(rows, "crowd-sets")
     one = rows.groupBy("at").agg(F.min_by("d", "id").alias("c"))
     rows = written(_without(rows.join(one, "at")), "crowd-rows")
-    size = rows.groupBy("at").agg(F.count("*").alias("size"))
-    often = rows.select("at", F.explode("d").alias("e")).groupBy("at", "e").agg(F.count("*").alias("df")).where("df > 1").join(size, "at")
-    often = written(often, "crowd-elements")
-    common = F.col("df") * 2 > F.col("size")
-    centre = often.where(common).groupBy("at").agg(F.collect_list("e").alias("c"))  # twice the mean size at most
-    moved = rows.join(centre, "at", "left").withColumn("c", F.coalesce("c", F.array().cast("array<long>")))
+    size = rows.groupBy("at").agg(F.count("*").alias("size"), F.sum(F.size("d")).alias("total"))
+    counted = written(_counted(rows.join(size, "at")), "crowd-elements")
+    centre = counted.where("id IS NULL").groupBy("at").agg(F.flatten(F.collect_list("es")).alias("c"), F.flatten(F.collect_list("dfs")).alias("cdfs"))  # twice the mean size at most
+    moved = rows.join(centre.select("at", "c"), "at", "left").withColumn("c", F.coalesce("c", F.array().cast("array<long>")))
     moved = written(_without(moved).withColumn("m", F.size("d")).withColumn("a", F.col("m") - g * F.col("n")), "crowd-moved")
     first = moved.groupBy("at").agg(F.min_by(F.struct("id", "n", "comp", "a", "d"), F.struct("a", "id")).alias("p"))
     like = _between("d", F.col("p.d")) <= g * (F.col("n") + F.col("p.n")) + _EPS
@@ -103,12 +144,14 @@ def _close(rows: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     left = left.withColumn("comp", F.when(F.col("joined"), F.col("main")).otherwise(F.col("comp"))).withColumn("y", F.col("comp") != F.col("main")).drop("joined", "main")
     left = written(left.join(left.where("y").select("at").distinct(), "at", "left_semi"), "crowd-left")
     share = F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("least")) / 2 - _EPS), F.ceil(F.col("a") - far * F.col("n") - _EPS))
-    rare = often.select("at", "e", F.when(common, F.col("size") - F.col("df")).otherwise(F.col("df")).alias("df"))
-    asked = left.where("y").select("at", "id", "n", "comp", "a", "m", (F.col("m") - share + 1).alias("take"), F.explode("d").alias("e"))
-    asked = asked.join(rare, ["at", "e"], "left").withColumn("k", F.row_number().over(Window.partitionBy("at", "id").orderBy(F.coalesce("df", F.lit(1)), "e")))
-    asked = written(asked.where("k <= take AND df > 1").drop("take", "df"), "crowd-asked")
+    # the differences that another member has too, from the rarest; all that come before them are a member's own
+    more = _rare(counted, rows, centre, size)
+    held = left.drop("d").join(more, ["at", "id"]).withColumn("alone", F.col("m") - F.size("els"))
+    first_of = F.slice("els", 1, F.greatest(F.lit(0), F.least(F.size("els").cast("long"), F.col("m") - share + 1 - F.col("alone"))).cast("int"))
+    asked = held.where("y").select("at", "id", "n", "comp", "a", "m", "alone", F.posexplode(first_of).alias("pos", "x"))
+    asked = written(asked.select("at", F.col("x.e").alias("e"), "id", "n", "comp", "a", "m", (F.col("alone") + F.col("pos") + 1).alias("k")), "crowd-asked")
     keys = asked.select("at", "e").distinct()
-    other = left.where("NOT y").select("at", "id", "n", "comp", "a", "m", F.explode("d").alias("e")).join(keys, ["at", "e"], "left_semi")
+    other = held.where("NOT y").select("at", "id", "n", "comp", "a", "m", F.explode("els.e").alias("e")).join(keys, ["at", "e"], "left_semi")
     members = written(asked.drop("k").unionByName(other), "crowd-members")
 
     found = _alike(_met(asked, members, threshold), left, g)

@@ -174,3 +174,23 @@ def test_sketch_rounds_match_plain_ones():
     for size in (1, 2, 5, 40, 300):
         s = r.integers(0, 2**63, size, np.uint64)
         assert minhash.sketch_of(s, 16).tolist() == _one_round_at_a_time(s, 16)
+
+
+def test_elements_of_a_crowd_are_counted_in_arrays(spark, monkeypatch):
+    """Counting the elements of a crowded group makes a row for a member and a part, not one for each element."""
+    from collections import Counter
+
+    from sparkloom.llm import crowds
+
+    r = random.Random(4)
+    sets = {i: sorted({*r.sample(range(-60, 60), 30), *range(1000, 1020), 5000 + i}) for i in range(90)}
+    rows = spark.createDataFrame([(7, i, s, 90, 90 * 51) for i, s in sets.items()], "at long, id long, d array<long>, size long, total long")
+    df = Counter(e for s in sets.values() for e in s)
+    for cell in (1 << 16, 2000):
+        monkeypatch.setattr(crowds, "CELL", cell)
+        got = crowds._counted(rows).collect()
+        parts = -(-90 * 51 // cell)
+        assert len(got) <= (90 + 1) * parts
+        for i, s in sets.items():
+            assert sorted(p for x in got if x.id == i for p in zip(x.es, x.dfs)) == sorted((e, df[e]) for e in s if df[e] > 1)
+        assert sorted(p for x in got if x.id is None for p in zip(x.es, x.dfs)) == sorted((e, n) for e, n in df.items() if 2 * n > 90)
