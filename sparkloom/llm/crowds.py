@@ -12,8 +12,10 @@ where that is g (|x| + |y|) at most, g = (1 - t) / (1 + t). With a = |D| - g |x|
   shares (ay + ap) / 2 differences with any other, and ay - g |y| / t, since it cannot share more than |Dx|. So it
   shares one of its rarest |Dy| - that + 1. Where y is far from all others these are in no other difference at all.
 
-A y is compared with those that share such a difference, where what follows in its order can hold as many common
-ones as the two need. What all have in common is in no difference, and no pair is lost: the bounds are exact.
+A y is compared with those that share such a difference, where what follows in the order of either can hold as many
+common ones as the two need; the first one that they share is among the rarest of both. Members far from the centre
+share it with many y, but late in their orders. What all have in common is in no difference, and no pair is lost: the
+bounds are exact.
 """
 
 from __future__ import annotations
@@ -73,12 +75,12 @@ def _alike(pairs: DataFrame, rows: DataFrame, g: float) -> DataFrame:
 
 
 def _met(y: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """y(at, e, k, id, n, comp, a, m), e the k-th of m differences, and members(at, e, id, n, comp, a, m) → (at, a, b) of
-    one difference and two components, where the rest of their differences can still hold enough common ones."""
-    other = members.select("at", "e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("a").alias("ab"), F.col("m").alias("mb"))
+    """y and members(at, e, k, id, n, comp, a, m), e the k-th of a member's m differences → (at, a, b) of one difference
+    and two components, where what follows in the order of either can still hold enough common ones."""
+    other = members.select("at", "e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("a").alias("ab"), F.col("m").alias("mb"), F.col("k").alias("kb"))
     fits = (F.col("comp") != F.col("cb")) & (F.least("n", "nb") >= threshold * F.greatest("n", "nb") - _EPS)
     share = (F.col("a") + F.col("ab")) / 2 - _EPS
-    enough = (share <= F.col("m") - F.col("k") + 1) & (share <= F.col("mb"))
+    enough = share <= F.least(F.col("m") - F.col("k"), F.col("mb") - F.col("kb")) + 1
     return y.join(other, ["at", "e"]).where(fits & enough).select("at", F.col("id").alias("a"), "b")
 
 
@@ -143,16 +145,22 @@ def _close(rows: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     left = moved.join(joined, ["at", "comp"], "left").join(first.select("at", F.col("p.comp").alias("main"), F.col("p.a").alias("least")), "at")
     left = left.withColumn("comp", F.when(F.col("joined"), F.col("main")).otherwise(F.col("comp"))).withColumn("y", F.col("comp") != F.col("main")).drop("joined", "main")
     left = written(left.join(left.where("y").select("at").distinct(), "at", "left_semi"), "crowd-left")
+    # a y shares this many at least with any other, and a member this many with any y
     share = F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("least")) / 2 - _EPS), F.ceil(F.col("a") - far * F.col("n") - _EPS))
     # the differences that another member has too, from the rarest; all that come before them are a member's own
     more = _rare(counted, rows, centre, size)
-    held = left.drop("d").join(more, ["at", "id"]).withColumn("alone", F.col("m") - F.size("els"))
-    first_of = F.slice("els", 1, F.greatest(F.lit(0), F.least(F.size("els").cast("long"), F.col("m") - share + 1 - F.col("alone"))).cast("int"))
-    asked = held.where("y").select("at", "id", "n", "comp", "a", "m", "alone", F.posexplode(first_of).alias("pos", "x"))
-    asked = written(asked.select("at", F.col("x.e").alias("e"), "id", "n", "comp", "a", "m", (F.col("alone") + F.col("pos") + 1).alias("k")), "crowd-asked")
+    held = left.drop("d").join(more, ["at", "id"]).withColumn("alone", F.col("m") - F.size("els")).withColumn("share", share)
+    apart = left.where("y").groupBy("at").agg(F.min("a").alias("least"))
+    other = held.where("NOT y").drop("least").join(apart, "at").withColumn("share", share)
+
+    def rarest(held: DataFrame) -> DataFrame:
+        first_of = F.slice("els", 1, F.greatest(F.lit(0), F.least(F.size("els").cast("long"), F.col("m") - F.col("share") + 1 - F.col("alone"))).cast("int"))
+        each = held.select("at", "id", "n", "comp", "a", "m", "alone", F.posexplode(first_of).alias("pos", "x"))
+        return each.select("at", F.col("x.e").alias("e"), "id", "n", "comp", "a", "m", (F.col("alone") + F.col("pos") + 1).alias("k"))
+
+    asked = written(rarest(held.where("y")), "crowd-asked")
     keys = asked.select("at", "e").distinct()
-    other = held.where("NOT y").select("at", "id", "n", "comp", "a", "m", F.explode("els.e").alias("e")).join(keys, ["at", "e"], "left_semi")
-    members = written(asked.drop("k").unionByName(other), "crowd-members")
+    members = written(asked.unionByName(rarest(other).join(keys, ["at", "e"], "left_semi")), "crowd-members")
 
     found = _alike(_met(asked, members, threshold), left, g)
     return written(links.unionByName(_ordered(found)), "crowd-links")

@@ -194,3 +194,31 @@ def test_elements_of_a_crowd_are_counted_in_arrays(spark, monkeypatch):
         for i, s in sets.items():
             assert sorted(p for x in got if x.id == i for p in zip(x.es, x.dfs)) == sorted((e, df[e]) for e in s if df[e] > 1)
         assert sorted(p for x in got if x.id is None for p in zip(x.es, x.dfs)) == sorted((e, n) for e, n in df.items() if 2 * n > 90)
+
+
+def test_pairs_of_a_crowd_are_bounded_from_both_ends(spark, monkeypatch):
+    """Sets that lack some elements of a crowd share what they lack with many others; those that cannot be alike by the
+    places of such an element in both orders are not compared."""
+    from sparkloom.llm import crowds
+
+    alike, checked = crowds._alike, []
+
+    def counted(pairs, rows, g):
+        checked.append(pairs.distinct().count())
+        return alike(pairs, rows, g)
+
+    monkeypatch.setattr(crowds, "_alike", counted)
+    r, size, sets = random.Random(6), 300, []
+    for i in range(size):
+        n = r.choice([2, 4, 8, 22])
+        sets.append(set(range(147)) - set(r.sample(range(147), n)) | {1000 * (i + 1) + x for x in range(n)})
+    sets[20] = set(range(147)) - set(range(22)) | {1000 * 21 + x for x in range(22)}
+    sets[21] = sets[20] - {50, 51} | {1, 2}  # alike to no set but the one before
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, s array<long>")
+    members = rows.select(F.lit(1).cast("long").alias("at"), "id", F.size("s").alias("n"))
+    root = list(range(size))
+    for a, b in [(x.a, x.b) for x in group_links(members, lambda ids: rows.join(ids, "id"), 0.8).collect()]:
+        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    want = _roots(sets, 0.8)[0]
+    assert root == want and want[21] == 20
+    assert checked[0] <= size, checked
