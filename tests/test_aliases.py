@@ -88,3 +88,38 @@ def test_keys_of_names_that_share_a_stem(spark):
     got = {(x.a, x.b) for x in G.overlap_pairs(rows, 0.6).collect()}
     alike = {(a, b) for a in names for b in names if a < b and len(grams[a] & grams[b]) >= 0.6 * len(grams[a] | grams[b])}
     assert alike <= got and len(got) < 0.5 * len(names) * (len(names) - 1) / 2
+
+
+def test_only_alike_pairs_leave_the_join(spark):
+    """What meets and is not alike, or meets again, is gone before any row is shuffled; a set may have many elements."""
+    r = random.Random(5)
+    base = [r.sample(range(40), r.choice([1, 2, 3, 5, 8, 11, 14, 20])) for _ in range(120)]
+    sets = {f"s{i:03}": {*b} for i, b in enumerate(base)} | {f"t{i:03}": {*b[1:], r.randrange(40)} for i, b in enumerate(base)}
+    rows = spark.createDataFrame([("g", k, sorted(v)) for k, v in sets.items()], "group string, id string, els array<int>")
+    got = [(x.a, x.b) for x in G.overlap_pairs(rows, 0.6).collect()]
+    alike = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    assert sorted(got) == sorted(alike) and len(got) > 50
+
+
+def test_pairs_of_several_types_are_one_row(spark):
+    rows = [(n, t) for n in ("mobile phone works", "mobile phones works", "small ring", "ring") for t in ("a", "b")] + [("mobil phones works", "b")]
+    got = sorted((x.a, x.b) for x in G.alias_candidate_pairs(spark.createDataFrame(rows, "name string, type string"), spelled=True).collect())
+    assert got == [("mobil phones works", "mobile phone works"), ("mobil phones works", "mobile phones works"), ("mobile phone works", "mobile phones works"), ("ring", "small ring")]
+
+
+def test_stored_tables_leave_no_shuffle(spark):
+    from sparkloom.operators.stored import saved
+
+    before = _shuffled(spark)
+    rows = saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert _shuffled(spark) <= before
+    assert rows.count() == 7
+
+
+def _shuffled(spark):
+    """Names of the shuffle files on disk."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    names = set()
+    while found.hasNext():
+        names.add(found.next().getName())
+    return {x for x in names if x.startswith("shuffle_") and x.endswith(".data")}
