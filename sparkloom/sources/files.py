@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Tasks for each core that read the files of a corpus, at most.
+READERS = 16
+
+
 def read_text_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """.txt and .md files as one row each (path, text, modified, and what review marks say); blank files are dropped."""
-    rows = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{txt,md}")
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
+    """.txt and .md files as one row each (path, text, modified, and what review marks say); blank files are dropped.
+
+    Spark reckons 4 MB for opening a file, so small files would make a task of a few; tasks read many of them in turn. The
+    reader of whole texts copies Hadoop's settings for each file, the one of binary files does not."""
+    rows = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.{txt,md}").load(paths)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
+    rows = rows.coalesce(READERS * spark.sparkContext.defaultParallelism)
     return rows.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumn("reviewed", T.ocr_reviewed("text"))
 
 
