@@ -123,3 +123,11 @@ def _shuffled(spark):
     while found.hasNext():
         names.add(found.next().getName())
     return {x for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+
+def test_keys_are_not_broadcast(spark):
+    """The file of the keys is small where names are alike; in memory they are many times as large."""
+    rows = spark.range(400).select(F.lit("t").alias("type"), F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"))
+    pairs = G.alias_candidate_pairs(rows, spelled=True)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "Exchange" in plan and "HashAggregate" not in plan
